@@ -15,12 +15,11 @@ from functools import lru_cache
 from heapq import heappop, heappush
 
 import numpy as np
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.shared import steps
+from siftwell.llm.shared import steps, with_text_columns
 
 #: Entries at which a worker's two caches start afresh before the next batch. It bounds memory and changes no result.
 CACHE_ENTRIES = 600_000
@@ -245,38 +244,26 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     Null and empty texts give no ids. Existing columns of those names are replaced; all others stay as they are.
     ``path`` must be readable on every executor, as an installed vocabulary file is.
     """
-    keep = docs.drop(*[c for c in (ids, decoded) if c])
-    schema = keep.schema.add(ids, "binary")
-    if decoded:
-        schema = schema.add(decoded, "binary")
+    added = {ids: "binary"} | ({decoded: "binary"} if decoded else {})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(texts: list[str | None]):
         bpe = _loaded(path, pattern)
-        for rows in batches:
-            out = list(bpe.encode_all(rows[text].tolist()))
-            rows[ids] = out
-            if decoded:
-                rows[decoded] = [bpe.decode(x) for x in out]
-            yield rows
+        out = list(bpe.encode_all(texts))
+        return [out, [bpe.decode(x) for x in out]] if decoded else [out]
 
-    return keep.mapInPandas(run, schema)
+    return with_text_columns(docs, text, added, make)
 
 
 def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256): digests of what ``encode`` gives, made in the same pass."""
-    slim = docs.select(key, text)
-    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(texts: list[str | None]):
         bpe = _loaded(path, pattern)
-        for rows in batches:
-            made = []
-            for ids in bpe.encode_all(rows[text].tolist()):
-                made.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()))
-            n, a, b = zip(*made, strict=True) if made else ((), (), ())
-            yield pd.DataFrame({key: rows[key], "n_tokens": n, "ids_sha256": a, "decoded_sha256": b})
-
-    return slim.mapInPandas(run, schema)
+        made = [(len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(bpe.decode(x)).hexdigest()) for x in bpe.encode_all(texts)]
+        return list(zip(*made, strict=True))
+
+    added = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
+    return with_text_columns(docs.select(key, text), text, added, make, keep_text=False)
 
 
 def token_counts(docs: DataFrame, ids: str = "ids") -> DataFrame:

@@ -4,15 +4,28 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siftwell.llm import byte_bpe
+from siftwell.llm import byte_bpe, lang_id
 from siftwell.llm.shared import table
 
 
+def _fold(n: int):
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null doc_id belongs to no fold: it is not learned from and not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    models = lang_id.fit(docs.filter(_fold(3) != 1))
+    found = lang_id.identify(docs.select("doc_id", "text"), models)
+    return found.select("doc_id", F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES = {"op9_byte_bpe": op9_byte_bpe}
+QUERIES = {"op5_language_id": op5_language_id, "op9_byte_bpe": op9_byte_bpe}
 ORACLES: dict[str, str] = {}

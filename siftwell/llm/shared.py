@@ -6,8 +6,11 @@ import uuid
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Characters that one vectorised step takes together, unless a single text is longer.
@@ -39,6 +42,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_text_columns(docs: DataFrame, text: str, added: dict[str, str], make, keep_text: bool = True) -> DataFrame:
+    """``docs`` with the columns ``added`` (name: type), replacing any of those names; other columns pass untouched.
+
+    ``make`` gets the texts of a batch (None for null) and returns the new columns in order, each as long as the batch.
+    """
+    keep = docs.drop(*added)
+    kinds = [T.StructField(name, T._parse_datatype_string(kind)) for name, kind in added.items()]
+    schema = T.StructType([f for f in keep.schema.fields if keep_text or f.name != text] + kinds)
+    arrow = [(f.name, to_arrow_type(f.dataType)) for f in kinds]
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = batch.schema.get_field_index(text)
+            made = make(batch.column(at).to_pylist())
+            columns = [(n, c) for i, (n, c) in enumerate(zip(batch.schema.names, batch.columns, strict=True)) if keep_text or i != at]
+            columns += [(n, pa.array(x, kind, from_pandas=True)) for (n, kind), x in zip(arrow, made, strict=True)]
+            yield pa.RecordBatch.from_arrays([c for _, c in columns], names=[n for n, _ in columns])
+
+    return keep.mapInArrow(run, schema)
+
+
 def heavy_join(rows: DataFrame, keyed: DataFrame, key: str, count: str, total: int, share: int = 1000) -> DataFrame:
     """Inner join of ``rows`` with ``keyed`` (one row for each key, ``count`` = its rows) that no frequent key can skew.
 
