@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import byte_bpe, lang_id
+from siftwell.llm import byte_bpe, lang_id, token_store
 from siftwell.llm.shared import table
 
 
@@ -22,10 +22,17 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    store = token_store.write(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    found = store.read(store.lookup(token_store.all_keys(docs)))
+    return found.select(F.col("key").alias("doc_id"), "start", F.col("length").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES = {"op5_language_id": op5_language_id, "op9_byte_bpe": op9_byte_bpe}
+QUERIES = {"op5_language_id": op5_language_id, "op8_token_store": op8_token_store, "op9_byte_bpe": op9_byte_bpe}
 ORACLES: dict[str, str] = {}
