@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import byte_bpe, lang_id, token_store
+from siftwell.llm import byte_bpe, lang_id, quality, token_store
 from siftwell.llm.shared import table
 
 
@@ -14,6 +14,10 @@ def _fold(n: int):
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.apply(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A null doc_id belongs to no fold: it is not learned from and not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -34,5 +38,5 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES = {"op5_language_id": op5_language_id, "op8_token_store": op8_token_store, "op9_byte_bpe": op9_byte_bpe}
+QUERIES = {"op3_quality_rules": op3_quality_rules, "op5_language_id": op5_language_id, "op8_token_store": op8_token_store, "op9_byte_bpe": op9_byte_bpe}
 ORACLES: dict[str, str] = {}
