@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import byte_bpe, lang_id, quality, token_store
+from siftwell.llm import byte_bpe, lang_id, quality, token_store, topk
 from siftwell.llm.shared import table
 
 
@@ -14,6 +14,12 @@ def _fold(n: int):
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantised(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    found = topk.search(vectors, vectors.filter("key % 20 = 0"), k=20)
+    return found.select("query_id", "rank", F.col("key").alias("vec_id"), "score")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,5 +44,17 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES = {"op3_quality_rules": op3_quality_rules, "op5_language_id": op5_language_id, "op8_token_store": op8_token_store, "op9_byte_bpe": op9_byte_bpe}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op2_topk_search": op2_topk_search, "op3_quality_rules": op3_quality_rules, "op5_language_id": op5_language_id, "op8_token_store": op8_token_store, "op9_byte_bpe": op9_byte_bpe}
+ORACLES: dict[str, str] = {
+    "op2_topk_search": """
+        WITH clean AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND vec_id IS NOT NULL
+        ), scored AS (
+            SELECT q.vec_id AS query_id, d.vec_id, list_inner_product(q.v, d.v)::BIGINT AS score
+            FROM clean q JOIN clean d ON q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0
+        ), ranked AS (
+            SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored
+        )
+        SELECT query_id, r::INTEGER AS "rank", vec_id, score FROM ranked WHERE r <= 20""",
+}
