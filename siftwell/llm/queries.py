@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import byte_bpe, lang_id, quality, token_store, topk
+from siftwell.llm import byte_bpe, lang_id, ngram_join, quality, token_store, topk
 from siftwell.llm.shared import table
 
 
@@ -14,6 +14,10 @@ def _fold(n: int):
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), n=5, similarity=0.8, recall=0.9999)
+
+
 def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantised(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     found = topk.search(vectors, vectors.filter("key % 20 = 0"), k=20)
@@ -44,7 +48,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES = {"op2_topk_search": op2_topk_search, "op3_quality_rules": op3_quality_rules, "op5_language_id": op5_language_id, "op8_token_store": op8_token_store, "op9_byte_bpe": op9_byte_bpe}
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_topk_search": op2_topk_search, "op3_quality_rules": op3_quality_rules, "op5_language_id": op5_language_id, "op8_token_store": op8_token_store, "op9_byte_bpe": op9_byte_bpe}
 ORACLES: dict[str, str] = {
     "op2_topk_search": """
         WITH clean AS (
