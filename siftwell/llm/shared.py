@@ -65,7 +65,7 @@ def with_text_columns(docs: DataFrame, text: str, added: dict[str, str], make, k
     return keep.mapInArrow(run, schema)
 
 
-def heavy_join(rows: DataFrame, keyed: DataFrame, key: str, count: str, total: int, share: int = 1000) -> DataFrame:
+def heavy_join(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, total: int, share: int = 1000) -> DataFrame:
     """Inner join of ``rows`` with ``keyed`` (one row for each key, ``count`` = its rows) that no frequent key can skew.
 
     Keys with more than ``total / share`` rows number fewer than ``share``, so they are broadcast; the others shuffle.
@@ -73,8 +73,8 @@ def heavy_join(rows: DataFrame, keyed: DataFrame, key: str, count: str, total: i
     limit = max(1, total // share)
     heavy = F.broadcast(keyed.filter(F.col(count) > limit))
     light = keyed.filter(F.col(count) <= limit)
-    rest = rows.join(heavy.select(key), key, "left_anti")
-    return rows.join(heavy, key).unionByName(rest.join(light, key))
+    rest = rows.join(heavy.select(*keys), keys, "left_anti")
+    return rows.join(heavy, keys).unionByName(rest.join(light, keys))
 
 
 @lru_cache(1)
