@@ -11,7 +11,9 @@ from __future__ import annotations
 import os
 import re
 import struct
+import sys
 import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -37,43 +39,63 @@ GAMMA = 2.0
 CACHE_ENTRIES = 600_000
 
 
-class WordEncoder:
-    """The tokenizers library behind a cache of white-space separated chunks.
+class WordEncoder(dict):
+    """The tokenizers library behind a cache from white-space separated chunks to their packed ids.
 
     The tokenizer drops white space and no token or normalisation crosses it, so the ids of a text are those of its
-    chunks. Texts with U+001C to U+001F, which Python but not the tokenizer takes for white space, go as a whole.
+    chunks; nor does any cross from a letter or digit to ASCII punctuation other than the apostrophe, so a chunk's closing
+    punctuation is encoded apart. Texts with U+001C to U+001F, which Python but not the tokenizer takes for white space,
+    go as a whole.
     """
 
+    TAIL = ".,;:!?)]}\"%&*#$|"
+
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {"": b""}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        code = "H" if self.kind == "<u2" else "I"
+        made = [array(code, x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if sys.byteorder == "big":
+            for x in made:
+                x.byteswap()
+        return [x.tobytes() for x in made]
+
+    def __missing__(self, chunk: str) -> bytes:
+        return self._ids([chunk])[0]
+
+    def _learn(self, chunks: list[str]) -> None:
+        cut = []
+        for x in chunks:
+            core = x.rstrip(self.TAIL)
+            if not core or not core[-1].isalnum() or len(core[-1].lower()) > 1:
+                core = x
+            cut.append((core.lower() if core.isascii() else core, x[len(core) :]))
+        fresh = [w for w in {w for two in cut for w in two} if w not in self.words]
+        for at in range(0, len(fresh), 20_000):
+            part = fresh[at : at + 20_000]
+            self.words.update(zip(part, self._ids(part), strict=True))
+        self.update((x, self.words[a] + self.words[b]) for x, (a, b) in zip(chunks, cut, strict=True))
 
     def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
         given = [t or "" for t in texts]
         for first, end in steps(given, 8_000_000):
-            if len(self.known) > CACHE_ENTRIES:
-                self.known.clear()
-            unseen: set[str] = set()
+            if len(self) > CACHE_ENTRIES or len(self.words) > CACHE_ENTRIES:
+                self.clear()
+                self.words = {"": b""}
+            seen: set[str] = set()
             for t in given[first:end]:
-                unseen.update(x for x in t.split() if x not in self.known and len(x) <= 64)
-            fresh = list(unseen)
-            for at in range(0, len(fresh), 20_000):
-                part = fresh[at : at + 20_000]
-                self.known.update(zip(part, self._ids(part), strict=True))
+                seen.update(t.split())
+            self._learn([x for x in seen if x not in self and len(x) <= 64])
             for t in given[first:end]:
-                if _SEPARATORS.search(t):
-                    yield self._ids([t])[0]
-                else:
-                    known = self.known.get
-                    yield b"".join([y if (y := known(x)) is not None else self._ids([x])[0] for x in t.split()])
+                yield self._ids([t])[0] if _SEPARATORS.search(t) else b"".join(map(self.__getitem__, t.split()))
 
 
 _SEPARATORS = re.compile("[\x1c-\x1f]")
