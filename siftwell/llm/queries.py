@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import byte_bpe, lang_id, ngram_join, quality, substring_dedup, token_store, topk
+from siftwell.llm import byte_bpe, lang_id, line_dedup, ngram_join, quality, substring_dedup, token_store, topk
 from siftwell.llm.shared import table
 
 
@@ -36,6 +36,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.removed_lines(table(spark, sf_dir, "documents"), similarity=0.8)
+    return found.select(F.col("key").alias("doc_id"), "line", F.col("keep_key").alias("keep_doc_id"), "keep_line")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.repeated(table(spark, sf_dir, "documents"))
     return found.select(F.col("key").alias("doc_id"), "start", "stop", "n_words", F.col("first_key").alias("first_doc_id"))
@@ -53,7 +58,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_topk_search": op2_topk_search, "op3_quality_rules": op3_quality_rules, "op5_language_id": op5_language_id, "op7_substring_dedup": op7_substring_dedup, "op8_token_store": op8_token_store, "op9_byte_bpe": op9_byte_bpe}
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_topk_search": op2_topk_search, "op3_quality_rules": op3_quality_rules, "op5_language_id": op5_language_id, "op6_line_dedup": op6_line_dedup, "op7_substring_dedup": op7_substring_dedup, "op8_token_store": op8_token_store, "op9_byte_bpe": op9_byte_bpe}
 ORACLES: dict[str, str] = {
     "op2_topk_search": """
         WITH clean AS (
