@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import byte_bpe, lang_id, line_dedup, ngram_join, quality, substring_dedup, token_store, topk
+from siftwell.llm import byte_bpe, lang_id, line_dedup, ngram_join, quality, substring_dedup, token_store, topk, toxicity
 from siftwell.llm.shared import table
 
 
@@ -58,7 +58,15 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_topk_search": op2_topk_search, "op3_quality_rules": op3_quality_rules, "op5_language_id": op5_language_id, "op6_line_dedup": op6_line_dedup, "op7_substring_dedup": op7_substring_dedup, "op8_token_store": op8_token_store, "op9_byte_bpe": op9_byte_bpe}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null doc_id belongs to no fold: it is not learned from and not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(_fold(5) != 0))
+    found = toxicity.score(docs, machine)
+    return found.select("doc_id", F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_topk_search": op2_topk_search, "op3_quality_rules": op3_quality_rules, "op5_language_id": op5_language_id, "op6_line_dedup": op6_line_dedup, "op7_substring_dedup": op7_substring_dedup, "op8_token_store": op8_token_store, "op9_byte_bpe": op9_byte_bpe, "op10_toxicity": op10_toxicity}
 ORACLES: dict[str, str] = {
     "op2_topk_search": """
         WITH clean AS (
