@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import byte_bpe, lang_id, line_dedup, ngram_join, quality, substring_dedup, token_store, topk, toxicity
+from siftwell.llm import byte_bpe, lang_id, line_dedup, mixing, ngram_join, quality, substring_dedup, token_store, topk, toxicity
 from siftwell.llm.shared import table
 
 
@@ -28,6 +28,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.decisions(table(spark, sf_dir, "documents"))
+    return found.withColumn("prob", F.round("prob", 6))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A null doc_id belongs to no fold: it is not learned from and not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -66,7 +71,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_topk_search": op2_topk_search, "op3_quality_rules": op3_quality_rules, "op5_language_id": op5_language_id, "op6_line_dedup": op6_line_dedup, "op7_substring_dedup": op7_substring_dedup, "op8_token_store": op8_token_store, "op9_byte_bpe": op9_byte_bpe, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_topk_search": op2_topk_search, "op3_quality_rules": op3_quality_rules, "op4_mixing": op4_mixing, "op5_language_id": op5_language_id, "op6_line_dedup": op6_line_dedup, "op7_substring_dedup": op7_substring_dedup, "op8_token_store": op8_token_store, "op9_byte_bpe": op9_byte_bpe, "op10_toxicity": op10_toxicity}
 ORACLES: dict[str, str] = {
     "op2_topk_search": """
         WITH clean AS (
@@ -79,4 +84,5 @@ ORACLES: dict[str, str] = {
             SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored
         )
         SELECT query_id, r::INTEGER AS "rank", vec_id, score FROM ranked WHERE r <= 20""",
+    "op4_mixing": mixing.oracle(),
 }
