@@ -2,5 +2,569 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siftwell.functions import scores, text
+from siftwell.operators import evaluation, index, logs, retrieval, segment
+from siftwell.plans import tables
+from siftwell.plans.tables import bm25, dense, gold, questions, table, vectors
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+KS = (1, 3, 5, 10)
+RESULT = ("query_id", "rank", "doc_id", "score")
+
+# ---- SQL building blocks for the oracles ----
+TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+WITH_BM25 = rf"""tok AS (SELECT doc_id, unnest({TOKENS}) AS term FROM {{docs}}),
+    tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL),
+    lens AS (SELECT doc_id, len({TOKENS}) AS length FROM {{docs}}),
+    st AS (SELECT count(*) AS n, avg(length) AS average FROM lens),
+    df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+    qt AS (SELECT DISTINCT item_id AS query_id, unnest({TOKENS}) AS term FROM benchmark),
+    bm AS (SELECT query_id, doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / average))), 6) AS score
+        FROM qt JOIN tf USING (term) JOIN df USING (term) JOIN lens USING (doc_id) CROSS JOIN st GROUP BY ALL),
+    words AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS "rank" FROM bm) WHERE "rank" <= 20)"""
+PAIRED = "paired AS (SELECT * FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings))"
+ALL_BM25 = WITH_BM25.replace("{docs}", "documents")
+PAIRED_BM25 = PAIRED + ", " + WITH_BM25.replace("{docs}", "paired")
+WITH_DENSE = """dn AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(list_inner_product(d.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
+        FROM embeddings d JOIN embeddings q ON d.vec_id <> q.vec_id
+        WHERE q.vec_id IN (SELECT item_id FROM benchmark) AND d.vec_id IN (SELECT doc_id FROM documents)),
+    vecs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS "rank" FROM dn) WHERE "rank" <= 20)"""
+WITH_GOLD = "gold AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
+WITH_RRF = """rrf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS "rank" FROM (
+        SELECT query_id, doc_id, round(sum(gain), 9) AS score FROM (
+            SELECT query_id, doc_id, 0.3::DOUBLE / (60 + "rank") AS gain FROM words UNION ALL SELECT query_id, doc_id, 0.7::DOUBLE / (60 + "rank") FROM vecs) GROUP BY ALL)) WHERE "rank" <= 20)"""
+WITH_JUDGED = """judged AS (SELECT w.*, (g.doc_id IS NOT NULL)::DOUBLE AS rel FROM words w LEFT JOIN gold g USING (query_id, doc_id))"""
+PER_QUERY = """ks AS (SELECT unnest([1, 3, 5, 10]) AS k), ng AS (SELECT query_id, count(*) AS n_gold FROM gold GROUP BY 1),
+    base AS (SELECT item_id AS query_id, k, coalesce(n_gold, 0) AS n_gold FROM benchmark CROSS JOIN ks LEFT JOIN ng ON item_id = query_id),
+    cnt AS (SELECT b.query_id, b.k, b.n_gold, count(j.doc_id) AS n, coalesce(max(1.0::DOUBLE / j."rank"), 0) AS rr, coalesce(sum(1 / log2(j."rank" + 1)), 0) AS dcg
+        FROM base b LEFT JOIN judged j ON j.query_id = b.query_id AND j.rel > 0 AND j."rank" <= b.k GROUP BY ALL),
+    per AS (SELECT query_id, k, (n > 0)::INTEGER::DOUBLE AS hit, rr, coalesce(n / nullif(n_gold, 0), 0)::DOUBLE AS recall, (n / k)::DOUBLE AS "precision",
+        CASE WHEN n > 0 THEN dcg / list_sum(list_transform(range(1, n + 1), lambda i: 1 / log2(i + 1))) ELSE 0 END AS ndcg,
+        CASE WHEN n > 0 THEN dcg / list_sum(list_transform(range(1, least(n_gold, k) + 1), lambda i: 1 / log2(i + 1))) ELSE 0 END AS ndcg_full FROM cnt)"""
+MEANS = ", ".join(f'round(avg("{c}"), 6) AS "{c}"' for c in ("hit", "rr", "recall", "precision", "ndcg", "ndcg_full"))
+STRIP = r"regexp_replace({x}, '^[\s\x0b\x{{a0}}\x{{3000}}]+|[\s\x0b\x{{a0}}\x{{3000}}]+$', '', 'g')"
+
+
+def register(name: str, sql: str | None = None):
+    def add(make):
+        QUERIES[name] = make
+        if sql:
+            ORACLES[name] = sql
+        return make
+
+    return add
+
+
+def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, places) for c in columns})
+
+
+# ---- index ----
+@register("doc_term_freq", f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) GROUP BY ALL")
+def doc_term_freq(spark, d):
+    return index.term_frequencies(table(spark, d, "documents"))
+
+
+@register("doc_lengths", f"SELECT doc_id, len({TOKENS})::BIGINT AS length FROM documents")
+def doc_lengths(spark, d):
+    return index.lengths(table(spark, d, "documents"))
+
+
+@register("term_idf", f"WITH {ALL_BM25} SELECT term, df, round(ln((n - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM df CROSS JOIN st")
+def term_idf(spark, d):
+    docs = table(spark, d, "documents")
+    return rounded(index.term_stats(index.term_frequencies(docs), index.corpus_stats(docs)), "idf")
+
+
+@register("index_stats", "SELECT lang, count(*) AS chunks, count(DISTINCT source) AS titles, count_if(coalesce(source, '') = '')::BIGINT AS without_title FROM documents GROUP BY lang")
+def index_stats(spark, d):
+    return index.index_stats(table(spark, d, "documents"), "lang", "source")
+
+
+@register("corpus_signature", """SELECT 2 AS version, count(*) AS n, bit_xor(a)::VARCHAR || ':' || sum(b)::VARCHAR AS fingerprint FROM (
+    SELECT ('0x' || substr(md5(text), 1, 15))::BIGINT AS a, ('0x' || substr(md5(text), 16, 15))::BIGINT AS b FROM documents)""")
+def corpus_signature(spark, d):
+    return index.signature(table(spark, d, "documents"))
+
+
+@register("corpus_dedupe", """SELECT source, lang, doc_id, n_chars FROM (
+    SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r = 1""")
+def corpus_dedupe(spark, d):
+    return index.dedupe(table(spark, d, "documents").select("source", "lang", "doc_id", "n_chars"), "n_chars", "doc_id", "source", "lang")
+
+
+@register("status_filter", "SELECT doc_id, quality * 3 AS sxx FROM labels WHERE quality * 3 IN (3, 4)")
+def status_filter(spark, d):
+    return index.in_force(table(spark, d, "labels").select("doc_id", (F.col("quality") * 3).alias("sxx")))
+
+
+@register("parsed_partition", """SELECT n_lines > 1 AS parsed, count(*) AS n, sum(n_lines)::BIGINT AS lines FROM (
+    SELECT len(string_split(text, chr(10))) AS n_lines FROM documents) GROUP BY 1""")
+def parsed_partition(spark, d):
+    lines = F.split("text", "\n")
+    docs = table(spark, d, "documents").select(F.when(F.size(lines) > 1, lines).alias("articles"), lines.alias("lines"))
+    parts = [p.withColumn("parsed", F.lit(i == 0)) for i, p in enumerate(index.parsed(docs))]
+    return parts[0].unionByName(parts[1]).groupBy("parsed").agg(F.count("*").alias("n"), F.sum(F.size("lines")).alias("lines"))
+
+
+@register("upsert_by_source", """SELECT doc_id, source, lang, n_chars FROM documents WHERE source NOT IN (SELECT 'src' || (label + 1) FROM embeddings)
+    UNION ALL SELECT vec_id, 'src' || (label + 1), NULL, len(embedding) FROM embeddings""")
+def upsert_by_source(spark, d):
+    incoming = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.concat(F.lit("src"), (F.col("label") + 1).cast("string")).alias("source"), F.size("embedding").cast("long").alias("n_chars"))
+    return index.replace_by_source(table(spark, d, "documents").select("doc_id", "source", "lang", "n_chars"), incoming)
+
+
+# ---- retrieval ----
+@register("bm25_topk", f"WITH {ALL_BM25} SELECT query_id, \"rank\", doc_id, score FROM words")
+def bm25_topk(spark, d):
+    return bm25(spark, d).select(*RESULT)
+
+
+@register("dense_topk", f"WITH {WITH_DENSE} SELECT query_id, \"rank\", doc_id, score FROM vecs")
+def dense_topk(spark, d):
+    return dense(spark, d).select(*RESULT)
+
+
+@register("l2_similarity", f"WITH {WITH_DENSE} SELECT query_id, doc_id, round(2 - 2 * score, 6) AS distance, score AS similarity FROM vecs")
+def l2_similarity(spark, d):
+    found = dense(spark, d).withColumn("distance", 2 - 2 * F.col("score"))
+    return rounded(found.select("query_id", "doc_id", "distance", scores.similarity(F.col("distance")).alias("similarity")), "distance")
+
+
+@register("rrf_fusion", f"WITH {PAIRED_BM25}, {WITH_DENSE}, {WITH_RRF} SELECT query_id, \"rank\", doc_id, score FROM rrf")
+def rrf_fusion(spark, d):
+    return retrieval.rrf(bm25(spark, d, paired=True), dense(spark, d)).select(*RESULT)
+
+
+@register("minmax_fusion", f"""WITH {PAIRED_BM25}, {WITH_DENSE},
+    legs AS (SELECT query_id, doc_id, score AS s, 0.3::DOUBLE AS a FROM words UNION ALL SELECT query_id, doc_id, 1 / (1 + (2 - 2 * score)), 0.7::DOUBLE FROM vecs),
+    gains AS (SELECT query_id, doc_id, a * (s - min(s) OVER w) / coalesce(nullif(max(s) OVER w - min(s) OVER w, 0), 1) AS gain FROM legs WINDOW w AS (PARTITION BY query_id, a)),
+    fused AS (SELECT query_id, doc_id, round(sum(gain), 6) AS score FROM gains GROUP BY ALL)
+    SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS "rank", doc_id, score FROM fused) WHERE "rank" <= 20""")
+def minmax_fusion(spark, d):
+    return retrieval.minmax(bm25(spark, d, paired=True), dense(spark, d)).select(*RESULT)
+
+
+FLOOR = 0.35
+
+
+@register("similarity_gate", f"""WITH {PAIRED_BM25}, {WITH_DENSE}, {WITH_RRF} SELECT query_id, "rank", doc_id, score FROM rrf
+    WHERE query_id NOT IN (SELECT query_id FROM vecs GROUP BY 1 HAVING max(score) < {FLOOR})""")
+def similarity_gate(spark, d):
+    semantic = dense(spark, d)
+    return retrieval.gated(retrieval.rrf(bm25(spark, d, paired=True), semantic), semantic, FLOOR).select(*RESULT)
+
+
+@register("hybrid_topk", f"""WITH {PAIRED_BM25}, dn AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(list_inner_product(d.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
+        FROM embeddings d, embeddings q WHERE q.vec_id IN (SELECT item_id FROM benchmark) AND d.vec_id IN (SELECT doc_id FROM documents)),
+    vecs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS "rank" FROM dn) WHERE "rank" <= 20), {WITH_RRF}
+    SELECT query_id, "rank", doc_id, score FROM rrf WHERE "rank" <= 10""")
+def hybrid_topk(spark, d):
+    """Here the question's own vector is a candidate like any other."""
+    find = retrieval.retriever(tables.paired_docs(spark, d).select("doc_id", "text"), vectors(spark, d), n=10)
+    return find(questions(spark, d).filter("vector is not null")).select(*RESULT)
+
+
+def _reranked(spark, d, floor: float, n: int) -> DataFrame:
+    texts = table(spark, d, "documents").select("doc_id", "text", "source")
+    good = table(spark, d, "labels").filter("quality = 1").select("doc_id", F.lit(True).alias("good"))
+    asked = questions(spark, d).select("query_id", F.col("text").alias("query"))
+    pool = bm25(spark, d).select("query_id", "doc_id").join(texts, "doc_id").join(asked, "query_id").join(good, "doc_id", "left")
+    return retrieval.rerank(pool, n, authority=F.coalesce("good", F.lit(False)) | text.is_authoritative(F.col("text"), F.col("source")), floor=floor)
+
+
+RERANKED = rf"""qtok AS (SELECT item_id AS query_id, list_distinct({TOKENS}) AS q FROM benchmark), dtok AS (SELECT doc_id, {TOKENS} AS t FROM documents),
+    prob AS (SELECT w.query_id, w.doc_id, len(list_filter(q, lambda x: list_contains(t, x)))::DOUBLE / len(q) AS p, coalesce(l.quality = 1, false) AS good
+        FROM words w JOIN qtok USING (query_id) JOIN dtok USING (doc_id) LEFT JOIN labels l USING (doc_id)),
+    boost AS (SELECT query_id, doc_id, round(CASE WHEN good THEN least(1.0, p * 1.3) ELSE p END, 6)::DOUBLE AS score FROM prob),
+    rer AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS "rank", doc_id, score FROM boost WHERE score >= {{floor}})"""
+
+
+@register("rerank_boost_floor", f"WITH {ALL_BM25}, {RERANKED.replace("{floor}", "0.5")} SELECT * FROM rer WHERE \"rank\" <= 5")
+def rerank_boost_floor(spark, d):
+    return _reranked(spark, d, 0.5, 5).select(*RESULT)
+
+
+@register("union_retrieval", f"""WITH {PAIRED_BM25}, {WITH_DENSE}, legs AS (SELECT query_id, doc_id, 0 AS leg, "rank" FROM words UNION ALL SELECT query_id, doc_id, 1, "rank" FROM vecs)
+    SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY a.leg, a."rank")::INTEGER AS "rank" FROM (
+        SELECT query_id, doc_id, min({{'leg': leg, 'rank': "rank"}}) AS a FROM legs GROUP BY ALL)""")
+def union_retrieval(spark, d):
+    return retrieval.united(bm25(spark, d, paired=True), dense(spark, d))
+
+
+@register("hyde_augment", f"""WITH {WITH_GOLD}, pass AS (SELECT query_id, min(doc_id) AS doc_id FROM gold GROUP BY 1)
+    SELECT item_id AS query_id, b.text || coalesce(chr(10) || {STRIP.format(x="left(d.text, 200)")}, '') AS text
+    FROM benchmark b LEFT JOIN pass ON item_id = query_id LEFT JOIN documents d USING (doc_id)""")
+def hyde_augment(spark, d):
+    first = gold(spark, d).groupBy("query_id").agg(F.min("doc_id").alias("doc_id")).join(table(spark, d, "documents").select("doc_id", F.substring("text", 1, 200).alias("passage")), "doc_id")
+    asked = questions(spark, d).select("query_id", "text")
+    rewrites = first.join(asked, "query_id").select(F.col("text").alias("question"), "passage")
+    return retrieval.rewritten(asked, rewrites)
+
+
+@register("faceted_queries", """SELECT item_id AS query_id, facet, text || ' ' || suffix AS text FROM benchmark,
+    (VALUES ('sources', '法律规定 条文 适用 依据 相关法规'), ('mistakes', '常见误区 法律风险 责任 举证 时效 注意事项')) f(facet, suffix)""")
+def faceted_queries(spark, d):
+    # The suffixes of the two facets.
+    facets = {"sources": "法律规定 条文 适用 依据 相关法规", "mistakes": "常见误区 法律风险 责任 举证 时效 注意事项"}
+    each = [questions(spark, d).select("query_id", F.lit(n).alias("facet"), text.faceted(F.col("text"), s).alias("text")) for n, s in facets.items()]
+    return each[0].unionByName(each[1])
+
+
+# ---- evaluation ----
+@register("gold_relevance", f"WITH {WITH_GOLD} SELECT query_id, doc_id FROM gold")
+def gold_relevance(spark, d):
+    return gold(spark, d)
+
+
+def _items(spark, d) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
+
+
+def _measured(spark, d) -> DataFrame:
+    answers = gold(spark, d)
+    return evaluation.per_query(_items(spark, d), evaluation.relevance(bm25(spark, d), answers), answers, KS)
+
+
+MEASURES = ("hit", "rr", "recall", "precision", "ndcg", "ndcg_full")
+
+
+@register("retrieval_metrics", f"WITH {ALL_BM25}, {WITH_GOLD}, {WITH_JUDGED}, {PER_QUERY} SELECT k, {MEANS}, count(*) AS items FROM per GROUP BY k")
+def retrieval_metrics(spark, d):
+    return rounded(evaluation.means(_measured(spark, d)), *MEASURES)
+
+
+@register("metrics_by_category", f"""WITH {ALL_BM25}, {WITH_GOLD}, {WITH_JUDGED}, {PER_QUERY}
+    SELECT query_id IN (SELECT query_id FROM gold) AS in_corpus, k, {MEANS}, count(*) AS items FROM per GROUP BY ALL""")
+def metrics_by_category(spark, d):
+    flags = evaluation.coverage(_items(spark, d), gold(spark, d), table(spark, d, "documents"), ["doc_id"]).select("query_id", "in_corpus")
+    return rounded(evaluation.means(_measured(spark, d).join(flags, "query_id"), "in_corpus"), *MEASURES)
+
+
+@register("corpus_coverage", f"""WITH {WITH_GOLD} SELECT count(*)::BIGINT AS n_gold, count_if(doc_id IN (SELECT doc_id FROM labels))::BIGINT AS n_covered,
+    round(count_if(doc_id IN (SELECT doc_id FROM labels)) / count(*), 6) AS coverage FROM gold""")
+def corpus_coverage(spark, d):
+    """How much of the gold the labelled documents hold."""
+    found = evaluation.coverage(_items(spark, d), gold(spark, d), table(spark, d, "labels"), ["doc_id"])
+    summed = found.agg(F.sum("n_gold").alias("n_gold"), F.sum("n_covered").alias("n_covered"))
+    return summed.withColumn("coverage", F.round(F.col("n_covered") / F.nullif("n_gold", F.lit(0)), 6))
+
+
+@register("items_in_corpus", f"""WITH {WITH_GOLD}, c AS (SELECT query_id, count(*) AS n_gold, count_if(doc_id IN (SELECT doc_id FROM labels))::BIGINT AS n_covered FROM gold GROUP BY 1)
+    SELECT item_id AS query_id, coalesce(n_gold, 0) AS n_gold, coalesce(n_covered, 0) AS n_covered, coalesce(n_gold = n_covered, false) AS in_corpus FROM benchmark LEFT JOIN c ON item_id = query_id""")
+def items_in_corpus(spark, d):
+    return evaluation.coverage(_items(spark, d), gold(spark, d), table(spark, d, "labels"), ["doc_id"])
+
+
+@register("in_domain_filter", f"WITH {WITH_GOLD} SELECT DISTINCT query_id FROM gold WHERE doc_id IN (SELECT doc_id FROM labels)")
+def in_domain_filter(spark, d):
+    return evaluation.in_domain(_items(spark, d), gold(spark, d), table(spark, d, "labels"), ["doc_id"])
+
+
+@register("answerable_filter", f"WITH {WITH_GOLD} SELECT query_id FROM gold GROUP BY 1 HAVING bool_and(doc_id IN (SELECT doc_id FROM labels))")
+def answerable_filter(spark, d):
+    return evaluation.answerable(_items(spark, d), gold(spark, d), table(spark, d, "labels"), ["doc_id"])
+
+
+def _expecting(spark, d) -> DataFrame:
+    """Items without gold expect a refusal."""
+    some = gold(spark, d).select("query_id").distinct().withColumn("expect_refusal", F.lit(False))
+    return _items(spark, d).join(some, "query_id", "left").withColumn("expect_refusal", F.coalesce("expect_refusal", F.lit(True)))
+
+
+@register("refusal_rates", f"""WITH {ALL_BM25}, {WITH_GOLD}, {RERANKED.replace("{floor}", "0.95")},
+    i AS (SELECT item_id NOT IN (SELECT query_id FROM gold) AS e, item_id NOT IN (SELECT query_id FROM rer) AS r FROM benchmark),
+    c AS (SELECT count_if(e)::BIGINT AS expected, count_if(e AND r)::BIGINT AS refused, count_if(NOT e AND r)::BIGINT AS false_refused, count(*) AS n FROM i)
+    SELECT expected, refused, false_refused, round(coalesce(refused / nullif(expected, 0), 0), 6)::DOUBLE AS refusal_rate,
+        round(coalesce(false_refused / nullif(n - expected, 0), 0), 6)::DOUBLE AS false_refusal_rate FROM c""")
+def refusal_rates(spark, d):
+    return rounded(evaluation.refusals(_expecting(spark, d), _reranked(spark, d, 0.95, 5)), "refusal_rate", "false_refusal_rate")
+
+
+@register("recall_by_depth", f"""WITH {PAIRED_BM25}, {WITH_DENSE}, {WITH_GOLD}, legs AS (SELECT 'bm25' AS leg, * FROM words UNION ALL SELECT 'semantic', * FROM vecs),
+    ans AS (SELECT DISTINCT query_id FROM gold), depths AS (SELECT unnest([5, 10, 20]) AS depth)
+    SELECT leg, depth, round(avg((EXISTS (SELECT 1 FROM legs l JOIN gold g USING (query_id, doc_id) WHERE l.leg = n.leg AND l.query_id = a.query_id AND l."rank" <= depth))::INTEGER), 6) AS recall, count(*) AS items
+    FROM ans a, depths, (VALUES ('bm25'), ('semantic')) n(leg) GROUP BY ALL""")
+def recall_by_depth(spark, d):
+    answers = gold(spark, d)
+    items = evaluation.answerable(_items(spark, d), answers, table(spark, d, "documents"), ["doc_id"])
+    legs = {"bm25": bm25(spark, d, paired=True), "semantic": dense(spark, d)}
+    parts = [evaluation.per_query(items, evaluation.relevance(r, answers), answers, (5, 10, 20)).withColumn("leg", F.lit(n)) for n, r in legs.items()]
+    return parts[0].unionByName(parts[1]).groupBy("leg", F.col("k").alias("depth")).agg(F.round(F.avg("hit"), 6).alias("recall"), F.count("*").alias("items"))
+
+
+THRESHOLDS = [i / 10 for i in range(11)]
+
+
+@register("threshold_sweep", f"""WITH {ALL_BM25}, {WITH_GOLD}, {RERANKED.replace("{floor}", "0.0")}, t AS (SELECT unnest([{", ".join(f"{t}::DOUBLE" for t in THRESHOLDS)}]) AS threshold),
+    i AS (SELECT item_id AS query_id, item_id NOT IN (SELECT query_id FROM gold) AS e, threshold FROM benchmark, t),
+    k AS (SELECT i.query_id, i.threshold, count(*) AS kept, max((g.doc_id IS NOT NULL)::INTEGER) AS hit FROM i JOIN rer r ON r.query_id = i.query_id AND r."rank" <= 5 AND r.score >= i.threshold
+        LEFT JOIN gold g ON g.query_id = r.query_id AND g.doc_id = r.doc_id GROUP BY ALL),
+    x AS (SELECT i.threshold, i.e, coalesce(kept, 0) AS kept, coalesce(hit, 0) AS hit FROM i LEFT JOIN k USING (query_id, threshold))
+    SELECT threshold, round(coalesce(sum(hit) FILTER (NOT e) / nullif(count_if(NOT e), 0), 0), 6)::DOUBLE AS hit, round(coalesce(count_if(e AND kept = 0) / nullif(count_if(e), 0), 0), 6)::DOUBLE AS refusal_rate,
+        round(coalesce(count_if(NOT e AND kept = 0) / nullif(count_if(NOT e), 0), 0), 6)::DOUBLE AS false_refusal_rate, round(avg(kept), 6) AS avg_kept FROM x GROUP BY threshold""")
+def threshold_sweep(spark, d):
+    judged = evaluation.relevance(_reranked(spark, d, 0.0, 20), gold(spark, d))
+    return rounded(evaluation.sweep(_expecting(spark, d), judged, THRESHOLDS), "hit", "refusal_rate", "false_refusal_rate", "avg_kept")
+
+
+@register("score_quantiles", f"""WITH {ALL_BM25}, b AS (SELECT list(score ORDER BY score) AS s FROM words WHERE "rank" = 1), q AS (SELECT unnest([0.25, 0.5, 0.75, 0.9])::DOUBLE AS share)
+    SELECT share, s[least(floor(len(s) * share), len(s) - 1)::BIGINT + 1] AS value FROM b, q""")
+def score_quantiles(spark, d):
+    return evaluation.picked_quantiles(bm25(spark, d, 1), "score", [0.25, 0.5, 0.75, 0.9])
+
+
+@register("metadata_present_rate", f"""WITH {ALL_BM25} SELECT count(*) AS slots, count(quality) AS present, round(coalesce(count(quality) / nullif(count(*), 0), 1), 6)::DOUBLE AS rate
+    FROM words LEFT JOIN labels USING (doc_id)""")
+def metadata_present_rate(spark, d):
+    return rounded(evaluation.present_rate(bm25(spark, d).join(table(spark, d, "labels"), "doc_id", "left"), "quality"), "rate")
+
+
+@register("missed_items", f"""WITH {ALL_BM25}, {WITH_GOLD} SELECT DISTINCT query_id FROM gold WHERE query_id NOT IN (SELECT query_id FROM words JOIN gold USING (query_id, doc_id) WHERE "rank" <= 1)""")
+def missed_items(spark, d):
+    return _measured(spark, d).filter("k = 1 and hit = 0").select("query_id").join(gold(spark, d).select("query_id"), "query_id", "left_semi")
+
+
+@register("coverage_by_source", """SELECT source, count(*) AS need, count(quality) AS have, round(count(quality) / count(*), 6) AS share FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source""")
+def coverage_by_source(spark, d):
+    joined = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    counted = joined.groupBy("source").agg(F.count("*").alias("need"), F.count("quality").alias("have"))
+    return counted.withColumn("share", F.round(F.col("have") / F.col("need"), 6)).orderBy(F.desc("need"), "source")
+
+
+@register("truncation_check", f"SELECT lang, count(*) AS n, count_if(len({TOKENS}) > 512)::BIGINT AS longer, round(count_if(len({TOKENS}) > 512) / count(*), 6) AS share FROM documents GROUP BY lang")
+def truncation_check(spark, d):
+    docs = table(spark, d, "documents").select("lang", (F.size(text.tokens(F.col("text"))) > 512).alias("over"))
+    counted = docs.groupBy("lang").agg(F.count("*").alias("n"), F.count_if("over").alias("longer"))
+    return counted.withColumn("share", F.round(F.col("longer") / F.col("n"), 6))
+
+
+@register("uniform_sample", "SELECT doc_id, lang FROM documents ORDER BY md5(doc_id || ':42'), doc_id LIMIT 150")
+def uniform_sample(spark, d):
+    return evaluation.uniform_sample(table(spark, d, "documents").select("doc_id", "lang"), 150, "doc_id")
+
+
+@register("stratified_sample", "SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents) WHERE r <= 50")
+def stratified_sample(spark, d):
+    return evaluation.stratified_sample(table(spark, d, "documents").select("doc_id", "lang"), "lang", "doc_id", 50)
+
+
+@register("systematic_sample", "SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE (r - 1) % 10 = 0")
+def systematic_sample(spark, d):
+    return evaluation.systematic_sample(table(spark, d, "documents").select("doc_id", "source"), "source", "doc_id", 10)
+
+
+# ---- segmentation ----
+def _numeral(n):
+    """The Chinese numeral of a column of numbers from 1 to 9999, for headings made from the data."""
+    digit = lambda i: F.element_at(F.array(*map(F.lit, "零一二三四五六七八九")), (i + 1).cast("int"))
+    at = {u: F.floor(n / u) % 10 for u in (1000, 100, 10, 1)}
+    part = lambda u, name: F.when(at[u] > 0, F.concat(digit(at[u]), F.lit(name))).otherwise("")
+    gap = lambda high, low: F.when((F.floor(n / high) > 0) & (at[high // 10] == 0) & (F.floor(n % (high // 10)) > 0) if low else F.lit(False), "零").otherwise("")
+    return F.concat(part(1000, "千"), gap(1000, True), part(100, "百"), F.when((F.floor(n / 100) > 0) & (at[100] > 0) & (at[10] == 0) & (at[1] > 0), "零").otherwise(""), part(10, "十"), part(1, ""))
+
+
+SQL_NUMERAL = """(CASE WHEN n // 1000 % 10 > 0 THEN d[n // 1000 % 10 + 1] || '千' ELSE '' END
+    || CASE WHEN n // 1000 > 0 AND n // 100 % 10 = 0 AND n % 100 > 0 THEN '零' ELSE '' END || CASE WHEN n // 100 % 10 > 0 THEN d[n // 100 % 10 + 1] || '百' ELSE '' END
+    || CASE WHEN n // 100 % 10 > 0 AND n // 10 % 10 = 0 AND n % 10 > 0 THEN '零' ELSE '' END || CASE WHEN n // 10 % 10 > 0 THEN d[n // 10 % 10 + 1] || '十' ELSE '' END
+    || CASE WHEN n % 10 > 0 THEN d[n % 10 + 1] ELSE '' END)"""
+
+
+@register("cn_numeral_values", f"""SELECT doc_id, '第' || {SQL_NUMERAL} || '条之三' AS heading, n::INTEGER AS base, 3 AS sub, n::INTEGER AS article FROM (
+    SELECT doc_id, n_chars % 9999 + 1 AS n, string_split('零 一 二 三 四 五 六 七 八 九', ' ') AS d FROM documents)""")
+def cn_numeral_values(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("第"), _numeral(F.col("n_chars") % 9999 + 1), F.lit("条之三")).alias("heading"))
+    base, sub = text.article_parts(F.col("heading"))
+    return docs.select("doc_id", "heading", base.alias("base"), sub.alias("sub"), text.article_number(F.col("heading")).alias("article"))
+
+
+@register("law_match_values", """SELECT doc_id, source AS name, source <> '' AS same, source <> '' AND (contains(source, lang) OR contains(lang, source)) AS other FROM documents""")
+def law_match_values(spark, d):
+    full = F.concat(F.lit("《中华人民共和国"), F.col("source"), F.lit("》"))
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", text.normalize_law(full).alias("name"), text.law_matches(full, F.col("source")).alias("same"), text.law_matches(full, F.col("lang")).alias("other"))
+
+
+@register("article_segmentation", r"""SELECT doc_id, pos::INTEGER AS num, squeezed AS text FROM (
+    SELECT doc_id, pos, trim(regexp_replace(line, '[\s\x0b\x{a0}\x{3000}\x{85}]+', ' ', 'g')) AS squeezed FROM (
+        SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)) WHERE squeezed <> ''""")
+def article_segmentation(spark, d):
+    """Every line of a document, under a numbered heading, is an article."""
+    headed = F.transform(F.split("text", "\n"), lambda line, i: F.concat(F.lit("第"), _numeral(i + 1), F.lit("条 "), line))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), headed.alias("lines"))
+    return segment.articles(docs).filter("chunking = 'article'").select(F.col("doc").alias("doc_id"), "num", "text")
+
+
+FOLD = """list_reduce(list_prepend({{'done': []::BIGINT[], 'pack': 0::BIGINT}}, list_transform({pieces}, lambda n: {{'done': []::BIGINT[], 'pack': n}})), lambda a, b:
+    {{'done': CASE WHEN a.pack > 0 AND a.pack + b.pack > {limit} THEN list_append(a.done, a.pack) ELSE a.done END,
+      'pack': CASE WHEN a.pack > 0 AND a.pack + b.pack > {limit} THEN {fresh} WHEN a.pack > 0 THEN a.pack + 1 + b.pack ELSE b.pack END}})"""
+
+
+@register("paragraph_pack", f"""SELECT doc_id, len(s.done) + (s.pack > 0)::INTEGER AS n_packs, list_max(list_append(s.done, s.pack)) AS longest FROM (
+    SELECT doc_id, {FOLD.format(pieces="list_transform(string_split(text, chr(10)), lambda x: length(x))", limit=400, fresh="b.pack")} AS s FROM documents)""")
+def paragraph_pack(spark, d):
+    packs = segment.greedy(F.split("text", "\n"), segment.GROUP_CHARS, "\n")
+    return table(spark, d, "documents").select("doc_id", packs.alias("p")).select("doc_id", F.size("p").cast("long").alias("n_packs"), F.coalesce(F.array_max(F.transform("p", lambda x: F.length(x))), F.lit(0)).cast("long").alias("longest"))
+
+
+PARAGRAPHS = "list_filter(list_transform(string_split(text, chr(10)), lambda x: " + STRIP.format(x="x") + "), lambda x: x <> '')"
+CUT = f"flatten(list_transform({PARAGRAPHS}, lambda x: list_transform(range(0, length(x), 500), lambda i: least(500, length(x) - i))))"
+
+
+@register("sentence_split", f"SELECT doc_id, len(c)::BIGINT AS n_pieces, coalesce(list_max(c), 0)::BIGINT AS longest FROM (SELECT doc_id, {CUT} AS c FROM documents)")
+def sentence_split(spark, d):
+    paragraphs = F.filter(F.transform(F.split("text", "\n"), text.strip), lambda p: p != "")
+    pieces = F.flatten(F.transform(paragraphs, lambda p: segment.sentence_pieces(p, 500)))
+    return table(spark, d, "documents").select("doc_id", pieces.alias("p")).select("doc_id", F.size("p").cast("long").alias("n_pieces"), F.coalesce(F.array_max(F.transform("p", lambda x: F.length(x))), F.lit(0)).cast("long").alias("longest"))
+
+
+@register("overlap_chunks", f"""SELECT doc_id, len(s.done) + (s.pack > 0)::INTEGER AS n_chunks, list_sum(list_append(s.done, s.pack))::BIGINT AS chars FROM (
+    SELECT doc_id, {FOLD.format(pieces=CUT, limit=500, fresh="least(a.pack, 80) + 1 + b.pack")} AS s FROM documents)""")
+def overlap_chunks(spark, d):
+    """chars counts the chunks as packed, from their number and the pieces: each chunk but the first brings its overlap."""
+    docs = table(spark, d, "documents").select("doc_id", segment.overlapping(F.regexp_replace(F.col("text"), "[^\\S\n]", "_")).alias("c"))
+    return docs.select("doc_id", F.size("c").cast("long").alias("n_chunks"), F.aggregate("c", F.lit(0).cast("long"), lambda s, x: s + F.length(x)).alias("chars"))
+
+
+@register("section_split", r"""SELECT doc_id, greatest(len(s), 1)::BIGINT AS n_sections FROM (
+    SELECT doc_id, list_filter(string_split(regexp_replace(text, '(?:^|\n)\s*([一二三四五六七八九十]+[、．.]|[0-9]+[\.、]|第[一二三四五六七八九十0-9]+[章节]|[（(][一二三四五六七八九十0-9]+[)）])', chr(1) || '\1', 'g'), chr(1)),
+        lambda x: trim(x, ' ' || chr(10) || chr(9) || chr(13)) <> '') AS s FROM documents)""")
+def section_split(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.size(segment.sections(F.col("text"))).cast("long").alias("n_sections"))
+
+
+@register("clean_title", r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(
+    regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM pages""")
+def clean_title(spark, d):
+    return table(spark, d, "pages").select("page_id", text.clean_title(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)).alias("title"))
+
+
+@register("citation_label", """SELECT doc_id, CASE WHEN source <> '' THEN '《' || source || '》' || coalesce(lang, '') || CASE WHEN toxic = 1 THEN '（尚未生效）' ELSE '' END ELSE coalesce(lang, '知识库') END AS label
+    FROM documents LEFT JOIN labels USING (doc_id)""")
+def citation_label(spark, d):
+    joined = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    return joined.select("doc_id", text.citation_label(F.col("source"), F.col("lang"), F.when(F.col("toxic") == 1, 4).otherwise(3), F.col("lang")).alias("label"))
+
+
+@register("context_header", """SELECT doc_id, '《' || source || '》（2024-01-01公布' || CASE WHEN toxic = 1 THEN '，尚未生效' ELSE '' END || '）' || lang AS header FROM documents LEFT JOIN labels USING (doc_id)""")
+def context_header(spark, d):
+    joined = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    return joined.select("doc_id", text.context_header(F.col("source"), F.lit("2024-01-01"), F.lit(None).cast("string"), F.when(F.col("toxic") == 1, 4).otherwise(3), F.col("lang")).alias("header"))
+
+
+@register("context_assembly", f"""WITH {ALL_BM25} SELECT query_id, string_agg('[来源' || "rank" || ']（《' || source || '》' || lang || '）' || left(text, 200), chr(10) || chr(10) ORDER BY "rank") AS context
+    FROM words JOIN documents USING (doc_id) WHERE "rank" <= 12 GROUP BY query_id""")
+def context_assembly(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", text.citation_label(F.col("source"), F.col("lang"), F.lit(3), F.col("lang")).alias("label"), F.substring("text", 1, 200).alias("snippet"))
+    blocks = bm25(spark, d, 12).join(docs, "doc_id").select("query_id", "rank", text.context_block(F.col("rank"), F.col("label"), F.col("snippet")).alias("block"))
+    return blocks.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "block"))), lambda x: x.block), "\n\n").alias("context"))
+
+
+# ---- conversations and logs ----
+SQL_COMPACT = r"regexp_replace(lower(text), '[\s，。！？!?,.、；;：:（()）【】\[\]\"''“”‘’]+', '', 'g')"
+
+
+@register("intent_class", f"""SELECT conv_id, turn, c <> '' AND ({" OR ".join(f"(starts_with(c, '{w}') AND length(c) <= {len(w) + 4})" for w in text.CHAT_WORDS)}) AS is_chat FROM (SELECT conv_id, turn, {SQL_COMPACT} AS c FROM conversations)""")
+def intent_class(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", text.is_chat(F.col("text")).alias("is_chat"))
+
+
+@register("history_window", "SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 6")
+def history_window(spark, d):
+    return logs.last_turns(table(spark, d, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+SQL_ANSWER = "text || '[来源' || turn || ']' || CASE WHEN turn % 2 = 1 THEN '[来源：' || role || ']' ELSE '' END"
+
+
+def _answers(spark, d) -> DataFrame:
+    """Conversation texts with source marks: a number each, and a name in odd turns."""
+    named = F.when(F.col("turn") % 2 == 1, F.concat(F.lit("[来源："), "role", F.lit("]"))).otherwise("")
+    return table(spark, d, "conversations").select("conv_id", "turn", "role", F.concat("text", F.lit("[来源"), F.col("turn").cast("string"), F.lit("]"), named).alias("answer"))
+
+
+@register("citation_count", rf"SELECT conv_id, turn, (len(regexp_extract_all(a, '\[来源\d+\]')) + len(regexp_extract_all(a, '\[来源[：:][^\]]+\]')))::INTEGER AS n FROM (SELECT conv_id, turn, {SQL_ANSWER} AS a FROM conversations)")
+def citation_count(spark, d):
+    return _answers(spark, d).select("conv_id", "turn", text.citations(F.col("answer")).alias("n"))
+
+
+WANTED = ["the", "und", "que", "les", "idiot"]
+
+
+@register("agent_score_tiers", rf"""WITH a AS (SELECT conv_id, turn, role, {SQL_ANSWER} AS a FROM conversations), s AS (SELECT conv_id, turn,
+        CASE WHEN role IN ('assistant', 'user') THEN 12.5 ELSE 0 END::DOUBLE AS tool_selection,
+        ({" + ".join("CASE WHEN " + " OR ".join(f"contains(a, '{w}')" for w in ws) + " THEN 25::DOUBLE / 3 ELSE 0 END" for ws in evaluation.STRUCTURE)}) AS structure,
+        least((len(regexp_extract_all(a, '\[来源\d+\]')) + len(regexp_extract_all(a, '\[来源[：:][^\]]+\]'))) / 2, 1.0) * 25::DOUBLE AS source_citation,
+        25::DOUBLE * len(list_filter({WANTED}, lambda w: contains(lower(a), w))) / {len(WANTED)} AS keyword_coverage FROM a)
+    SELECT conv_id, turn, round(tool_selection, 6) AS tool_selection, round(structure, 6) AS structure, round(source_citation, 6) AS source_citation, round(keyword_coverage, 6) AS keyword_coverage,
+        round(tool_selection + structure + source_citation + keyword_coverage, 6) AS total, CASE WHEN total >= 80 THEN 'excellent' WHEN total >= 60 THEN 'good' WHEN total >= 40 THEN 'fair' ELSE 'poor' END AS tier FROM s""")
+def agent_score_tiers(spark, d):
+    parts = evaluation.agent_score(F.col("answer"), F.array("role"), F.array(F.lit("assistant"), F.lit("user")), F.array(*map(F.lit, WANTED)))
+    scored = _answers(spark, d).withColumns(parts)
+    total = F.round(sum((F.col(c) for c in parts), F.lit(0.0)), 6)
+    return rounded(scored.select("conv_id", "turn", *parts, total.alias("total"), evaluation.tier(total).alias("tier")), *parts)
+
+
+def _calls(spark, d) -> DataFrame:
+    """Events as a log of model calls: the type is the source, ``k`` the prompt tokens, the user the completion tokens."""
+    k = F.from_json("props", "k long")["k"]
+    model = F.when(F.col("event_type") == "click", "deepseek-v4-pro").when(F.col("event_type") == "view", "deepseek-chat").otherwise("other")
+    return table(spark, d, "events").select(
+        F.col("event_type").alias("source"), model.alias("model"), k.alias("prompt_tokens"), F.col("user_id").alias("completion_tokens"),
+        F.col("value").alias("latency_ms"), (F.col("event_type") != "error").alias("success"), "ts", "event_id",
+    )
+
+
+@register("usage_rollup", """WITH c AS (SELECT event_type AS source, (props ->> '$.k')::BIGINT AS p, user_id AS u, value, CASE WHEN event_type = 'click' THEN 10.0::DOUBLE ELSE 2.0::DOUBLE END AS pi, CASE WHEN event_type = 'click' THEN 40.0::DOUBLE ELSE 8.0::DOUBLE END AS po FROM events)
+    SELECT source, count(*) AS calls, sum(p + u)::BIGINT AS tokens, round(sum(p / 1000000 * pi + u / 1000000 * po), 6) AS cost_cny, round(sum(value), 1) AS latency_ms, count_if(source = 'error')::BIGINT AS failures FROM c GROUP BY ROLLUP (source)""")
+def usage_rollup(spark, d):
+    return logs.usage(_calls(spark, d))
+
+
+@register("feedback_summary", """WITH f AS (SELECT event_type AS mode, CASE WHEN value > 10 THEN 'up' WHEN value < 5 THEN 'down' ELSE '?' END AS rating FROM events)
+    SELECT mode, count(*) AS total, count_if(rating = 'up')::BIGINT AS up, count_if(rating = 'down')::BIGINT AS down,
+        round(coalesce(count_if(rating = 'up') / nullif(count_if(rating IN ('up', 'down')), 0), 0), 6)::DOUBLE AS satisfaction FROM f GROUP BY ROLLUP (mode)""")
+def feedback_summary(spark, d):
+    rating = F.when(F.col("value") > 10, "up").when(F.col("value") < 5, "down").otherwise("?")
+    return rounded(logs.feedback(table(spark, d, "events").select(F.col("event_type").alias("mode"), rating.alias("rating"))), "satisfaction")
+
+
+@register("latest_downs", "SELECT event_id, event_type AS mode FROM events WHERE value < 5 ORDER BY ts DESC, event_id DESC LIMIT 10")
+def latest_downs(spark, d):
+    downs = table(spark, d, "events").filter("value < 5")
+    return logs.latest(downs, [F.desc("ts"), F.desc("event_id")]).select("event_id", F.col("event_type").alias("mode"))
+
+
+@register("crawl_progress", """WITH s AS (SELECT source AS category, count(*) AS laws, sum(len(string_split(text, chr(10))))::BIGINT AS articles FROM documents GROUP BY 1),
+    e AS (SELECT 'src' || label AS category, count(*) AS expected FROM embeddings GROUP BY 1)
+    SELECT category, coalesce(laws, 0) AS laws, coalesce(articles, 0) AS articles, expected, round(coalesce(coalesce(laws, 0) / expected, 0), 6) AS share FROM e LEFT JOIN s USING (category)""")
+def crawl_progress(spark, d):
+    statutes = table(spark, d, "documents").select(F.col("source").alias("category"), F.split("text", "\n").alias("articles"))
+    expected = table(spark, d, "embeddings").groupBy(F.concat(F.lit("src"), F.col("label").cast("string")).alias("category")).agg(F.count("*").alias("expected"))
+    return rounded(logs.crawl_progress(statutes, expected).select("category", "laws", "articles", "expected", "share"), "share")
+
+
+@register("reason_histogram", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def reason_histogram(spark, d):
+    return logs.reasons(table(spark, d, "events"), "event_type")
+
+
+@register("recent_rate", """WITH m AS (SELECT max(epoch(ts)) AS now FROM events), r AS (SELECT epoch(ts) AS t FROM events, m WHERE epoch(ts) >= now - 86400)
+    SELECT count(*) AS n, round(coalesce(count(*) * 60 / greatest(max(t) - min(t), 1.0), 0), 6) AS per_minute FROM r""")
+def recent_rate(spark, d):
+    """The last day of the log, up to its newest event."""
+    times = table(spark, d, "events").select(F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).select((F.col("us") / 1e6).alias("t"))
+    newest = times.agg(F.max("t").alias("now"))
+    return rounded(logs.recent_rate(times.crossJoin(F.broadcast(newest)), "t", F.col("now"), 86400), "per_minute")  # one row of statistics
+
+
+@register("truncated_text", "SELECT doc_id, CASE WHEN length(s) > 2000 THEN left(s, 2000) || '…' ELSE s END AS text FROM (SELECT doc_id, " + STRIP.format(x="text") + " AS s FROM documents)")
+def truncated_text(spark, d):
+    """The feature is a cut: log entries keep 2,000 characters of a text."""
+    return table(spark, d, "documents").select("doc_id", text.truncated(F.col("text")).alias("text"))
