@@ -68,13 +68,27 @@ def with_text_columns(docs: DataFrame, text: str, added: dict[str, str], make, k
 def heavy_join(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, total: int, share: int = 1000) -> DataFrame:
     """Inner join of ``rows`` with ``keyed`` (one row for each key, ``count`` = its rows) that no frequent key can skew.
 
-    Keys with more than ``total / share`` rows number fewer than ``share``, so they are broadcast; the others shuffle.
+    Keys with more than ``total / share`` rows number fewer than ``share``, so they are broadcast; the others shuffle, and
+    rows that the broadcast has served go along under a hash of their place, so they are spread evenly. ``rows`` is read
+    once.
     """
     limit = max(1, total // share)
-    heavy = F.broadcast(keyed.filter(F.col(count) > limit))
-    light = keyed.filter(F.col(count) <= limit)
-    rest = rows.join(heavy.select(*keys), keys, "left_anti")
-    return rows.join(heavy, keys).unionByName(rest.join(light, keys))
+    payload = [c for c in keyed.columns if c not in keys]
+    heavy = keyed.filter(F.col(count) > limit).select(*keys, F.struct(*payload).alias("_heavy"))
+    light = keyed.filter(F.col(count) <= limit).select(*[F.col(k).alias(f"_{k}") for k in keys], F.struct(*payload).alias("_light"))
+    served = rows.join(F.broadcast(heavy), keys, "left")
+    spread = F.when(F.col("_heavy").isNull(), F.col(keys[0])).otherwise(F.xxhash64(F.monotonically_increasing_id()))
+    match = [F.col("_at") == F.col(f"_{keys[0]}"), *(F.col(k) == F.col(f"_{k}") for k in keys[1:]), F.col("_heavy").isNull()]
+    joined = served.withColumn("_at", spread).join(light, match, "left").withColumn("_found", F.coalesce("_heavy", "_light"))
+    return joined.filter("_found is not null").select(*rows.columns, "_found.*")
+
+
+def bucketed(df: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """``df`` as a table bucketed by ``key`` in the warehouse, which all executors share, and the table's name to drop it by."""
+    spark = df.sparkSession
+    name = f"siftwell_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(name)
+    return spark.table(name), name
 
 
 @lru_cache(1)
