@@ -54,7 +54,8 @@ def parsed(statutes: DataFrame, articles: str = "articles") -> tuple[DataFrame,
 
 def replace_by_source(existing: DataFrame, incoming: DataFrame, source: str = "source") -> DataFrame:
     """``existing`` without the sources that ``incoming`` brings, and ``incoming``."""
-    return existing.join(incoming.select(source).distinct(), source, "left_anti").unionByName(incoming, allowMissingColumns=True)
+    rest = existing.join(incoming.select(source).distinct(), source, "left_anti").select(*existing.columns)
+    return rest.unionByName(incoming, allowMissingColumns=True)
 
 
 def signature(docs: DataFrame, text: str = "text") -> DataFrame:

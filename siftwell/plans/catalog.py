@@ -134,7 +134,7 @@ def dense_topk(spark, d):
 @register("l2_similarity", f"WITH {WITH_DENSE} SELECT query_id, doc_id, round(2 - 2 * score, 6) AS distance, score AS similarity FROM vecs")
 def l2_similarity(spark, d):
     found = dense(spark, d).withColumn("distance", 2 - 2 * F.col("score"))
-    return rounded(found.select("query_id", "doc_id", "distance", scores.similarity(F.col("distance")).alias("similarity")), "distance")
+    return rounded(found.select("query_id", "doc_id", "distance", scores.similarity(F.col("distance")).alias("similarity")), "distance", "similarity")
 
 
 @register("rrf_fusion", f"WITH {PAIRED_BM25}, {WITH_DENSE}, {WITH_RRF} SELECT query_id, \"rank\", doc_id, score FROM rrf")
