@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.shared import staged
+from siftwell.llm.shared import packed, staged, unpacked
 
 #: Topics that texts are dealt to where no topic column is given.
 TOPICS = 8
@@ -19,20 +19,21 @@ BROADCAST_CELLS = 200_000
 MARGINS = ("source", "lang", "topic")
 
 
-def described(docs: DataFrame, text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:
-    """``docs`` with ``_cell``, a struct of source, lang, topic and tokens. Null sources and languages become ``(none)``.
+def cells_of(docs: DataFrame, text: str = "text", source: str = "source", lang: str = "lang", key: str = "doc_id", whole: bool = False) -> DataFrame:
+    """(key, source, lang, topic, tokens) of every row, and with ``whole`` the row as ``doc``.
 
-    tokens: white-space separated tokens, at least 1, so that an empty text weighs something. topic: a stand-in from the
-    text alone, the hash of its longest word in lower case (the greatest on ties), 0 without a word.
+    Null sources and languages become ``(none)``. tokens: white-space separated tokens, at least 1, so that an empty text
+    weighs something. topic: a stand-in from the text alone, the hash of its longest word in lower case (the greatest on
+    ties), 0 without a word.
     """
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("(none)"))
-    words = docs.withColumn("_words", F.split(F.lower(F.col(text)), "[ \t\n\r\x0b\x0c]+"))
-    longest = F.array_max(F.transform("_words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    words = F.split(F.lower(F.col(text)), "[ \t\n\r\x0b\x0c]+")
+    rows = packed(docs, key=F.col(key), source=name(source), lang=name(lang), words=words)
+    longest = F.array_max(F.transform("words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     topic = F.coalesce(F.conv(F.substring(F.md5(F.nullif(longest, F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long") % TOPICS, F.lit(0)).cast("int")
-    edges = F.when(F.element_at("_words", 1) == "", 1).otherwise(0) + F.when((F.size("_words") > 1) & (F.element_at("_words", -1) == ""), 1).otherwise(0)
-    tokens = F.greatest(F.lit(1), F.coalesce(F.size("_words") - edges, F.lit(1))).cast("long")
-    cell = F.struct(name(source).alias("source"), name(lang).alias("lang"), topic.alias("topic"), tokens.alias("tokens"))
-    return words.withColumn("_cell", cell).drop("_words")
+    edges = F.when(F.element_at("words", 1) == "", 1).otherwise(0) + F.when((F.size("words") > 1) & (F.element_at("words", -1) == ""), 1).otherwise(0)
+    tokens = F.greatest(F.lit(1), F.coalesce(F.size("words") - edges, F.lit(1))).cast("long")
+    return rows.select(*["doc"] * whole, "key", "source", "lang", topic.alias("topic"), tokens.alias("tokens"))
 
 
 def rake(cells: DataFrame, fraction: float = 0.5, temper: float = 0.7, rounds: int = 12) -> DataFrame:
@@ -65,23 +66,20 @@ def uniform(key: Column, seed: int = 17) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def with_probabilities(cells: DataFrame, **options) -> DataFrame:
-    """``cells`` (rows with ``_cell``) with ``prob`` of their cell.
+def with_probabilities(rows: DataFrame, **options) -> DataFrame:
+    """``rows`` (of ``cells_of``) with ``prob`` of their cell.
 
     The table of cells is broadcast while it has at most BROADCAST_CELLS rows; a larger one is joined by shuffle.
     """
-    counted = staged(cells.groupBy("_cell.source", "_cell.lang", "_cell.topic").agg(F.sum("_cell.tokens").alias("tokens")))
-    raked = rake(counted, **options).select(F.struct(*MARGINS).alias("_of"), "prob")
-    small = counted.count() <= BROADCAST_CELLS
-    of = F.struct(*(F.col(f"_cell.{m}").alias(m) for m in MARGINS))
-    return cells.withColumn("_in", of).join(F.broadcast(raked) if small else raked, F.col("_in") == F.col("_of")).drop("_in", "_of")
+    counted = staged(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")))
+    raked = rake(counted, **options).select(*MARGINS, "prob")
+    return rows.join(F.broadcast(raked) if counted.count() <= BROADCAST_CELLS else raked, list(MARGINS))
 
 
 def decisions(docs: DataFrame, key: str = "doc_id", seed: int = 17, **options) -> DataFrame:
     """(key, source, lang, topic, tokens, prob, sampled) for every row of ``docs``."""
-    cells = staged(described(docs).select(F.col(key).alias("_key"), "_cell"))
-    found = with_probabilities(cells, **options)
-    return found.select(F.col("_key").alias(key), "_cell.*", "prob", (uniform(F.col("_key"), seed) < F.col("prob")).alias("sampled"))
+    found = with_probabilities(staged(cells_of(docs, key=key)), **options)
+    return found.select(F.col("key").alias(key), *MARGINS, "tokens", "prob", (uniform(F.col("key"), seed) < F.col("prob")).alias("sampled"))
 
 
 def sample(docs: DataFrame, key: str = "doc_id", seed: int = 17, **options) -> DataFrame:
@@ -90,8 +88,8 @@ def sample(docs: DataFrame, key: str = "doc_id", seed: int = 17, **options) -> D
     The choice depends on key and seed alone, so a rerun takes the same rows; rows with equal keys go or stay together. An
     empty table gives an empty one.
     """
-    found = with_probabilities(described(docs), **options)
-    return found.filter(uniform(F.col(key), seed) < F.col("prob")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = with_probabilities(cells_of(docs, key=key, whole=True), **options)
+    return unpacked(found.filter(uniform(F.col("key"), seed) < F.col("prob")), docs.columns)
 
 
 def oracle(fraction: float = 0.5, temper: float = 0.7, rounds: int = 12, seed: int = 17) -> str:

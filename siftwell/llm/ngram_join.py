@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.components import components
-from siftwell.llm.shared import GOLDEN, mix, staged, steps, with_text_columns, word_hashes
+from siftwell.llm.shared import GOLDEN, mix, packed, staged, steps, unpacked, with_text_columns, word_hashes
 
 #: Min-wise tokens of a set, bucket size for brute force, levels of splitting, chance of a second sampled token.
 TOKENS, LIMIT, LEVELS, SECOND = 64, 100, 4, 0.25
@@ -307,6 +307,6 @@ def keep_one(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float
     """
     found = _classified(docs, n, similarity, recall, key, text)
     stays = found.filter(F.col("key").eqNullSafe(F.col("lead_key")) & F.col("th").eqNullSafe(F.col("lead_th")))
-    stays = stays.select(F.struct("key", "th").alias("_stays")).distinct()
-    numbered = docs.withColumn("_row", F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("th")))
-    return numbered.join(stays, numbered["_row"] == stays["_stays"], "left_semi").dropDuplicates(["_row"]).drop("_row")
+    stays = stays.select(F.struct("key", "th").alias("row")).distinct()
+    rows = packed(docs, row=F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("th")))
+    return unpacked(rows.join(stays, "row", "left_semi").dropDuplicates(["row"]), docs.columns)

@@ -42,6 +42,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(docs: DataFrame, **beside) -> DataFrame:
+    """``docs`` as one struct column ``doc`` with the columns ``beside``, so that no name of theirs can clash."""
+    return docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("doc"), *(v.alias(k) for k, v in beside.items()))
+
+
+def unpacked(rows: DataFrame, columns: list[str], **changed) -> DataFrame:
+    """The ``columns`` of ``doc``, some replaced by the expressions ``changed``."""
+    return rows.select(*(changed.get(c, F.col("doc")[c]).alias(c) for c in columns))
+
+
 def with_text_columns(docs: DataFrame, text: str, added: dict[str, str], make, keep_text: bool = True) -> DataFrame:
     """``docs`` with the columns ``added`` (name: type), replacing any of those names; other columns pass untouched.
 

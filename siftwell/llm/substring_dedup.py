@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from siftwell.llm.shared import GOLDEN, char_tables, code_points, heavy_join, mix, powers, staged, steps
+from siftwell.llm.shared import GOLDEN, char_tables, code_points, heavy_join, mix, packed, powers, staged, steps, unpacked
 
 #: Words that a repeated passage must have; a passage of 50 loses at most its first unit to the text before it.
 MIN_WORDS = 25
@@ -108,9 +108,12 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", t
 def remove(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the repeated passages cut out of the text and ``removed``, an array of their (start, stop) in the original."""
     spans = repeated(docs, min_words, key, text).groupBy("key", "th").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("removed"))
-    spans = spans.select(F.struct("key", "th").alias("_of"), "removed")
-    numbered = docs.drop("removed").withColumn("_row", F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("th")))
-    joined = numbered.join(spans, numbered["_row"] == spans["_of"], "left").drop("_row", "_of")
-    edges = F.concat(F.array(F.lit(0)), F.col("removed.stop")), F.concat(F.col("removed.start"), F.array(F.length(text)))
-    kept = F.array_join(F.zip_with(*edges, lambda a, b: F.substring(F.col(text), a + 1, b - a)), "")
-    return joined.withColumn(text, F.when(F.col("removed").isNull(), F.col(text)).otherwise(kept)).withColumn("removed", F.coalesce("removed", F.array().cast("array<struct<start:int,stop:int>>")))
+    spans = spans.select(F.struct("key", "th").alias("row"), "removed")
+    keep = docs.drop("removed")
+    rows = packed(keep, row=F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("th"))).join(spans, "row", "left")
+    whole = F.col("doc")[text]
+    edges = F.concat(F.array(F.lit(0)), F.col("removed.stop")), F.concat(F.col("removed.start"), F.array(F.length(whole)))
+    left = F.array_join(F.zip_with(*edges, lambda a, b: F.substring(whole, a + 1, b - a)), "")
+    none = F.array().cast("array<struct<start:int,stop:int>>")
+    cut = {text: F.when(F.col("removed").isNull(), whole).otherwise(left), "removed": F.coalesce("removed", none)}
+    return unpacked(rows, [*keep.columns, "removed"], **cut)
