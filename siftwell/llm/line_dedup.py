@@ -2,7 +2,7 @@
 
 Equal normalised lines are one class. A class's signature holds, for each of some fixed masks, the hash of the character
 shingle nearest to the mask by exclusive or, which two lines share with a chance equal to their Jaccard similarity. Bands
-of the signature propose pairs, the exact Jaccard similarity of the shingle sets decides, and union-find over the accepted
+of the signature propose all pairs of their buckets, the exact Jaccard similarity of the shingle sets decides, and union-find over the accepted
 pairs leaves one line, the earliest, of each component.
 """
 
@@ -21,6 +21,8 @@ SHINGLE, ROWS, BANDS = 8, 3, 8
 #: Signatures of lines with DENSE shingles or more are taken over those whose hash ends in two zero bits, the same for
 #: every such line; lines a little shorter than that are described both ways.
 DENSE = 128
+#: Lines of a block when all pairs of a large bucket are compared.
+BLOCK = 400
 
 
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -70,21 +72,56 @@ def _bands(classes: DataFrame) -> DataFrame:
     return staged(signed.select("id", bands.alias("bands"))).select("id", F.explode("bands").alias("band"))
 
 
+def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, shared, either, own) of pairs (a, b): shingles in both lines, in either, and in b."""
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("norm").alias("y")), "b")
+    # exploding one struct makes the sets once; as plain columns each of their uses would make them again
+    sets = both.select("a", "b", F.explode(F.array(F.struct(_shingles("x").alias("s"), _shingles("y").alias("t")))).alias("x"))
+    sizes = F.size(F.array_intersect("x.s", "x.t")).alias("shared"), F.size(F.array_union("x.s", "x.t")).alias("either"), F.size(F.array_distinct("x.t")).alias("own")
+    return sets.select("a", "b", *sizes)
+
+
+def _other_pairs(inside: DataFrame, star: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: the pairs of each bucket that ``star``, its compared pairs with the least and the greatest, leaves open.
+
+    Left out are only pairs that the star has linked to one line already, and those that cannot reach the similarity: their
+    set sizes, or their distances to the least or the greatest line, differ too much (1 - Jaccard is a metric).
+    """
+    told = star.withColumn("far", 1 - F.col("shared") / F.col("either")).withColumn("near", F.col("shared") >= similarity * F.col("either"))
+    low = told.select(F.col("a").alias("low"), F.col("b").alias("id"), "own", F.col("far").alias("far_low"), F.col("near").alias("near_low"))
+    high = told.select(F.col("a").alias("id"), F.col("b").alias("high"), F.col("far").alias("far_high"), F.col("near").alias("near_high"))
+    rest = inside.filter((F.col("size") > 3) & (F.col("id") != F.col("low")) & (F.col("id") != F.col("high")))  # the star is all pairs of three
+    label = F.when(F.col("near_low"), F.col("low")).when(F.col("near_high"), F.col("high")).otherwise(F.col("id"))
+    rest = rest.join(low, ["low", "id"]).join(high, ["high", "id"]).select("band", "id", "own", "far_low", "far_high", label.alias("label"))
+    rest = staged(rest)
+    sizes = rest.groupBy("band").agg(F.count("*").alias("size"), F.min("label").alias("first"), F.max("label").alias("last"))
+    split = sizes.filter(F.col("first") < F.col("last")).withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int")).select("band", "size", "parts")
+    # a large bucket is cut into blocks, and each two blocks meet under a key of their own
+    cut = heavy_join(rest, staged(split), ["band"], "size", rest.count()).withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.col("parts")).cast("int"))
+    each = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    each = each.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", F.struct("id", "own", "far_low", "far_high", "label").alias("x"))
+    left, right = (each.filter(F.col("block") == F.col(k)).select("band", "i", "j", F.col("x").alias(n)) for k, n in (("i", "x"), ("j", "y")))
+    far = 1 - similarity + 1e-9
+    able = (F.least("x.own", "y.own") >= (similarity - 1e-9) * F.greatest("x.own", "y.own")) & (F.abs(F.col("x.far_low") - F.col("y.far_low")) <= far) & (F.abs(F.col("x.far_high") - F.col("y.far_high")) <= far)
+    met = left.join(right, ["band", "i", "j"]).filter((F.col("x.label") != F.col("y.label")) & able & ((F.col("i") != F.col("j")) | (F.col("x.id") < F.col("y.id"))))
+    pairs = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    return pairs.join(star.select("a", "b"), ["a", "b"], "left_anti")
+
+
 def duplicate_classes(lines: DataFrame, similarity: float = 0.8) -> DataFrame:
     """(id, root, n): classes of equal lines that have two rows or more, or a near duplicate; root is the least id of the component."""
     distinct = lines.groupBy("id").agg(F.first("norm").alias("norm"), F.count("*").alias("n"))
     classes, name = bucketed(distinct, "id")
     members = _bands(classes)
     buckets = members.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("size")).filter("size > 1")
-    inside = heavy_join(members, staged(buckets), ["band"], "size", classes.count() * BANDS)
-    # each member meets the bucket's least and greatest: a bucket gives two pairs for each member, not all pairs
+    inside = staged(heavy_join(members, staged(buckets), ["band"], "size", classes.count() * BANDS))
+    # each member meets the bucket's least and greatest, which joins most families; then all pairs that this leaves open
     two = F.array(F.struct(F.col("low").alias("a"), F.col("id").alias("b")), F.struct(F.col("id").alias("a"), F.col("high").alias("b")))
     pairs = inside.select(F.explode(two).alias("x")).select("x.a", "x.b").filter("a <> b").distinct()
     texts = classes.select("id", "norm")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("norm").alias("y")), "b")
-    # exploding one struct makes the sets once; as plain columns each of their uses would make them again
-    sets = both.select("a", "b", F.explode(F.array(F.struct(_shingles("x").alias("s"), _shingles("y").alias("t")))).alias("x"))
-    linked = sets.filter(F.size(F.array_intersect("x.s", "x.t")) >= similarity * F.size(F.array_union("x.s", "x.t")))
+    star = staged(_compared(pairs, texts))
+    compared = star.unionByName(_compared(_other_pairs(inside, star, similarity), texts))
+    linked = compared.filter(F.col("shared") >= similarity * F.col("either"))
     roots = components(linked.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "id")
     found = staged(classes.select("id", "n").join(roots, "id", "left").filter("n > 1 or root is not null").select("id", F.coalesce("root", "id").alias("root"), "n"))
     lines.sparkSession.sql(f"DROP TABLE {name}")

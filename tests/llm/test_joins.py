@@ -166,6 +166,22 @@ def test_line_dedup(spark, texts):
     assert got <= want and len(got) >= 0.99 * len(want)
 
 
+@pytest.mark.parametrize("block", [400, 30])
+def test_line_dedup_compares_all_pairs_of_a_bucket(spark, monkeypatch, block):
+    """Long shared boilerplate with different tails: a bucket's least and greatest line are like few of its lines."""
+    monkeypatch.setattr(line_dedup, "BLOCK", block, raising=False)
+    rng = random.Random(4)
+    draw = lambda n: "".join(rng.choices("abcdefghiklmnoprst ", k=n - 1)) + "x"
+    shared_part, rows = draw(210), []
+    for _ in range(150):
+        line = shared_part + draw(34)
+        rows += [line, line[:-1] + "y"]
+    plain = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {(r["key"], r["line"], r["keep_key"], r["keep_line"]) for r in line_dedup.removed_lines(plain).collect()}
+    want = brute_lines(rows)
+    assert len(want) == 150 and got == want
+
+
 def test_drop_lines(spark, docs):
     kept = line_dedup.drop_lines(docs)
     assert kept.columns == docs.columns
