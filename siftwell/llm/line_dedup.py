@@ -1,7 +1,7 @@
 """Fuzzy line deduplication by MinHash, with DataFrame functions only.
 
-Equal normalised lines are one class. A class's signature holds, for each of some fixed masks, the hash of the character
-shingle nearest to the mask by exclusive or, which two lines share with a chance equal to their Jaccard similarity. Bands
+Equal normalised lines are one class. A class's signature holds, for each of some hash functions, the least hash of its
+character shingles, which two lines share with a chance equal to their Jaccard similarity. Bands
 of the signature propose all pairs of their buckets, the exact Jaccard similarity of the shingle sets decides, and union-find over the accepted
 pairs leaves one line, the earliest, of each component.
 """
@@ -18,9 +18,6 @@ from siftwell.llm.shared import bucketed, heavy_join, packed, staged, unpacked
 
 #: Characters of a shingle, signature values of a band, bands: a pair at 0.8 is proposed with a chance of 0.997.
 SHINGLE, ROWS, BANDS = 8, 3, 8
-#: Signatures of lines with DENSE shingles or more are taken over those whose hash ends in two zero bits, the same for
-#: every such line; lines a little shorter than that are described both ways.
-DENSE = 128
 #: Lines of a block when all pairs of a large bucket are compared.
 BLOCK = 400
 
@@ -59,16 +56,13 @@ def _mask(j: int) -> int:
 
 def _bands(classes: DataFrame) -> DataFrame:
     """(id, band): the hashes of the bands of each line's signature."""
-    wide = classes.select("id", F.encode("norm", "UTF-16BE").alias("wide")).withColumn("count", _count(F.col("wide")))
-    # a line is described by all its shingles, by the sampled ones, or near the limit by both
-    short, long = F.col("count") < DENSE * 3 // 4, F.col("count") >= DENSE * 4 // 3
-    kinds = F.when(short, F.array(F.lit(False))).when(long, F.array(F.lit(True))).otherwise(F.array(F.lit(False), F.lit(True)))
-    lines = wide.select("id", "wide", "count", F.explode(kinds).alias("sampled"))
-    each = lines.select("id", "sampled", "wide", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("p"))
-    hashed = each.select("id", "sampled", _hash(F.col("wide"), F.col("p")).alias("h"))
-    used = hashed.filter(~F.col("sampled") | (F.col("h").bitwiseAND(3) == 0))
-    signed = used.groupBy("id", "sampled").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(_mask(j)))).alias(f"m{j}") for j in range(ROWS * BANDS)))
-    bands = F.array(*(F.xxhash64(F.lit(b), "sampled", *(f"m{b * ROWS + i}" for i in range(ROWS))) for b in range(BANDS)))
+    lines = classes.select("id", F.encode("norm", "UTF-16BE").alias("wide")).withColumn("count", _count(F.col("wide")))
+    each = lines.select("id", "wide", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("p"))
+    hashed = each.select("id", _hash(F.col("wide"), F.col("p")).alias("h"))
+    # hashed anew for each value: the values of few shingles are then independent, which nearness to masks alone is not
+    value = lambda j: F.min(F.xxhash64(F.col("h").bitwiseXOR(F.lit(_mask(j))))).alias(f"m{j}")
+    signed = hashed.groupBy("id").agg(*(value(j) for j in range(ROWS * BANDS)))
+    bands = F.array(*(F.xxhash64(F.lit(b), *(f"m{b * ROWS + i}" for i in range(ROWS))) for b in range(BANDS)))
     return staged(signed.select("id", bands.alias("bands"))).select("id", F.explode("bands").alias("band"))
 
 

@@ -182,6 +182,21 @@ def test_line_dedup_compares_all_pairs_of_a_bucket(spark, monkeypatch, block):
     assert len(want) == 150 and got == want
 
 
+def test_line_dedup_of_repetitive_and_short_lines(spark):
+    """Equal shingle sets of different lengths, long lines of one distinct shingle, and pairs of few shingles."""
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghiklmnoprst", k=6)) + " " for _ in range(20)]
+    rows = [c * n for c in "-=*#_~.+" for n in (80, 200, 500)] + [w * n for w in words for n in (15, 40)]
+    for _ in range(300):
+        line = "".join(rng.choices("abcdefghiklmnoprst", k=11))
+        rows += [line, line + "z"]  # 4 and 5 shingles: at 0.8
+    plain = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {(r["key"], r["line"], r["keep_key"], r["keep_line"]) for r in line_dedup.removed_lines(plain).collect()}
+    want = brute_lines(rows)
+    sure = {w for w in want if w[0] < 64}
+    assert len(sure) == 36 and sure <= got <= want and len(got) >= 0.99 * len(want)
+
+
 def test_drop_lines(spark, docs):
     kept = line_dedup.drop_lines(docs)
     assert kept.columns == docs.columns
