@@ -20,6 +20,8 @@ from siftwell.llm.shared import bucketed, heavy_join, packed, staged, unpacked
 SHINGLE, ROWS, BANDS = 8, 3, 8
 #: Lines of a block when all pairs of a large bucket are compared.
 BLOCK = 400
+#: Times that all members of a bucket meet two more of its lines before its remaining pairs are compared, if those are many.
+TURNS = 3
 
 
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -75,31 +77,58 @@ def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return sets.select("a", "b", *sizes)
 
 
-def _other_pairs(inside: DataFrame, star: DataFrame, similarity: float) -> DataFrame:
-    """(a, b), a < b: the pairs of each bucket that ``star``, its compared pairs with the least and the greatest, leaves open.
+def _roots(compared: DataFrame, similarity: float) -> DataFrame:
+    linked = compared.filter(F.col("shared") >= similarity * F.col("either"))
+    return components(linked.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "id")
 
-    Left out are only pairs that the star has linked to one line already, and those that cannot reach the similarity: their
-    set sizes, or their distances to the least or the greatest line, differ too much (1 - Jaccard is a metric).
-    """
-    told = star.withColumn("far", 1 - F.col("shared") / F.col("either")).withColumn("near", F.col("shared") >= similarity * F.col("either"))
-    low = told.select(F.col("a").alias("low"), F.col("b").alias("id"), "own", F.col("far").alias("far_low"), F.col("near").alias("near_low"))
-    high = told.select(F.col("a").alias("id"), F.col("b").alias("high"), F.col("far").alias("far_high"), F.col("near").alias("near_high"))
+
+def _placed(inside: DataFrame, star: DataFrame) -> DataFrame:
+    """(band, id, own, far_low, far_high): members between a bucket's least and greatest line, and their distances to these."""
+    far = (1 - F.col("shared") / F.col("either")).alias
+    low = star.select(F.col("a").alias("low"), F.col("b").alias("id"), "own", far("far_low"))
+    high = star.select(F.col("a").alias("id"), F.col("b").alias("high"), far("far_high"))
     rest = inside.filter((F.col("size") > 3) & (F.col("id") != F.col("low")) & (F.col("id") != F.col("high")))  # the star is all pairs of three
-    label = F.when(F.col("near_low"), F.col("low")).when(F.col("near_high"), F.col("high")).otherwise(F.col("id"))
-    rest = rest.join(low, ["low", "id"]).join(high, ["high", "id"]).select("band", "id", "own", "far_low", "far_high", label.alias("label"))
-    rest = staged(rest)
-    sizes = rest.groupBy("band").agg(F.count("*").alias("size"), F.min("label").alias("first"), F.max("label").alias("last"))
-    split = sizes.filter(F.col("first") < F.col("last")).withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int")).select("band", "size", "parts")
-    # a large bucket is cut into blocks, and each two blocks meet under a key of their own
-    cut = heavy_join(rest, staged(split), ["band"], "size", rest.count()).withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.col("parts")).cast("int"))
+    return staged(rest.join(low, ["low", "id"]).join(high, ["high", "id"]).select("band", "id", "own", "far_low", "far_high"))
+
+
+def _open(placed: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
+    """Members with the labels of their components, the buckets that hold several (band, size, cross), pairs across, members."""
+    labelled = staged(placed.join(roots, "id", "left").select("band", "id", "own", "far_low", "far_high", F.coalesce("root", "id").alias("label")))
+    sizes = labelled.groupBy("band", "label").agg(F.count("*").alias("n")).groupBy("band").agg(F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("same"))
+    split = staged(sizes.withColumn("cross", (F.col("size") * F.col("size") - F.col("same")) / 2).filter("cross > 0").select("band", "size", "cross"))
+    told = split.agg(F.sum("cross"), F.sum("size")).first()
+    return labelled, split, told[0] or 0, told[1] or 0
+
+
+def _able(x: str, y: str, similarity: float):
+    """Whether two members can reach the similarity, by the sizes of their sets and as 1 - Jaccard is a metric."""
+    near = lambda k: F.abs(F.col(f"{x}.{k}") - F.col(f"{y}.{k}")) <= 1 - similarity + 1e-9
+    sizes = F.least(f"{x}.own", f"{y}.own") >= (similarity - 1e-9) * F.greatest(f"{x}.own", f"{y}.own")
+    return (F.col(f"{x}.label") != F.col(f"{y}.label")) & sizes & near("far_low") & near("far_high")
+
+
+def _pairs(met: DataFrame, compared: DataFrame) -> DataFrame:
+    pairs = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    return pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
+
+
+def _pivot_pairs(labelled: DataFrame, split: DataFrame, total: int, turn: int, similarity: float) -> DataFrame:
+    """(x, y): each member of a split bucket with two others, chosen anew each turn."""
+    member, at = F.struct("id", "own", "far_low", "far_high", "label"), F.xxhash64("id", F.lit(turn))
+    pivots = labelled.groupBy("band").agg(F.min_by(member, at).alias("first"), F.max_by(member, at).alias("last")).join(split, "band").select("band", "size", F.array("first", "last").alias("ys"))
+    each = heavy_join(labelled, staged(pivots), ["band"], "size", total).select(member.alias("x"), F.explode("ys").alias("y"))
+    return each.filter(_able("x", "y", similarity))
+
+
+def _cross_pairs(labelled: DataFrame, split: DataFrame, total: int, similarity: float) -> DataFrame:
+    """(x, y): all pairs across components in the split buckets; large ones in blocks, each two of which meet under a key."""
+    parts = split.select("band", "size", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"))
+    cut = heavy_join(labelled, parts, ["band"], "size", total).withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.col("parts")).cast("int"))
     each = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    each = each.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", F.struct("id", "own", "far_low", "far_high", "label").alias("x"))
+    member = F.struct("id", "own", "far_low", "far_high", "label").alias("x")
+    each = each.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", member)
     left, right = (each.filter(F.col("block") == F.col(k)).select("band", "i", "j", F.col("x").alias(n)) for k, n in (("i", "x"), ("j", "y")))
-    far = 1 - similarity + 1e-9
-    able = (F.least("x.own", "y.own") >= (similarity - 1e-9) * F.greatest("x.own", "y.own")) & (F.abs(F.col("x.far_low") - F.col("y.far_low")) <= far) & (F.abs(F.col("x.far_high") - F.col("y.far_high")) <= far)
-    met = left.join(right, ["band", "i", "j"]).filter((F.col("x.label") != F.col("y.label")) & able & ((F.col("i") != F.col("j")) | (F.col("x.id") < F.col("y.id"))))
-    pairs = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    return pairs.join(star.select("a", "b"), ["a", "b"], "left_anti")
+    return left.join(right, ["band", "i", "j"]).filter(_able("x", "y", similarity) & ((F.col("i") != F.col("j")) | (F.col("x.id") < F.col("y.id"))))
 
 
 def duplicate_classes(lines: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -113,10 +142,18 @@ def duplicate_classes(lines: DataFrame, similarity: float = 0.8) -> DataFrame:
     two = F.array(F.struct(F.col("low").alias("a"), F.col("id").alias("b")), F.struct(F.col("id").alias("a"), F.col("high").alias("b")))
     pairs = inside.select(F.explode(two).alias("x")).select("x.a", "x.b").filter("a <> b").distinct()
     texts = classes.select("id", "norm")
-    star = staged(_compared(pairs, texts))
-    compared = star.unionByName(_compared(_other_pairs(inside, star, similarity), texts))
-    linked = compared.filter(F.col("shared") >= similarity * F.col("either"))
-    roots = components(linked.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "id")
+    compared = staged(_compared(pairs, texts))
+    placed, roots = _placed(inside, compared), _roots(compared, similarity)
+    for turn in range(TURNS + 1):
+        labelled, split, cross, total = _open(placed, roots)
+        if not cross:
+            break
+        last = turn == TURNS or cross <= 4 * total
+        met = _cross_pairs(labelled, split, total, similarity) if last else _pivot_pairs(labelled, split, total, turn, similarity)
+        compared = compared.unionByName(staged(_compared(_pairs(met, compared), texts)))
+        roots = _roots(compared, similarity)
+        if last:
+            break
     found = staged(classes.select("id", "n").join(roots, "id", "left").filter("n > 1 or root is not null").select("id", F.coalesce("root", "id").alias("root"), "n"))
     lines.sparkSession.sql(f"DROP TABLE {name}")
     return found
