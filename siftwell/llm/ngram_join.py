@@ -1,8 +1,8 @@
 """N-gram Jaccard self-join by recursive splitting on sampled shared tokens (Chosen-Path join).
 
 A text is the set of its word n-grams. Texts with equal sets form one class; classes are joined. In each run a bucket of
-classes that is too large is split: its path samples one or two of the min-wise tokens, and classes that share such a
-token meet in a child bucket, so similar sets stay together with a chance that depends on their similarity only. Small
+classes that is too large is split: its path samples one or two of the level's two min-wise tokens, which no other run or
+level uses, and classes that share such a token meet in a child bucket, so similar sets stay together with a chance that depends on their similarity only. Small
 buckets are compared by brute force, as are those that the deepest level leaves large (groups of truly similar sets), in
 blocks. Runs repeat until a pair at the threshold is found with the target recall. Every pair is counted in exactly one
 bucket, the least that both of its classes reached, and is accepted by the exact Jaccard similarity of its sets.
@@ -21,10 +21,11 @@ from pyspark.sql import functions as F
 from siftwell.llm.components import components
 from siftwell.llm.shared import GOLDEN, mix, packed, staged, steps, unpacked, with_text_columns, word_hashes
 
-#: Min-wise tokens of a set, bucket size for brute force, levels of splitting, chance of a second sampled token.
-TOKENS, LIMIT, LEVELS, SECOND = 64, 100, 4, 0.25
-#: Sketch similarity below the threshold at which a pair is still verified: 5 standard deviations of TOKENS coincidences.
-SLACK = 0.25
+#: Bucket size for brute force, levels of splitting, chance of a second sampled token, min-wise tokens of a run.
+LIMIT, LEVELS, SECOND = 100, 4, 0.25
+RUN_TOKENS = 2 * LEVELS
+#: Share of the pairs that may be missed which the comparison of sketches may miss; the runs may miss the rest.
+SKETCH_SHARE = 0.1
 
 
 def shingles(texts: list[str | None], n: int = 5) -> list[np.ndarray]:
@@ -49,72 +50,96 @@ def shingles(texts: list[str | None], n: int = 5) -> list[np.ndarray]:
     return out
 
 
-def _masks() -> np.ndarray:
+def _factors(tokens: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return mix(np.arange(1, TOKENS + 1, dtype=np.uint64) * GOLDEN)
+        return mix(np.arange(1, tokens + 1, dtype=np.uint64) * GOLDEN) | np.uint64(1)
 
 
-def sketch(sets: list[np.ndarray]) -> list[np.ndarray]:
-    """TOKENS min-wise tokens of each set, 32 bits each: for each mask the member nearest to it by exclusive or."""
-    masks = _masks()
+def sketch(sets: list[np.ndarray], tokens: int = 64) -> list[np.ndarray]:
+    """Min-wise tokens of each set, 32 bits each: for each of some odd factors the member with the least product.
+
+    A factor orders all members anew, so the tokens of a pair agree independently, in small sets too.
+    """
+    factors = _factors(tokens)
     out = []
     for s in sets:
         if not len(s):
             out.append(np.zeros(0, np.int32))
             continue
-        best = np.full(TOKENS, ~np.uint64(0))
-        for at in range(0, len(s), 4096):
-            best = np.minimum(best, (s[at : at + 4096, None] ^ masks).min(0))
-        out.append(((best ^ masks) >> np.uint64(32)).astype(np.uint32).view(np.int32))
+        best = np.full(tokens, ~np.uint64(0))
+        with np.errstate(over="ignore"):
+            for at in range(0, len(s), 4096):
+                best = np.minimum(best, (s[at : at + 4096, None] * factors).min(0))
+        out.append(best.astype(np.uint32).view(np.int32))  # the low half: the high one of a least product is mostly zeros
     return out
 
 
+def _meeting(similarity: float, levels: int, second: float) -> float:
+    """Chance that a pair shares a bucket of the deepest level of one run: a Markov chain of the number of paths shared."""
+    paths = np.array([0.0, 1.0])
+    for _ in range(levels):
+        new = np.zeros(2 * len(paths))
+        for k, p in enumerate(paths):
+            for extra in range(k + 1):  # paths that sample the second token too
+                q = p * math.comb(k, extra) * second**extra * (1 - second) ** (k - extra)
+                for first, other in ((0, 0), (0, 1), (1, 0), (1, 1)):
+                    agree = (similarity if first else 1 - similarity) * (similarity if other else 1 - similarity)
+                    new[first * k + other * extra] += q * agree
+        paths = new
+    return 1 - float(paths[0])
+
+
 def runs_for(recall: float, similarity: float, levels: int = LEVELS, second: float = SECOND) -> int:
     """Runs after which a pair at the threshold has met in a bucket of the deepest level with the target recall."""
-    alive = 1.0
-    for _ in range(levels):
-        p = similarity * alive
-        alive = (1 - second) * p + second * (1 - (1 - p) ** 2)
-    return math.ceil(math.log(1 - recall) / math.log(1 - alive))
+    return math.ceil(math.log((1 - recall) * (1 - SKETCH_SHARE)) / math.log(1 - _meeting(similarity, levels, second)))
+
 
+def least_agreement(recall: float, similarity: float, tokens: int) -> int:
+    """Tokens that a pair at the threshold has in common, but for the share of misses that the sketches may have."""
+    below = 0.0
+    for k in range(tokens + 1):
+        below += math.comb(tokens, k) * similarity**k * (1 - similarity) ** (tokens - k)
+        if below > (1 - recall) * SKETCH_SHARE:
+            return k
+    return tokens
 
-def _child_paths(path, sig):
-    """Paths of a class's child buckets: the path alone chooses which tokens decide."""
-    pick = lambda seed: F.pmod(F.xxhash64(path, F.lit(seed)), F.lit(TOKENS)).cast("int")
-    child = lambda seed: F.xxhash64(path, pick(seed), F.get(sig, pick(seed)))
-    twice = (F.pmod(F.xxhash64(path, F.lit(3)), F.lit(1000)) < int(SECOND * 1000)) & (pick(1) != pick(2))
-    return F.when(twice, F.array(child(1), child(2))).otherwise(F.array(child(1)))
+
+def _child_paths(path, run, level: int, sig):
+    """Paths of a class's child buckets: the path alone chooses whether the second of the level's tokens decides too."""
+    child = lambda i: F.xxhash64(path, F.lit(i), F.get(sig, run * RUN_TOKENS + 2 * level + i))
+    twice = F.pmod(F.xxhash64(path, F.lit(3)), F.lit(1000)) < int(SECOND * 1000)
+    return F.when(twice, F.array(child(0), child(1))).otherwise(F.array(child(0)))
 
 
 def _leaves(classes: DataFrame, runs: int) -> DataFrame:
     """(leaf, cid, size): the buckets to compare by brute force, those of one class left out."""
-    at = classes.select("cid", "sig", F.explode(F.transform(F.sequence(F.lit(1), F.lit(runs)), lambda r: F.xxhash64(r))).alias("path"))
+    at = classes.select("cid", "sig", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run")).withColumn("path", F.xxhash64("run"))
     done = None
     for level in range(LEVELS):
-        at = staged(at.select("cid", F.explode(_child_paths(F.col("path"), F.col("sig"))).alias("path")))
+        at = staged(at.select("cid", "run", F.explode(_child_paths(F.col("path"), F.col("run"), level, F.col("sig"))).alias("path")))
         sizes = at.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1")
         at = at.join(sizes, "path")
         small = at if level == LEVELS - 1 else at.filter(F.col("size") <= LIMIT)
         small = staged(small.select(F.col("path").alias("leaf"), "cid", "size"))
         done = small if done is None else done.unionByName(small)
         if level < LEVELS - 1:
-            large = staged(at.filter(F.col("size") > LIMIT).select("cid", "path"))
+            large = staged(at.filter(F.col("size") > LIMIT).select("cid", "run", "path"))
             if large.isEmpty():
                 break
             at = large.join(classes.select("cid", "sig"), "cid")
     return done
 
 
-def _similar(sig: np.ndarray, leaves: np.ndarray, side: np.ndarray, leaf: int, least: float) -> list[tuple[np.ndarray, np.ndarray]]:
+def _similar(sig: np.ndarray, leaves: np.ndarray, side: np.ndarray, leaf: int, least: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Pairs (i, j), i < j, of one bucket whose sketches agree enough and whose least common leaf this is, in strips.
 
     ``side``: block of each row where a large bucket comes in two blocks, of which only the pairs across count; else 0.
     """
     n, found = len(sig), []
-    strip = max(1, 2_000_000 // (n * TOKENS))
+    strip = max(1, 2_000_000 // (n * sig.shape[1]))
     for a in range(0, n, strip):
         b = min(n, a + strip)
-        agree = (sig[a:b, None, :] == sig[None, a:, :]).sum(2, dtype=np.uint8) >= least * TOKENS
+        agree = (sig[a:b, None, :] == sig[None, a:, :]).sum(2, dtype=np.uint16) >= least
         i, j = np.nonzero(agree)
         i, j = i + a, j + a
         keep = (j > i) & ((side[i] != side[j]) | (side.min() == side.max()))
@@ -164,10 +189,11 @@ def _tasks(leaves: DataFrame) -> DataFrame:
 
 def join_classes(classes: DataFrame, sets_of, similarity: float, recall: float) -> DataFrame:
     """(cid, partner count, partner rows, least cid linked) partial rows of all pairs of classes at the threshold."""
-    leaves = staged(_leaves(classes, runs_for(recall, similarity)))
+    runs = runs_for(recall, similarity)
+    leaves = staged(_leaves(classes, runs))
     every = leaves.groupBy("cid").agg(F.array_sort(F.collect_set("leaf")).alias("leaves"))
     tasks = _tasks(leaves).join(every.join(classes.select("cid", "sig", "copies"), "cid"), "cid")
-    least = similarity - SLACK
+    least = least_agreement(recall, similarity, runs * RUN_TOKENS)
 
     def candidates(batches):
         for g in _groups(batches):
@@ -246,10 +272,12 @@ def _classified(docs: DataFrame, n: int, similarity: float, recall: float, key:
     """(key, th, lead_key, lead_th, copy_id, copies, links, texts) for every row; th is the hash of its text."""
     slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("th"))
 
+    tokens = runs_for(recall, similarity) * RUN_TOKENS
+
     def describe(texts: list[str | None]):
         sets = shingles(texts, n)
         cids = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None for s in sets]
-        return [cids, sketch(sets)]
+        return [cids, sketch(sets, tokens)]
 
     rows = staged(with_text_columns(slim, "text", {"cid": "long", "sig": "array<int>"}, describe, keep_text=False))
     worded = rows.filter("cid is not null")

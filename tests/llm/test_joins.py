@@ -126,6 +126,37 @@ def test_sketch_estimates_similarity():
     assert abs((a == b).mean() - 0.8) < 0.2
 
 
+def test_sketches_of_small_sets_agree_independently():
+    """Pairs at 0.8: the number of equal tokens is binomial, so (nearly) no pair of small sets falls below 0.55."""
+    rng = np.random.default_rng(2)
+    for n in (5, 10, 15, 20):
+        pools = [rng.integers(0, 1 << 64, n, dtype=np.uint64) for _ in range(4000)]
+        own = ngram_join.sketch(pools)
+        other = ngram_join.sketch([np.sort(p[: n * 4 // 5]) for p in pools])
+        agree = np.array([(a == b).mean() for a, b in zip(own, other, strict=True)])
+        assert (agree < 0.55).mean() <= 0.0005 and abs(agree.mean() - 0.8) < 0.01 and abs(agree.std() - 0.05) < 0.01
+
+
+def test_runs_and_sketches_keep_the_recall_together():
+    runs = ngram_join.runs_for(0.9999, 0.8)
+    rng = np.random.default_rng(3)
+    tokens = runs * ngram_join.RUN_TOKENS
+    assert (rng.binomial(tokens, 0.8, 1_000_000) < ngram_join.least_agreement(0.9999, 0.8, tokens)).mean() <= 2e-5
+    assert (1 - ngram_join._meeting(0.8, ngram_join.LEVELS, ngram_join.SECOND)) ** runs <= 0.9e-4
+
+
+def test_ngram_join_of_short_texts(spark, monkeypatch):
+    """A text of 8 words and the same with one more (4 of 5 shingles): all pairs are found."""
+    monkeypatch.setattr(ngram_join, "LIMIT", 4)
+    rng = random.Random(12)
+    rows = []
+    for _ in range(400):
+        words = rng.sample(WORDS, 9)
+        rows += [" ".join(words[:8]), " ".join(words)]
+    plain = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert all(r["class_id"] == r["doc_id"] // 2 * 2 for r in ngram_join.near_duplicates(plain).collect())
+
+
 def test_keep_one(spark, docs, texts):
     kept = ngram_join.keep_one(docs)
     want = {c[0] for c in brute_near(texts).values()} | {i for i, t in enumerate(texts) if shingle_set(t) is None}
