@@ -2,9 +2,9 @@
 
 A dimension is a term; the impact of a document in a term is q * x minus the least such value in the shard, so impacts are
 not negative and a score is a constant of the query plus the sum of its impacts. For each query the terms whose impacts
-even together cannot lift a document above the current k-th score are non-essential: the postings of the others (documents
-with a positive impact) are traversed, and the rest are probed only while a document can still compete. The shards'
-results are merged by rank.
+even together cannot lift a document above the current k-th score are non-essential: the postings of the others are
+traversed, and the rest are probed only while a document can still compete. Vectors are dense, so a term's postings are
+its values for all documents of the shard. The shards' results are merged by rank.
 """
 
 from __future__ import annotations
@@ -14,20 +14,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwell.llm.shared import staged
+
 #: Documents in a shard and queries in a block.
 SHARD_ROWS, BLOCK_ROWS = 8192, 512
 #: Terms probed together between two checks of the bounds.
 PROBE = 8
+LONG = (1 << 63) - 1
+#: Partitions over which the meetings of shards and blocks are spread at most.
+MEETINGS = 10_000
 
 
 def quantised(rows: DataFrame, key: str, vector: str, scale: int = 64) -> DataFrame:
-    """(key, v array<int>) with floor(scale * x) of every component x as double.
+    """(key, v array<long>) with floor(scale * x) of every component x as double, no further from 0 than a long can be.
 
     Rows whose vector is null or holds a null, NaN or infinite component are left out, as are rows with a null key.
     """
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     slim = rows.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
-    return slim.filter(F.col("key").isNotNull() & F.col("v").isNotNull() & finite).select("key", F.transform("v", lambda x: F.floor(x * scale).cast("int")).alias("v"))
+    return slim.filter(F.col("key").isNotNull() & F.col("v").isNotNull() & finite).select("key", F.transform("v", lambda x: F.floor(F.least(F.greatest(x * scale, F.lit(-9.2e18)), F.lit(9.2e18)))).alias("v"))
 
 
 class Shard:
@@ -77,40 +82,62 @@ class Shard:
 
 
 def _dealt(rows: DataFrame, parts: int, name: str) -> DataFrame:
-    """One row for each of ``parts`` random groups: its number, its keys and its vectors end to end."""
-    numbered = rows.withColumn(name, F.pmod(F.xxhash64("key", F.monotonically_increasing_id()), F.lit(parts)).cast("int"))
+    """One row for each of ``parts`` random groups: its number, its keys and its vectors.
+
+    Rows are dealt by their place in a staged table, so that equal rows spread and a task that runs again deals alike.
+    """
+    numbered = rows.withColumn(name, F.pmod(F.xxhash64("place"), F.lit(parts)).cast("int"))
     grouped = numbered.groupBy(name).agg(F.collect_list(F.struct("key", "v")).alias("rows"))
-    return grouped.select(name, F.col("rows.key").alias(f"{name}_keys"), F.flatten("rows.v").alias(f"{name}_v"))
+    return grouped.select(name, F.col("rows.key").alias(f"{name}_keys"), F.col("rows.v").alias(f"{name}_v"))
+
+
+def _matrix(vectors: pa.ListArray, width: int) -> np.ndarray:
+    """A row for each vector, filled up with zeros to ``width``."""
+    size = vectors.value_lengths().to_numpy()
+    out = np.zeros((len(vectors), width), np.int64)
+    out[np.arange(width) < size[:, None]] = vectors.flatten().to_numpy()
+    return out
+
+
+def _exhaustive(keys: np.ndarray, x: np.ndarray, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best by whole numbers of any size, for the rare values whose sums no double holds exactly."""
+    score = [sum(int(a) * int(b) for a, b in zip(q, row, strict=True)) for row in x]
+    best = sorted((i for i in range(len(keys)) if keys[i] != own), key=lambda i: (-score[i], keys[i]))[:k]
+    return np.array(best, np.int64), np.array([max(-LONG, min(LONG, score[i])) for i in best], np.int64)
 
 
 def search(corpus: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, rank, key, score): the k best of ``corpus`` (key, v) for each of ``queries`` (key, v), never itself.
 
     Ties go to the smaller key; fewer rows come back where the corpus has fewer, none for an empty corpus. Keys are
-    integers; of repeated corpus keys every row counts. Vectors must be of one length. The corpus is dealt to shards and
-    the queries to blocks; each block meets each shard once, as one row, so memory is bounded by a shard and a block.
-    Sums are exact: in single precision while every score is below 2 ** 24, else in double precision.
+    integers; of repeated corpus keys every row counts. Vectors of different lengths are compared as if the shorter ended
+    in zeros. The corpus is dealt to shards and the queries to blocks; each block meets each shard once, as one row, so
+    memory is bounded by a shard and a block. Sums are exact: in single precision while no bound reaches 2 ** 24, in
+    double precision while none reaches 2 ** 53, else in whole numbers; a score beyond a long is given as the nearest long.
     """
+    corpus, queries = (staged(df.select("key", F.col("v").cast("array<long>").alias("v")).withColumn("place", F.monotonically_increasing_id())) for df in (corpus, queries))
     shards, blocks = (max(1, -(-df.count() // size)) for df, size in ((corpus, SHARD_ROWS), (queries, BLOCK_ROWS)))
     left = _dealt(corpus, shards, "shard")
     right = _dealt(queries, blocks, "block").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
-    def arrays(batch, name: str, i: int) -> tuple[np.ndarray, np.ndarray]:
-        keys, v = (batch.column(f"{name}_{x}")[i].values.to_numpy() for x in ("keys", "v"))
-        return keys, v.reshape(len(keys), -1)
-
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                (keys, x), (ids, q) = arrays(batch, "shard", i), arrays(batch, "block", i)
-                small = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * x.shape[1] < 1 << 24
-                shard = Shard(keys, x.astype(np.float32 if small else np.float64))
+                keys, ids = (batch.column(f"{name}_keys")[i].values.to_numpy() for name in ("shard", "block"))
+                vectors = [batch.column(f"{name}_v")[i].values for name in ("shard", "block")]
+                width = max(int(v.value_lengths().to_numpy().max()) for v in vectors)
+                x, q = (_matrix(v, width) for v in vectors)
+                # bounds are sums of differences, so up to twice the largest score; components are no least long
+                top = 4.0 * float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * width
+                shard = Shard(keys, x.astype(np.float32 if top < 1 << 24 else np.float64)) if width and top < 1 << 53 else None
                 columns = []
-                for own, vector in zip(ids, q.astype(shard.x.dtype), strict=True):
-                    rows, score = shard.search(own, vector, k)
+                for own, vector in zip(ids, q, strict=True):
+                    rows, score = shard.search(own, vector.astype(shard.x.dtype), k) if shard else _exhaustive(keys, x, own, vector, k)
                     columns.append((np.full(len(rows), own), keys[rows], score))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*columns, strict=True)], names=["query_id", "key", "score"])
 
-    parts = left.join(right, "shard").select("shard_keys", "shard_v", "block_keys", "block_v").mapInArrow(run, "query_id long, key long, score long")
+    # a task for each shard and block: scoring is much work on few bytes
+    met = left.join(right, "shard").repartition(min(MEETINGS, shards * blocks), "shard", "block")
+    parts = met.select("shard_keys", "shard_v", "block_keys", "block_v").mapInArrow(run, "query_id long, key long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
     return parts.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "key", "score")
