@@ -85,11 +85,11 @@ class Rule:
 
 
 RULES = (
-    Rule("symbols", "n_symbols / greatest(word_chars, 1)", tuple(x / 100 for x in range(50, 0, -1))),
-    Rule("dup_lines", "n_dup_lines / greatest(n_words, 1)", tuple(x / 200 for x in range(50, 0, -1))),
-    Rule("repeats", "n_repeat_words / greatest(n_words, 1)", tuple(x / 100 for x in range(30, 0, -1))),
-    Rule("long_words", "word_chars / greatest(n_words, 1)", tuple(20 - x / 4 for x in range(41))),
-    Rule("short_words", "greatest(n_words, 1) / greatest(word_chars, 1)", tuple(0.6 - x / 100 for x in range(36))),
+    Rule("symbols", "n_symbols / greatest(word_chars, 1)", (0.5, 0.3, 0.2, 0.15, 0.1, 0.07, 0.05, 0.03, 0.02, 0.01)),
+    Rule("dup_lines", "n_dup_lines / greatest(n_words, 1)", (0.25, 0.2, 0.15, 0.1, 0.07, 0.05, 0.03, 0.02, 0.01, 0.005)),
+    Rule("repeats", "n_repeat_words / greatest(n_words, 1)", (0.28, 0.25, 0.22, 0.19, 0.16, 0.13, 0.1, 0.07, 0.04, 0.02)),
+    Rule("long_words", "word_chars / greatest(n_words, 1)", (20.0, 18.0, 16.0, 14.0, 13.0, 12.0, 11.0, 10.0, 9.0, 8.0)),
+    Rule("short_words", "greatest(n_words, 1) / greatest(word_chars, 1)", (0.6, 0.55, 0.5, 0.45, 0.42, 0.39, 0.36, 0.33, 0.3, 0.27)),
 )
 
 
@@ -102,45 +102,69 @@ def upper_tail(k: int, n: int, p: float) -> float:
     return float(min(1.0, np.exp(logs).sum()))
 
 
-def certify(good: list[int], n_good: int, bad: list[int], alpha: float, delta: float) -> int | None:
-    """Index of the chosen cutoff, or None if no cutoff is safe and useful.
+def path(cells: np.ndarray, good: np.ndarray, bad: np.ndarray, alpha: float) -> list[tuple[int, ...]]:
+    """A sequence of ever stricter sets of cutoffs, each one cutoff of one rule further than the one before it.
 
-    ``good`` and ``bad``: labelled texts that each cutoff rejects, from lenient to strict. Cutoffs are tested in that
-    order and testing stops at the first whose exact binomial p-value exceeds ``delta`` (fixed-sequence testing), so all
-    that pass are safe at once. The one with the largest surplus of bad over good rejections is taken, the most lenient
-    on ties; the surplus must be positive.
+    ``cells``: for each kind of text the first cutoff of each rule that it exceeds (1: the most lenient, 0: none); ``good``
+    and ``bad``: how many labelled texts are of that kind. Of the steps that leave the share of good texts rejected at ``alpha`` or less, the one
+    that rejects most bad texts less good ones comes next (on ties the more lenient, then the earlier rule); the path ends
+    where none gains.
     """
-    best, gain = None, 0
-    for i, (k, b) in enumerate(zip(good, bad, strict=True)):
-        if not n_good or upper_tail(k, n_good, alpha) > delta:
+    now, left, steps_ = [0] * len(RULES), np.ones(len(cells), bool), []
+    while True:
+        best = None
+        for r, rule in enumerate(RULES):
+            for level in range(now[r] + 1, len(rule.cutoffs) + 1):  # the level-th cutoff from lenient to strict
+                hit = left & (cells[:, r] > 0) & (cells[:, r] <= level)
+                gain = int(bad[hit].sum() - good[hit].sum())
+                safe = good[~left | hit].sum() <= alpha * good.sum()
+                if gain > 0 and safe and (best is None or (gain, -level) > best[0]):
+                    best = (gain, -level), r, level, hit
+        if best is None:
+            return steps_
+        _, r, level, hit = best
+        now[r] = level
+        left &= ~hit
+        steps_.append(tuple(now))
+
+
+def certify(steps_: list[tuple[int, ...]], cells: np.ndarray, good: np.ndarray, alpha: float, delta: float) -> tuple[int, ...]:
+    """The last of ``steps_`` that fixed-sequence testing certifies on other labels; no cutoffs at all if none passes.
+
+    The steps are tested in order, each by the exact binomial p-value of "a share ``alpha`` of good texts or more is
+    rejected", at level ``delta``; testing stops at the first that fails, so all that pass are safe at once.
+    """
+    found = (0,) * len(RULES)
+    for step in steps_:
+        hit = ((cells > 0) & (cells <= np.array(step))).any(1)
+        if not good.sum() or upper_tail(int(good[hit].sum()), int(good.sum()), alpha) > delta:
             break
-        if b - k > gain:
-            best, gain = i, b - k
-    return best
+        found = step
+    return found
 
 
-def thresholds(measured: DataFrame, alpha: float = 0.05, delta: float = 0.05, label: str = "quality", stratum: str = "stratum") -> dict[str, dict[str, float]]:
+def thresholds(measured: DataFrame, alpha: float = 0.05, delta: float = 0.05, label: str = "quality", stratum: str = "stratum", key: str = "key") -> dict[str, dict[str, float]]:
     """Cutoffs {stratum: {rule: cutoff}} from measured, labelled rows (label 1: good, 0: bad; others are ignored).
 
     The share of good texts that the rules together reject is at most ``alpha`` in every stratum at once, with confidence
-    1 - ``delta``: each rule gets alpha / rules (union bound) and each stratum and rule delta / (strata x rules)
-    (Bonferroni). A stratum with too few good labels gets no cutoff, so it rejects nothing beyond the base rules.
-    Only counts reach the driver, one row for each stratum.
+    1 - ``delta``: half of the labels, by a hash of the key, choose a path of ever stricter cutoffs in each stratum, the
+    other half certify a stretch of it, each stratum at delta / strata (Bonferroni), its steps in fixed sequence. A
+    stratum needs some 90 good labels in the second half; with fewer it gets no cutoff and rejects nothing beyond the base
+    rules. Only counts of kinds of text reach the driver: at most 11 ** 5 for each stratum, half and label, however many rows.
     """
-    each = [
-        F.count_if((F.col(label) == y) & (F.expr(r.ratio) > c)).alias(f"{r.name}_{y}_{i}")
-        for r in RULES for y in (1, 0) for i, c in enumerate(r.cutoffs)
-    ]
-    rows = measured.filter(F.col(label).isin(0, 1)).groupBy(stratum).agg(F.count_if(F.col(label) == 1).alias("n_good"), *each).collect()
+    exceeded = [F.coalesce(*(F.when(F.expr(r.ratio) > c, i) for i, c in enumerate(r.cutoffs, 1)), F.lit(0)).alias(r.name) for r in RULES]
+    half = F.pmod(F.xxhash64(key, F.lit("half")), F.lit(2)).alias("half")
+    rows = measured.filter(F.col(label).isin(0, 1)).select(stratum, half, F.col(label).alias("label"), *exceeded)
+    counted = rows.groupBy(stratum, "half", *(r.name for r in RULES)).agg(F.count_if(F.col("label") == 1).alias("good"), F.count_if(F.col("label") == 0).alias("bad")).toPandas()
     found: dict[str, dict[str, float]] = {}
-    for row in rows:
-        own = {}
-        for r in RULES:
-            good, bad = ([row[f"{r.name}_{y}_{i}"] for i in range(len(r.cutoffs))] for y in (1, 0))
-            at = certify(good, row["n_good"], bad, alpha / len(RULES), delta / (len(rows) * len(RULES)))
-            if at is not None:
-                own[r.name] = r.cutoffs[at]
-        found[row[stratum]] = own
+    strata = counted[stratum].unique()
+    for name in strata:
+        own = counted[counted[stratum] == name]
+        parts = [own[own["half"] == h].sort_values([r.name for r in RULES]) for h in (0, 1)]
+        cells = [p[[r.name for r in RULES]].to_numpy() for p in parts]
+        steps_ = path(cells[0], parts[0]["good"].to_numpy(), parts[0]["bad"].to_numpy(), alpha)
+        chosen = certify(steps_, cells[1], parts[1]["good"].to_numpy(), alpha, delta / len(strata))
+        found[name] = {r.name: r.cutoffs[n - 1] for r, n in zip(RULES, chosen, strict=True) if n}
     return found
 
 

@@ -128,9 +128,37 @@ def test_exact_binomial_bound_and_certification():
 
     for k, n, p in ((0, 10, 0.1), (3, 50, 0.05), (50, 50, 0.5)):
         assert quality.upper_tail(k, n, p) == pytest.approx(sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)))
-    assert quality.certify([0, 0, 900], 1000, [1, 50, 99], 0.01, 0.01) == 1  # the third rejects too many good texts
-    assert quality.certify([0, 0], 10, [5, 9], 0.01, 0.01) is None  # too few labels to be sure
-    assert quality.certify([0, 0], 1000, [0, 0], 0.01, 0.01) is None  # no use
+
+
+def level(rule, n):
+    return tuple(n if r == rule else 0 for r in range(len(quality.RULES)))
+
+
+def test_path_and_certification():
+    cells = np.array([level(0, 0), level(0, 10), level(0, 3), level(1, 7)])
+    steps = quality.path(cells, np.array([1000, 0, 1, 400]), np.array([5, 50, 40, 500]), 0.05)
+    assert steps == [level(0, 10)]  # one step rejects both kinds; the other rule would reject too many good texts
+    assert quality.certify(steps, cells, np.array([500, 0, 1, 200]), 0.05, 0.01) == level(0, 10)
+    assert quality.certify(steps, cells, np.array([500, 0, 60, 200]), 0.05, 0.01) == level(0, 0)  # too many good ones go
+    assert quality.certify(steps, cells, np.array([50, 0, 0, 0]), 0.05, 0.01) == level(0, 0)  # too few labels to be sure
+    assert quality.certify(steps, cells, np.array([95, 0, 0, 0]), 0.05, 0.01) == level(0, 10)
+    assert quality.path(cells, np.array([9, 0, 0, 0]), np.array([9, 0, 0, 0]), 0.05) == []  # no use
+
+
+def test_the_share_of_good_texts_lost_is_bounded():
+    """Over many draws of labels the true share exceeds alpha no more often than delta."""
+    rng = np.random.default_rng(6)
+    kinds = np.array([level(r, n) for r in range(2) for n in range(11)])
+    true = np.concatenate([np.r_[0.42, np.full(10, 0.008)], np.r_[0.42, np.full(10, 0.008)]])
+    bad = np.concatenate([np.r_[0.05, np.full(10, 0.05)], np.r_[0.05, np.full(10, 0.04)]])
+    broken = used = 0
+    for _ in range(400):
+        goods, bads = (rng.multinomial(n, p / p.sum(), 2) for n, p in ((1000, true), (300, bad)))
+        chosen = quality.certify(quality.path(kinds, goods[0], bads[0], 0.05), kinds, goods[1], 0.05, 0.05)
+        hit = ((kinds > 0) & (kinds <= np.array(chosen))).any(1)
+        used += any(chosen)
+        broken += true[hit].sum() / true.sum() > 0.05
+    assert broken <= 400 * 0.05 + 13 and used > 100
 
 
 def test_quality_rules(spark):
