@@ -106,6 +106,10 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(f"({TOKEN})"), F.lit(1))
 
 
+def n_tokens(c: Column) -> Column:
+    return F.regexp_count(F.lower(F.coalesce(c, F.lit(""))), F.lit(TOKEN))
+
+
 def cjk_grams(c: Column) -> Column:
     """Runs of 2 to 4 CJK characters: the fallback where no word segmenter is at hand."""
     return F.regexp_extract_all(c, F.lit(r"([一-鿿]{2,4})"), F.lit(1))

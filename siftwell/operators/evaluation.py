@@ -17,6 +17,10 @@ STRUCTURE = (
 )
 
 
+#: Parts of a range of numbers that are counted apart; rows of a part on average where there are many.
+BINS, BIN_ROWS = 1024, 1_000_000
+
+
 def relevance(results: DataFrame, gold: DataFrame, key: str = "doc_id") -> DataFrame:
     """``results`` with rel, 1.0 where (query_id, key) is in ``gold``, else 0.0."""
     marks = gold.select("query_id", key).distinct().withColumn("rel", F.lit(1.0))
@@ -116,13 +120,32 @@ def sweep(items: DataFrame, judged: DataFrame, thresholds: list[float], k: int =
 def picked_quantiles(values: DataFrame, column: str, shares: list[float]) -> DataFrame:
     """(share, value): the value at index floor(n * share) of the sorted non-null values, not interpolated.
 
-    Values are counted first, so the running sum sees each distinct value once.
+    Values are counted, first in BINS equal parts of their range; only the values of the parts that hold a wanted index are
+    then summed up in order, each part by itself.
     """
     counts = values.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("c"))
-    summed = counts.withColumn("upto", F.sum("c").over(Window.orderBy("value"))).crossJoin(F.broadcast(counts.agg(F.sum("c").alias("n"))))
-    each = summed.withColumn("share", F.explode(F.array(*(F.lit(float(s)) for s in shares))))
-    at = F.least(F.floor(F.col("n") * F.col("share")), F.col("n") - 1)
-    return each.filter((F.col("upto") > at) & (F.col("upto") - F.col("c") <= at)).select("share", "value")
+    bins = _binned(counts, "value", F.sum("c"))
+    wanted = bins.withColumn("share", F.explode(F.array(*(F.lit(float(s)) for s in shares))))
+    at = F.least(F.floor(F.col("total") * F.col("share")), F.col("total") - 1)
+    wanted = wanted.filter((F.col("before") <= at) & (at < F.col("before") + F.col("rows"))).select("bin", "before", "share", at.alias("at"))
+    inside = _with_bin(counts, "value").join(F.broadcast(wanted), "bin")  # a row for each share
+    upto = F.col("before") + F.sum("c").over(Window.partitionBy("share").orderBy("value"))
+    return inside.withColumn("upto", upto).filter((F.col("upto") > F.col("at")) & (F.col("upto") - F.col("c") <= F.col("at"))).select("share", "value")
+
+
+def _with_bin(rows: DataFrame, value: str, bins: int = BINS) -> DataFrame:
+    """``rows`` with ``bin``: which of ``bins`` equal parts of the range a number is in."""
+    ends = rows.agg(F.min(value).cast("double").alias("_low"), F.max(value).cast("double").alias("_high"))
+    part = (F.col(value) - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0)) * bins
+    return rows.crossJoin(F.broadcast(ends)).withColumn("bin", F.least(F.coalesce(F.floor(part), F.lit(0)), F.lit(bins - 1))).drop("_low", "_high")  # one row
+
+
+def _binned(rows: DataFrame, value: str, count, bins: int = BINS) -> DataFrame:
+    """(bin, rows, before, total) of the bins with rows: a short table, so its running sum may take one task."""
+    sized = _with_bin(rows, value, bins).groupBy("bin").agg(count.alias("rows"))
+    before = F.coalesce(F.sum("rows").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum("rows").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return sized.withColumns({"before": before, "total": total})
 
 
 def uniform_sample(items: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
@@ -134,9 +157,17 @@ def stratified_sample(items: DataFrame, stratum: str, order: str, per: int) -> D
     return items.withColumn("_n", F.row_number().over(Window.partitionBy(stratum).orderBy(order))).filter(F.col("_n") <= per).drop("_n")
 
 
-def systematic_sample(items: DataFrame, stratum: str, order: str, step: int) -> DataFrame:
-    """Every ``step``-th row of each stratum in ``order``, from the first."""
-    return items.withColumn("_n", F.row_number().over(Window.partitionBy(stratum).orderBy(order))).filter(F.pmod(F.col("_n") - 1, F.lit(step)) == 0).drop("_n")
+def systematic_sample(items: DataFrame, order: str, step: int) -> DataFrame:
+    """Every ``step``-th row of the whole set in the order of a numeric column, from the first.
+
+    Rows are numbered within equal parts of the column's range, of which there are more the more rows there are, and the
+    rows of earlier parts are added, so no task sorts the set.
+    """
+    bins = max(BINS, items.count() // BIN_ROWS)
+    before = _binned(items, order, F.count("*"), bins).select("bin", "before")
+    numbered = _with_bin(items, order, bins).join(F.broadcast(before), "bin")  # a row for each part
+    place = F.col("before") + F.row_number().over(Window.partitionBy("bin").orderBy(order)) - 1
+    return numbered.withColumn("_n", place).filter(F.pmod(F.col("_n"), F.lit(step)) == 0).select(*items.columns)
 
 
 def agent_score(answer: Column, called: Column, tools: Column, words: Column) -> dict[str, Column]:

@@ -2,31 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.scores import idf
-from siftwell.functions.text import tokens
+from siftwell.functions.text import n_tokens, tokens
 
 SCHEMA_VERSION = 2
 
 
-def term_frequencies(docs: DataFrame, key: str = "doc_id", text: str = "text", terms: DataFrame | None = None) -> DataFrame:
-    """(key, term, tf); with ``terms`` only those. Counted before the shuffle, which then moves one row for each pair."""
-    each = docs.select(F.col(key), F.explode(tokens(F.col(text))).alias("term"))
-    if terms is not None:
-        each = each.join(terms.select("term").distinct(), "term", "left_semi")
-    return each.groupBy(key, "term").agg(F.count("*").alias("tf"))
+#: Terms up to which a table of them is broadcast (some 50 bytes each).
+BROADCAST_TERMS = 500_000
+
+
+def term_frequencies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, term, tf). Counted before the shuffle, which then moves one row for each pair."""
+    return docs.select(F.col(key), F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+
+
+def frequencies_of(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(key, length, term, tf) of the given ``terms`` (term) in ``docs``, length being all tokens of the text; and the hint for tables of terms.
+
+    At most BROADCAST_TERMS terms are broadcast, so other tokens never leave their task. More of them are joined by shuffle
+    after counting, which moves one row for each pair of document and term.
+    """
+    terms = terms.select("term").distinct()
+    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    split = docs.select(F.col(key), tokens(F.col(text)).alias("all"))
+    each = split.select(key, F.size("all").alias("length"), F.explode("all").alias("term"))
+    if few:
+        return each.join(F.broadcast(terms), "term", "left_semi").groupBy(key, "length", "term").agg(F.count("*").alias("tf")), F.broadcast
+    return each.groupBy(key, "length", "term").agg(F.count("*").alias("tf")).join(terms, "term", "left_semi"), lambda df: df
 
 
 def lengths(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, length) of every document, token-less ones too; no shuffle."""
-    return docs.select(F.col(key), F.size(tokens(F.col(text))).cast("long").alias("length"))
+    return docs.select(F.col(key), n_tokens(F.col(text)).cast("long").alias("length"))
 
 
 def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row: n documents and their average length."""
-    return docs.select(F.size(tokens(F.col(text))).alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("average"))
+    return docs.select(n_tokens(F.col(text)).alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("average"))
 
 
 def term_stats(frequencies: DataFrame, stats: DataFrame) -> DataFrame:

@@ -18,7 +18,8 @@ from siftwell.operators import index
 RRF_K, ALPHA, POOL = 60, 0.3, 20
 #: Scores are compared at this many decimals, so that engines and runs agree on ranks.
 PLACES = 6
-SHARDS = 16
+#: Vectors and queries of a block, and blocks of vectors at least (for few vectors and many cores).
+VECTORS, QUERIES, SPREAD = 2000, 1000, 16
 
 
 def ranked(scores: DataFrame, k: int | None, key: str = "doc_id", places: int = PLACES) -> DataFrame:
@@ -35,24 +36,28 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int | None = POOL, key: str = "
     """
     wanted = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     slim = docs.select(F.col(key), F.col(text).alias("text"))
-    tf = index.term_frequencies(slim, key, terms=wanted)
+    tf, small = index.frequencies_of(slim, wanted, key)
     stats = index.corpus_stats(slim)
-    length = index.lengths(slim, key)
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = tf.join(df, "term").join(length, key).crossJoin(F.broadcast(stats))  # one row of statistics
+    weighed = tf.join(small(df), "term").crossJoin(F.broadcast(stats))  # one row of statistics
     weighed = weighed.select(key, "term", (idf(F.col("n"), F.col("df")) * bm25_term(F.col("tf"), F.col("length"), F.col("average"))).alias("w"))
-    return ranked(weighed.join(wanted, "term").groupBy("query_id", key).agg(F.sum("w").alias("score")), k, key)
+    asked = small(wanted.groupBy("term").agg(F.collect_list("query_id").alias("asked"))) if small is F.broadcast else wanted.withColumn("asked", F.array("query_id")).drop("query_id")
+    return ranked(weighed.join(asked, "term").select(F.explode("asked").alias("query_id"), key, "w").groupBy("query_id", key).agg(F.sum("w").alias("score")), k, key)
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int | None = POOL, key: str = "doc_id", vector: str = "embedding") -> DataFrame:
     """Exact top ``k`` by inner product for ``queries`` (query_id, vector).
 
-    The corpus is dealt to shards and every query visits each shard, so no side is broadcast or gathered whole; each
-    task keeps the best of its rows before the final ranking.
+    Both sides are dealt to blocks, whose numbers follow from the counts, and each two blocks meet under a key of their own:
+    no side is broadcast or gathered whole, and a task scores at most a block of vectors for a block of queries. The best
+    ``k`` of each query are kept in each task before the final ranking.
     """
-    left = vectors.select(F.col(key), F.col(vector).alias("_v"), F.pmod(F.xxhash64(key), F.lit(SHARDS)).alias("_shard"))
-    right = queries.select("query_id", F.col("vector").alias("_q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARDS - 1).cast("long"))).alias("_shard"))
-    scored = left.join(right, "_shard").select("query_id", key, dot(F.col("_v"), F.col("_q")).alias("score"))
+    shards, blocks = max(SPREAD, -(-vectors.count() // VECTORS)), max(1, -(-queries.count() // QUERIES))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = vectors.select(F.col(key), F.col(vector).alias("_v"), dealt(key, shards).alias("_shard"), every(blocks).alias("_block"))
+    right = queries.select("query_id", F.col("vector").alias("_q"), dealt("query_id", blocks).alias("_block"), every(shards).alias("_shard"))
+    scored = left.join(right, ["_shard", "_block"]).select("query_id", key, dot(F.col("_v"), F.col("_q")).alias("score"))
     return ranked(scored, k, key)
 
 

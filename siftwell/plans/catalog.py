@@ -199,10 +199,10 @@ def union_retrieval(spark, d):
 
 
 @register("hyde_augment", f"""WITH {WITH_GOLD}, pass AS (SELECT query_id, min(doc_id) AS doc_id FROM gold GROUP BY 1)
-    SELECT item_id AS query_id, b.text || coalesce(chr(10) || {STRIP.format(x="left(d.text, 200)")}, '') AS text
+    SELECT item_id AS query_id, b.text || coalesce(chr(10) || {STRIP.format(x="d.text")}, '') AS text
     FROM benchmark b LEFT JOIN pass ON item_id = query_id LEFT JOIN documents d USING (doc_id)""")
 def hyde_augment(spark, d):
-    first = gold(spark, d).groupBy("query_id").agg(F.min("doc_id").alias("doc_id")).join(table(spark, d, "documents").select("doc_id", F.substring("text", 1, 200).alias("passage")), "doc_id")
+    first = gold(spark, d).groupBy("query_id").agg(F.min("doc_id").alias("doc_id")).join(table(spark, d, "documents").select("doc_id", F.col("text").alias("passage")), "doc_id")
     asked = questions(spark, d).select("query_id", "text")
     rewrites = first.join(asked, "query_id").select(F.col("text").alias("question"), "passage")
     return retrieval.rewritten(asked, rewrites)
@@ -355,9 +355,9 @@ def stratified_sample(spark, d):
     return evaluation.stratified_sample(table(spark, d, "documents").select("doc_id", "lang"), "lang", "doc_id", 50)
 
 
-@register("systematic_sample", "SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE (r - 1) % 10 = 0")
+@register("systematic_sample", "SELECT doc_id, source FROM (SELECT *, row_number() OVER (ORDER BY doc_id) AS r FROM documents) WHERE (r - 1) % 10 = 0")
 def systematic_sample(spark, d):
-    return evaluation.systematic_sample(table(spark, d, "documents").select("doc_id", "source"), "source", "doc_id", 10)
+    return evaluation.systematic_sample(table(spark, d, "documents").select("doc_id", "source"), "doc_id", 10)
 
 
 # ---- segmentation ----
@@ -458,11 +458,12 @@ def context_header(spark, d):
     return joined.select("doc_id", text.context_header(F.col("source"), F.lit("2024-01-01"), F.lit(None).cast("string"), F.when(F.col("toxic") == 1, 4).otherwise(3), F.col("lang")).alias("header"))
 
 
-@register("context_assembly", f"""WITH {ALL_BM25} SELECT query_id, string_agg('[来源' || "rank" || ']（《' || source || '》' || lang || '）' || left(text, 200), chr(10) || chr(10) ORDER BY "rank") AS context
+@register("context_assembly", f"""WITH {ALL_BM25} SELECT query_id, string_agg('[来源' || "rank" || ']（《' || source || '》' || lang || '）' || text, chr(10) || chr(10) ORDER BY "rank") AS context
     FROM words JOIN documents USING (doc_id) WHERE "rank" <= 12 GROUP BY query_id""")
 def context_assembly(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", text.citation_label(F.col("source"), F.col("lang"), F.lit(3), F.col("lang")).alias("label"), F.substring("text", 1, 200).alias("snippet"))
-    blocks = bm25(spark, d, 12).join(docs, "doc_id").select("query_id", "rank", text.context_block(F.col("rank"), F.col("label"), F.col("snippet")).alias("block"))
+    """The whole chunks of the best 12, each under its source mark."""
+    docs = table(spark, d, "documents").select("doc_id", text.citation_label(F.col("source"), F.col("lang"), F.lit(3), F.col("lang")).alias("label"), F.col("text"))
+    blocks = bm25(spark, d, 12).join(docs, "doc_id").select("query_id", "rank", text.context_block(F.col("rank"), F.col("label"), F.col("text")).alias("block"))
     return blocks.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "block"))), lambda x: x.block), "\n\n").alias("context"))
 
 

@@ -7,12 +7,16 @@ pairing, so both legs of a fused query see only documents that have a vector.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.operators import retrieval
 
 ANCHOR = 8
+#: Questions up to which their anchors and passages (about a kilobyte each) are broadcast.
+BROADCAST_ITEMS = 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,18 +56,31 @@ def dense(spark: SparkSession, sf_dir: str, k: int = retrieval.POOL) -> DataFram
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, doc_id): documents that hold a passage word for word.
 
-    Passages of ten words or more meet documents on a run of words from their inside (an equi-join) before the texts are
-    compared; shorter ones, if any, are compared with every document.
+    A passage's anchor is the run of up to ANCHOR words from its second on, without its last, which a text that holds the
+    passage has as whole words. Anchors are a table of the questions: at most BROADCAST_ITEMS of them are broadcast, and texts
+    are compared where they are read; more are joined by shuffle, with the texts fetched for the pairs that meet. Passages of
+    one or two words have no anchor and are looked for in every text.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
     words = lambda c: F.split(F.col(c), "[ \t\n\r\x0b\x0c]+")
-    run = lambda ws, at: F.xxhash64(F.array_join(F.slice(ws, at, F.lit(ANCHOR)), " "))
-    long = items.withColumn("ws", words("passage")).filter(F.size("ws") >= ANCHOR + 2).select("query_id", "passage", run(F.col("ws"), F.lit(2)).alias("anchor"))
-    split = docs.withColumn("ws", words("text")).filter(F.size("ws") >= ANCHOR)
-    starts = split.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("ws") - (ANCHOR - 1)), lambda i: run(F.col("ws"), i)))).alias("anchor"))
-    met = starts.join(long, "anchor").select("query_id", "doc_id", "passage")
-    sure = met.join(docs, "doc_id").filter(F.col("text").contains(F.col("passage"))).select("query_id", "doc_id")
-    short = items.filter(F.size(words("passage")) < ANCHOR + 2)
-    rest = docs.join(short, docs["text"].contains(short["passage"])).select("query_id", "doc_id")
-    return sure.unionByName(rest).distinct()
+    hashed = lambda ws: F.transform(ws, lambda w: F.xxhash64(w))
+    run = lambda hs, at, n: F.xxhash64(F.slice(hs, at, n))
+    sized = items.withColumn("hs", hashed(words("passage"))).withColumn("n", F.least(F.lit(ANCHOR), F.size("hs") - 2))
+    sizes = sorted(r["n"] for r in sized.select("n").distinct().collect())  # -1 to ANCHOR
+    anchors = sized.filter("n > 0").select("query_id", "passage", run(F.col("hs"), F.lit(2), F.col("n")).alias("anchor"))
+    split = docs.select("doc_id", "text", hashed(words("text")).alias("hs"))
+    from_each = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("hs") - (n - 1), F.lit(1))), lambda i: run(F.col("hs"), i, F.lit(n)))
+    starts = [from_each(n) for n in sizes if n > 0]
+    held = F.col("text").contains(F.col("passage"))
+    found = []
+    if starts:
+        runs = split.select("doc_id", "text", F.explode(F.array_distinct(F.concat(*starts))).alias("anchor"))
+        if items.count() <= BROADCAST_ITEMS:
+            found.append(runs.join(F.broadcast(anchors), "anchor").filter(held))
+        else:
+            found.append(runs.drop("text").join(anchors, "anchor").join(docs, "doc_id").filter(held))
+    if sizes and sizes[0] <= 0:
+        found.append(docs.join(sized.filter("n <= 0"), held))
+    each = [f.select("query_id", "doc_id") for f in found] or [items.join(docs, F.lit(False)).select("query_id", "doc_id")]
+    return reduce(DataFrame.unionByName, each).distinct()
