@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.functions.text import citations
+from siftwell.functions.text import article_number, citations, law_matches, normalize_law
 
 # Word lists of the answer's three sections.
 STRUCTURE = (
@@ -27,13 +27,38 @@ def relevance(results: DataFrame, gold: DataFrame, key: str = "doc_id") -> DataF
     return results.join(marks, ["query_id", key], "left").withColumn("rel", F.coalesce("rel", F.lit(0.0)))
 
 
-def per_query(items: DataFrame, judged: DataFrame, gold: DataFrame, ks: tuple[int, ...], key: str = "doc_id") -> DataFrame:
+def law_gold(items: DataFrame, relevant: str = "relevant") -> DataFrame:
+    """(query_id, law, article): the different expected articles of items, by normalised statute name and article number.
+
+    ``relevant``: an array of (law, article). Articles without a number are no gold.
+    """
+    each = items.select("query_id", F.explode(relevant).alias("g"))
+    return each.select("query_id", normalize_law(F.col("g.law")).alias("law"), article_number(F.col("g.article")).alias("article")).filter("article is not null").distinct()
+
+
+def chunk_keys(chunks: DataFrame, title: str = "law_title", article: str = "article_no") -> DataFrame:
+    """(law, article): what a corpus holds, in the terms of ``law_gold``."""
+    return chunks.select(normalize_law(F.col(title)).alias("law"), article_number(F.col(article)).alias("article")).filter("article is not null").distinct()
+
+
+def law_relevance(results: DataFrame, gold: DataFrame, title: str = "law_title", article: str = "article_no") -> DataFrame:
+    """``results`` with rel, 1.0 where title and article are one of the query's gold articles, else 0.0.
+
+    Query and article number meet by equality; statute names agree if either contains the other, once normalised.
+    """
+    wanted = gold.groupBy(F.col("query_id").alias("_q"), F.col("article").alias("_a")).agg(F.collect_set("law").alias("_laws"))
+    met = results.join(wanted, (F.col("query_id") == F.col("_q")) & (article_number(F.col(article)) == F.col("_a")), "left")
+    same = F.exists(F.coalesce("_laws", F.array().cast("array<string>")), lambda law: law_matches(F.col(title), law))
+    return met.withColumn("rel", F.coalesce(same, F.lit(False)).cast("double")).drop("_q", "_a", "_laws")
+
+
+def per_query(items: DataFrame, judged: DataFrame, gold: DataFrame, ks: tuple[int, ...], key: str | list[str] = "doc_id") -> DataFrame:
     """(query_id, k, hit, rr, recall, precision, ndcg, ndcg_full) for every item and k.
 
     Relevance is binary; results short of k count as irrelevant. recall is 0 without gold. ndcg is ideal among what was
     retrieved, so missed gold doesn't lower it; ndcg_full is ideal over all gold.
     """
-    n_gold = gold.select("query_id", key).distinct().groupBy("query_id").agg(F.count("*").alias("n_gold"))
+    n_gold = gold.select("query_id", *([key] if isinstance(key, str) else key)).distinct().groupBy("query_id").agg(F.count("*").alias("n_gold"))
     base = items.select("query_id").join(n_gold, "query_id", "left").withColumn("n_gold", F.coalesce("n_gold", F.lit(0)))
     base = base.withColumn("k", F.explode(F.array(*map(F.lit, ks))))
     gain = lambda i: 1 / F.log2(i + F.lit(1))
@@ -186,5 +211,23 @@ def agent_score(answer: Column, called: Column, tools: Column, words: Column) ->
     }
 
 
+def agent_report(scored: DataFrame, parts: tuple[str, ...] = ("tool_selection", "structure", "source_citation", "keyword_coverage"), total: str = "total") -> DataFrame:
+    """One row: n, the mean of each part and of the total, the share of each part's 25 points, and the rows of each tier."""
+    means_ = [F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in (*parts, total)]
+    tiers = [F.count_if(tier(F.col(total)) == t).alias(t) for t in ("excellent", "good", "fair", "poor")]
+    told = scored.agg(F.count("*").alias("n"), *means_, *tiers)
+    return told.select("n", *parts, total, *((F.col(c) / 25.0).alias(f"{c}_share") for c in parts), "excellent", "good", "fair", "poor")
+
+
+def worst(scored: DataFrame, order: list[str], n: int = 3, below: float = 60.0, total: str = "total") -> DataFrame:
+    """The ``n`` rows of least total, of those below a mark; ties in the order of the columns ``order``."""
+    return scored.filter(F.col(total) < below).orderBy(total, *order).limit(n)
+
+
+def combined(*sets: DataFrame) -> DataFrame:
+    """Evaluation sets one after the other, with the columns of all; a column that a set lacks is null there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sets)
+
+
 def tier(total: Column) -> Column:
     return F.when(total >= 80, "excellent").when(total >= 60, "good").when(total >= 40, "fair").otherwise("poor")

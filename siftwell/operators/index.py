@@ -70,6 +70,39 @@ def parsed(statutes: DataFrame, articles: str = "articles") -> tuple[DataFrame,
     return statutes.filter(some), statutes.filter(~some)
 
 
+def indexable(statutes: DataFrame, size: str = "n_articles") -> tuple[DataFrame, DataFrame]:
+    """What a build indexes, and one row of what it found (laws, repeated, effective, pending, other_versions, unparsed).
+
+    Of records with equal ids the one with most articles counts; those in force or pending, with articles, are indexed.
+    """
+    sized = statutes.withColumn(size, F.size(F.coalesce("articles", F.array().cast(statutes.schema["articles"].dataType))))
+    once = dedupe(sized, size, "title", "bbbs")
+    current = in_force(once)
+    effective, pending = F.col("sxx") == 3, F.col("sxx") == 4
+    some = F.col(size) > 0
+    told = once.agg(
+        F.count("*").alias("laws"), F.count_if(effective).alias("effective"), F.count_if(pending).alias("pending"),
+        F.count_if(~F.coalesce(effective | pending, F.lit(False))).alias("other_versions"), F.count_if((effective | pending) & ~some).alias("unparsed"),
+    ).crossJoin(F.broadcast(statutes.agg(F.count("*").alias("records"))))  # fmt: skip  one row each
+    report = told.select("laws", (F.col("records") - F.col("laws")).alias("repeated"), "effective", "pending", "other_versions", "unparsed")
+    return parsed(current)[0].drop(size), report
+
+
+def keywords(questions: DataFrame, terms: DataFrame, k: int = 6) -> DataFrame:
+    """(query_id, keywords): the ``k`` tokens of each question with the largest count times idf, on ties in order.
+
+    ``terms`` (term, idf) comes from an index; a token that it lacks counts as the rarest.
+    """
+    asked = term_frequencies(questions, "query_id")
+    rarest = terms.agg(F.max("idf").alias("_rarest"))
+    weighed = asked.join(terms.select("term", "idf"), "term", "left").crossJoin(F.broadcast(rarest))  # one row
+    score = F.round(F.col("tf") * F.coalesce("idf", "_rarest", F.lit(1.0)), 6)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "term")
+    top = weighed.withColumn("score", score).withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k)
+    packed = top.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "term"))), lambda x: x.term), " ").alias("keywords"))
+    return questions.select("query_id", "text").join(packed, "query_id", "left").select("query_id", F.coalesce("keywords", "text").alias("keywords"))
+
+
 def replace_by_source(existing: DataFrame, incoming: DataFrame, source: str = "source") -> DataFrame:
     """``existing`` without the sources that ``incoming`` brings, and ``incoming``."""
     rest = existing.join(incoming.select(source).distinct(), source, "left_anti").select(*existing.columns)

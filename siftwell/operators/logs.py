@@ -45,5 +45,16 @@ def recent_rate(times: DataFrame, column: str, now: Column, seconds: int = 300)
     return times.filter(F.col(column) >= now - seconds).agg(F.count("*").alias("n"), F.coalesce(F.count("*") * 60 / span, F.lit(0.0)).alias("per_minute"))
 
 
+def remaining(progress: DataFrame, rate: DataFrame) -> DataFrame:
+    """One row (done, expected, per_minute, minutes_left) from ``crawl_progress`` and ``recent_rate``.
+
+    minutes_left is null with fewer than two events in the window or no rate, and 0 where all is done.
+    """
+    total = progress.agg(F.coalesce(F.sum("laws"), F.lit(0)).alias("done"), F.coalesce(F.sum("expected"), F.lit(0)).alias("expected"))
+    left = F.greatest(F.col("expected") - F.col("done"), F.lit(0))
+    known = F.when(F.col("n") >= 2, left / F.nullif("per_minute", F.lit(0.0)))
+    return total.crossJoin(F.broadcast(rate)).select("done", "expected", "per_minute", F.when(left == 0, 0.0).otherwise(known).alias("minutes_left"))  # one row each
+
+
 def reasons(failures: DataFrame, column: str = "reason") -> DataFrame:
     return failures.groupBy(column).agg(F.count("*").alias("n"))

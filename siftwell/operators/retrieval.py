@@ -7,11 +7,13 @@ decorators (rewriting, re-ranking, gating) are functions of such functions' resu
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.scores import bm25_term, boosted, dot, idf, similarity
+from siftwell.functions.text import faceted as augmented
 from siftwell.functions.text import hyde_query, tokens
 from siftwell.operators import index
 
@@ -129,6 +131,17 @@ def rewritten(queries: DataFrame, rewrites: DataFrame) -> DataFrame:
     return joined.withColumn("text", hyde_query(F.col("text"), F.coalesce("_passage", F.lit("")))).drop("question", "_passage")
 
 
+#: What each facet adds to a query.
+FACETS = {"search": "", "sources": "法律规定 条文 适用 依据 相关法规", "mistakes": "常见误区 法律风险 责任 举证 时效 注意事项"}
+
+
+def faceted(find: Callable[[DataFrame], DataFrame], queries: DataFrame, n: int = 8, key: str = "doc_id") -> DataFrame:
+    """(query_id, facet, rank, key, score): the best ``n`` of a retriever for each query in each facet's wording."""
+    asked = [(name, queries.withColumn("text", augmented(F.col("text"), extra) if extra else F.col("text"))) for name, extra in FACETS.items()]
+    found = [find(q).filter(F.col("rank") <= n).select("query_id", F.lit(name).alias("facet"), "rank", key, "score") for name, q in asked]
+    return reduce(DataFrame.unionByName, found)
+
+
 def united(*results: DataFrame, key: str = "doc_id") -> DataFrame:
     """Results one after the other, each document of a query once at its first place."""
     parts = [df.select("query_id", key, "rank", F.lit(i).alias("leg")) for i, df in enumerate(results)]

@@ -208,6 +208,29 @@ def hyde_augment(spark, d):
     return retrieval.rewritten(asked, rewrites)
 
 
+HYBRID = f"""{PAIRED_BM25}, dn AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(list_inner_product(d.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
+        FROM embeddings d, embeddings q WHERE q.vec_id IN (SELECT item_id FROM benchmark) AND d.vec_id IN (SELECT doc_id FROM documents)),
+    vecs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS "rank" FROM dn) WHERE "rank" <= 20), {WITH_RRF}"""
+
+
+@register("faceted_retrieval", f"""WITH {HYBRID} SELECT query_id, facet, "rank", doc_id, score FROM rrf, (VALUES ('search'), ('sources'), ('mistakes')) f(facet) WHERE "rank" <= 8""")
+def faceted_retrieval(spark, d):
+    """The facets' words occur in no text, so here each facet finds the same."""
+    find = retrieval.retriever(tables.paired_docs(spark, d).select("doc_id", "text"), vectors(spark, d), n=8)
+    return retrieval.faceted(find, questions(spark, d).filter("vector is not null"))
+
+
+@register("query_keywords", f"""WITH {ALL_BM25}, rare AS (SELECT max(round(ln((n - df + 0.5) / (df + 0.5) + 1), 6)) AS r FROM df CROSS JOIN st),
+    q AS (SELECT item_id AS query_id, unnest({TOKENS}) AS term FROM benchmark), c AS (SELECT query_id, term, count(*) AS tf FROM q GROUP BY ALL),
+    s AS (SELECT query_id, term, round(tf * coalesce(round(ln((n - df + 0.5) / (df + 0.5) + 1), 6), r), 6) AS score FROM c LEFT JOIN df USING (term) CROSS JOIN st CROSS JOIN rare),
+    t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, term) AS i FROM s)
+    SELECT query_id, string_agg(term, ' ' ORDER BY i) AS keywords FROM t WHERE i <= 6 GROUP BY query_id""")
+def query_keywords(spark, d):
+    docs = table(spark, d, "documents")
+    terms = rounded(index.term_stats(index.term_frequencies(docs), index.corpus_stats(docs)), "idf")
+    return index.keywords(questions(spark, d).select("query_id", "text"), terms)
+
+
 @register("faceted_queries", """SELECT item_id AS query_id, facet, text || ' ' || suffix AS text FROM benchmark,
     (VALUES ('sources', '法律规定 条文 适用 依据 相关法规'), ('mistakes', '常见误区 法律风险 责任 举证 时效 注意事项')) f(facet, suffix)""")
 def faceted_queries(spark, d):
@@ -247,6 +270,39 @@ def metrics_by_category(spark, d):
     return rounded(evaluation.means(_measured(spark, d).join(flags, "query_id"), "in_corpus"), *MEASURES)
 
 
+def _law_items(spark, d) -> DataFrame:
+    """Items whose gold is by statute and article: a document is an article of its source, numbered by its length."""
+    own = F.struct(F.col("source").alias("law"), F.concat(F.lit("第"), _numeral(F.col("n_chars") % 9999 + 1), F.lit("条")).alias("article"))
+    found = gold(spark, d).join(table(spark, d, "documents").select("doc_id", "source", "n_chars"), "doc_id")
+    return _items(spark, d).join(found.groupBy("query_id").agg(F.collect_list(own).alias("relevant")), "query_id", "left")
+
+
+LAW_GOLD = "dgold AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), gold AS (SELECT DISTINCT query_id, source AS law, (n_chars % 9999 + 1)::INTEGER AS article FROM dgold JOIN documents USING (doc_id))"
+LAW_JUDGED = """judged AS (SELECT w.*, (EXISTS (SELECT 1 FROM gold g WHERE g.query_id = w.query_id AND g.article = d.n_chars % 9999 + 1 AND (contains(g.law, d.source) OR contains(d.source, g.law))))::INTEGER::DOUBLE AS rel
+    FROM words w JOIN documents d USING (doc_id))"""
+
+
+@register("gold_by_law", f"WITH {LAW_GOLD} SELECT query_id, law, article FROM gold")
+def gold_by_law(spark, d):
+    return evaluation.law_gold(_law_items(spark, d))
+
+
+@register("law_relevance_metrics", f"WITH {ALL_BM25}, {LAW_GOLD}, {LAW_JUDGED}, {PER_QUERY} SELECT k, {MEANS}, count(*) AS items FROM per GROUP BY k")
+def law_relevance_metrics(spark, d):
+    """Gold articles are named by Chinese numerals and bare names, the documents by digits and full names."""
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("《中华人民共和国"), "source", F.lit("》")).alias("law_title"), (F.col("n_chars") % 9999 + 1).cast("string").alias("article_no"))
+    answers = evaluation.law_gold(_law_items(spark, d))
+    judged = evaluation.law_relevance(bm25(spark, d).join(docs, "doc_id"), answers)
+    return rounded(evaluation.means(evaluation.per_query(_items(spark, d), judged, answers, KS, ["law", "article"])), *MEASURES)
+
+
+@register("metrics_by_type", f"""WITH {ALL_BM25}, {WITH_GOLD}, {WITH_JUDGED}, {PER_QUERY}
+    SELECT CASE WHEN len({TOKENS}) < 20 THEN 'short' ELSE 'long' END AS type, k, {MEANS}, count(*) AS items FROM per JOIN benchmark ON item_id = query_id GROUP BY ALL""")
+def metrics_by_type(spark, d):
+    kinds = questions(spark, d).select("query_id", F.when(text.n_tokens(F.col("text")) < 20, "short").otherwise("long").alias("type"))
+    return rounded(evaluation.means(_measured(spark, d).join(kinds, "query_id"), "type"), *MEASURES)
+
+
 @register("corpus_coverage", f"""WITH {WITH_GOLD} SELECT count(*)::BIGINT AS n_gold, count_if(doc_id IN (SELECT doc_id FROM labels))::BIGINT AS n_covered,
     round(count_if(doc_id IN (SELECT doc_id FROM labels)) / count(*), 6) AS coverage FROM gold""")
 def corpus_coverage(spark, d):
@@ -401,6 +457,20 @@ def article_segmentation(spark, d):
     return segment.articles(docs).filter("chunking = 'article'").select(F.col("doc").alias("doc_id"), "num", "text")
 
 
+@register("statute_chunks", r"""WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
+    a AS (SELECT doc_id, source, pos, trim(regexp_replace(line, '[\s\x0b\x{a0}\x{3000}\x{85}]+', ' ', 'g')) AS body FROM l)
+    SELECT doc_id::VARCHAR || '_chunk_' || (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1) AS id, doc_id::VARCHAR AS source, pos::INTEGER AS article_num,
+        '《' || source || '》第' || pos || '条' || chr(10) || body AS text FROM a WHERE body <> ''""")
+def statute_chunks(spark, d):
+    """Documents as statutes in force, each line an article: deduplicated, filtered and cut to chunks as a build does."""
+    article = lambda line, i: F.struct(
+        F.concat(F.lit("第"), (i + 1).cast("string"), F.lit("条")).alias("no"), (i + 1).alias("num"), F.lit(0).alias("sub"), F.lit("").alias("container"), text.squeeze(line).alias("text"), F.lit("article").alias("chunking"))
+    docs = table(spark, d, "documents")
+    none = [F.lit(None).cast("string").alias(c) for c in ("category", "subcategory", "gbrq", "sxrq")]
+    laws = docs.select(F.col("doc_id").cast("string").alias("bbbs"), F.col("source").alias("title"), *none, F.lit(3).alias("sxx"), F.transform(F.split("text", "\n"), article).alias("articles"))
+    return segment.chunks(index.indexable(laws)[0]).select("id", "source", "article_num", "text")
+
+
 FOLD = """list_reduce(list_prepend({{'done': []::BIGINT[], 'pack': 0::BIGINT}}, list_transform({pieces}, lambda n: {{'done': []::BIGINT[], 'pack': n}})), lambda a, b:
     {{'done': CASE WHEN a.pack > 0 AND a.pack + b.pack > {limit} THEN list_append(a.done, a.pack) ELSE a.done END,
       'pack': CASE WHEN a.pack > 0 AND a.pack + b.pack > {limit} THEN {fresh} WHEN a.pack > 0 THEN a.pack + 1 + b.pack ELSE b.pack END}})"""
@@ -495,6 +565,7 @@ def citation_count(spark, d):
     return _answers(spark, d).select("conv_id", "turn", text.citations(F.col("answer")).alias("n"))
 
 
+AGENT_PARTS = ("tool_selection", "structure", "source_citation", "keyword_coverage")
 WANTED = ["the", "und", "que", "les", "idiot"]
 
 
@@ -512,6 +583,22 @@ def agent_score_tiers(spark, d):
     return rounded(scored.select("conv_id", "turn", *parts, total.alias("total"), evaluation.tier(total).alias("tier")), *parts)
 
 
+SCORED = ORACLES["agent_score_tiers"]
+
+
+@register("agent_report", f"""WITH x AS ({SCORED}) SELECT count(*) AS n, {", ".join(f"round(avg({c}), 4) AS {c}" for c in AGENT_PARTS)}, round(avg(total), 4) AS total,
+    {", ".join(f"round(avg({c}) / 25, 4) AS {c}_share" for c in AGENT_PARTS)}, {", ".join(f"count_if(tier = '{t}')::BIGINT AS {t}" for t in ("excellent", "good", "fair", "poor"))} FROM x""")
+def agent_report(spark, d):
+    found = evaluation.agent_report(agent_score_tiers(spark, d))
+    return rounded(found, *AGENT_PARTS, "total", *(f"{c}_share" for c in AGENT_PARTS), places=4)
+
+
+@register("agent_worst", f"SELECT conv_id, turn, total FROM ({SCORED}) WHERE total < 60 ORDER BY total, conv_id, turn LIMIT 3")
+def agent_worst(spark, d):
+    """The feature is a limit: the three worst answers."""
+    return evaluation.worst(agent_score_tiers(spark, d), ["conv_id", "turn"]).select("conv_id", "turn", "total")
+
+
 def _calls(spark, d) -> DataFrame:
     """Events as a log of model calls: the type is the source, ``k`` the prompt tokens, the user the completion tokens."""
     k = F.from_json("props", "k long")["k"]
@@ -551,6 +638,24 @@ def crawl_progress(spark, d):
     return rounded(logs.crawl_progress(statutes, expected).select("category", "laws", "articles", "expected", "share"), "share")
 
 
+@register("crawl_remaining", """WITH s AS (SELECT source AS category, count(*) AS laws FROM documents GROUP BY 1), e AS (SELECT 'src' || label AS category, count(*) AS expected FROM embeddings GROUP BY 1),
+    p AS (SELECT sum(coalesce(laws, 0))::BIGINT AS done, sum(expected)::BIGINT AS expected FROM e LEFT JOIN s USING (category)),
+    m AS (SELECT max(epoch(ts)) AS now FROM events), t AS (SELECT count(*) AS n, round(coalesce(count(*) * 60 / greatest(max(epoch(ts)) - min(epoch(ts)), 1.0), 0), 6) AS per_minute FROM events, m WHERE epoch(ts) >= now - 86400)
+    SELECT done, expected, per_minute, CASE WHEN expected <= done THEN 0 WHEN n >= 2 THEN round((expected - done) / nullif(per_minute, 0), 4) END::DOUBLE AS minutes_left FROM p, t""")
+def crawl_remaining(spark, d):
+    statutes = table(spark, d, "documents").select(F.col("source").alias("category"), F.split("text", "\n").alias("articles"))
+    expected = table(spark, d, "embeddings").groupBy(F.concat(F.lit("src"), F.col("label").cast("string")).alias("category")).agg(F.count("*").alias("expected"))
+    return rounded(logs.remaining(logs.crawl_progress(statutes, expected), recent_rate(spark, d)), "minutes_left", places=4)
+
+
+@register("eval_sets_combined", """SELECT item_id AS query_id, 'benchmark' AS source, NULL::BOOLEAN AS expect_refusal FROM benchmark UNION ALL
+    SELECT doc_id, 'labels', toxic = 1 FROM labels""")
+def eval_sets_combined(spark, d):
+    first = _items(spark, d).withColumn("source", F.lit("benchmark"))
+    other = table(spark, d, "labels").select(F.col("doc_id").alias("query_id"), F.lit("labels").alias("source"), (F.col("toxic") == 1).alias("expect_refusal"))
+    return evaluation.combined(first, other)
+
+
 @register("reason_histogram", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def reason_histogram(spark, d):
     return logs.reasons(table(spark, d, "events"), "event_type")

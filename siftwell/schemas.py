@@ -7,6 +7,10 @@ STATUTE = (
     "bbbs string, title string, category string, subcategory string, issuing_body string, gbrq string, sxrq string, "
     f"sxx int, status string, source_url string, parse_warning string, articles array<{ARTICLE}>"
 )
+CHUNK = (
+    "id string, text string, law_title string, bbbs string, article_no string, article_num int, article_sub int, category string, "
+    "subcategory string, container string, effective_date string, status int, status_label string, chunking string, source string"
+)
 EVAL_ITEM = (
     "id string, question string, category string, type string, question_type string, source string, "
     "expect_refusal boolean, relevant array<struct<law:string,article:string>>"

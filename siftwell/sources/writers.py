@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwell import schemas
 from siftwell.operators import index
 
 RATINGS = ("up", "down")
@@ -46,6 +47,21 @@ def attach_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     return found
 
 
+def build_index(statutes: DataFrame, chunk_path: str, index_path: str, max_chars: int = 800) -> DataFrame:
+    """Statute records to chunks and an index over all chunks there; one row: what ``indexable`` found, and ``chunks``.
+
+    Statutes that come again replace their old chunks (by source), so a build may be repeated and done in parts.
+    """
+    from siftwell.operators import segment
+
+    spark = statutes.sparkSession
+    kept, report = index.indexable(statutes)
+    replace_sources(segment.chunks(kept, max_chars), chunk_path)
+    every = spark.read.schema(schemas.CHUNK).parquet(chunk_path)
+    save_index(every, index_path, "id")
+    return report.crossJoin(F.broadcast(every.agg(F.count("*").alias("chunks"))))  # one row each
+
+
 def replace_sources(incoming: DataFrame, path: str, source: str = "source") -> None:
     """Write ``incoming`` to a table partitioned by source; the partitions it brings replace the old ones, others stay."""
     incoming.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(source).parquet(path)

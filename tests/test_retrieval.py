@@ -1,5 +1,7 @@
 import math
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +82,45 @@ def test_agent_scores_and_logs(spark):
     assert (row["tool_selection"], row["source_citation"], row["keyword_coverage"]) == (12.5, 12.5, 25.0) and row["structure"] == pytest.approx(25 / 3)
     ratings = spark.createDataFrame([("up", "rag"), ("up", "rag"), ("down", "chat")], "rating string, mode string")
     assert {r["mode"]: r["satisfaction"] for r in logs.feedback(ratings).collect()} == {None: pytest.approx(2 / 3), "rag": 1.0, "chat": 0.0}
+
+
+def test_relevance_by_statute_and_article(spark):
+    items = spark.createDataFrame(
+        [(1, [("民法典", "第五百七十七条"), ("刑法", "二百六十四")]), (2, [("公司法", "第三条"), ("公司法", "无编号")]), (3, None)], "query_id long, relevant array<struct<law:string,article:string>>"
+    )
+    gold = evaluation.law_gold(items)
+    assert sorted(map(tuple, gold.collect())) == [(1, "民法典", 577), (2, "公司法", 3)]
+    results = spark.createDataFrame(
+        [(1, 1, "中华人民共和国民法典", "第五百七十七条之一"), (1, 2, "《中华人民共和国民法典》", "578"), (1, 3, "刑法", "577"), (2, 1, None, "第三条"), (2, 2, "公司法", None), (3, 1, "公司法", "3")],
+        "query_id long, rank int, law_title string, article_no string",
+    )
+    judged = evaluation.law_relevance(results, gold)
+    assert {(r["query_id"], r["rank"]) for r in judged.collect() if r["rel"]} == {(1, 1)} and judged.count() == 6
+    got = {(r["query_id"], r["k"]): (r["hit"], r["recall"]) for r in evaluation.per_query(items, judged, gold, (1, 3), ["law", "article"]).collect()}
+    assert got == {(1, 1): (1.0, 1.0), (1, 3): (1.0, 1.0), (2, 1): (0.0, 0.0), (2, 3): (0.0, 0.0), (3, 1): (0.0, 0.0), (3, 3): (0.0, 0.0)}
+    corpus = evaluation.chunk_keys(results)
+    assert {r["query_id"]: r["in_corpus"] for r in evaluation.coverage(items, gold, corpus, ["law", "article"]).collect()} == {1: True, 2: True, 3: False}
+
+
+def test_quantiles_and_systematic_sample_over_parts_of_the_range(spark, monkeypatch):
+    rng = random.Random(3)
+    numbers = [rng.choice([rng.random(), rng.random() ** 9, 0.5]) for _ in range(3000)]
+    values = spark.createDataFrame([(x,) for x in [*numbers, None]], "v double")
+    want = sorted(numbers)
+    assert {r["share"]: r["value"] for r in evaluation.picked_quantiles(values, "v", [0.0, 0.3, 0.5, 0.999, 1.0]).collect()} == {s: want[min(int(3000 * s), 2999)] for s in (0.0, 0.3, 0.5, 0.999, 1.0)}
+    assert evaluation.picked_quantiles(values.filter("v is null"), "v", [0.5]).count() == 0
+    ids = spark.createDataFrame([(rng.randrange(10**9),) for _ in range(1000)], "id long")
+    assert sorted(r["id"] for r in evaluation.systematic_sample(ids, "id", 7).collect()) == sorted(r["id"] for r in ids.collect())[::7]
+
+
+def test_keywords_and_reports(spark):
+    terms = spark.createDataFrame([("the", 0.1), ("theft", 3.0), ("law", 1.0)], "term string, idf double")
+    asked = spark.createDataFrame([(1, "The theft, the law of the sea"), (2, "…")], "query_id long, text string")
+    assert {r["query_id"]: r["keywords"] for r in index.keywords(asked, terms, 3).collect()} == {1: "of sea theft", 2: "…"}
+    scored = spark.createDataFrame([(i, 25.0, 25.0, float(i), 10.0, 60.0 + i) for i in range(-5, 21)], "id long, tool_selection double, structure double, source_citation double, keyword_coverage double, total double")
+    row = evaluation.agent_report(scored).first()
+    assert (row["n"], row["poor"], row["fair"], row["excellent"], row["tool_selection_share"]) == (26, 0, 5, 1, 1.0)
+    assert [r["id"] for r in evaluation.worst(scored, ["id"]).collect()] == [-5, -4, -3]
+    rate = spark.createDataFrame([(10, 2.0)], "n long, per_minute double")
+    progress = spark.createDataFrame([(30, 40), (10, 10)], "laws long, expected long")
+    assert logs.remaining(progress, rate).first()["minutes_left"] == 5.0 and logs.remaining(progress, rate.selectExpr("1L n", "0D per_minute")).first()["minutes_left"] is None

@@ -106,3 +106,26 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
     beats = spark.createDataFrame([("running", 100.0), ("running", 10.0)], "state string, updated_at double")
     assert [r["alive"] for r in jobs.heartbeat(beats, 200.0).collect()] == [True, False]
+
+
+def test_build_from_files_to_index(spark, tmp_path):
+    """Load, deduplicate, filter, cut, replace by source and index; a second build with one law anew keeps the others."""
+    def law(name, bbbs, sxx, *texts):
+        articles = [{"no": f"第{i}条", "num": i, "text": t} for i, t in enumerate(texts, 1)]
+        (tmp_path / "laws/a").mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"laws/a/{name}.json").write_text(json.dumps({"bbbs": bbbs, "title": f"法{bbbs}", "sxx": sxx, "articles": articles}), encoding="utf-8")
+
+    law("1", "b1", 3, "alpha beta", "gamma")
+    law("2", "b1", 3, "old")
+    law("3", "b2", 4, "delta")
+    law("4", "b3", 1, "gone")
+    law("5", "b4", 3)
+    chunks, where = str(tmp_path / "chunks"), str(tmp_path / "index")
+    told = writers.build_index(readers.statutes(spark, str(tmp_path / "laws")), chunks, where).first()
+    assert told.asDict() == {"laws": 4, "repeated": 1, "effective": 2, "pending": 1, "other_versions": 1, "unparsed": 1, "chunks": 3}
+    found = writers.load_index(spark, where)
+    assert {r["id"] for r in found["postings"].filter("term in ('beta', 'delta')").collect()} == {"b1_chunk_0", "b2_chunk_0"}
+    law("1", "b1", 3, "omega")
+    (tmp_path / "laws/a/2.json").unlink()
+    told = writers.build_index(readers.statutes(spark, str(tmp_path / "laws")).filter("bbbs = 'b1'"), chunks, where).first()
+    assert told["chunks"] == 2 and writers.load_index(spark, where)["postings"].filter("term = 'beta'").count() == 0
