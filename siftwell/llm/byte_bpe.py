@@ -19,10 +19,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.shared import steps, with_text_columns
+from siftwell.llm.shared import caches, steps, with_text_columns
 
 #: Entries at which a worker's two caches start afresh before the next batch. It bounds memory and changes no result.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 400_000
 #: Characters of texts whose new pre-tokens are merged together.
 BATCH_CHARS = 16_000_000
 #: Pieces of at most so many characters are merged together and kept; longer ones are merged one by one.
@@ -217,11 +217,14 @@ class RankBpe:
         given = [t or "" for t in texts]
         for first, end in steps(given, BATCH_CHARS):
             if len(self.pieces) > CACHE_ENTRIES or len(self.words) > CACHE_ENTRIES:
-                self.pieces.clear()
-                self.words.clear()
+                self.clear()
             self._learn(given[first:end])
             yield from map(self._encode, given[first:end])
 
+    def clear(self) -> None:
+        self.pieces.clear()
+        self.words.clear()
+
     def encode(self, text: str) -> bytes:
         return next(self.encode_all([text]))
 
@@ -238,7 +241,13 @@ def _loaded(path: str, pattern: str) -> RankBpe:
     return RankBpe.load(path, pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = "decoded") -> DataFrame:
+def _ready(path: str, pattern: str) -> RankBpe:
+    bpe = _loaded(path, pattern)
+    caches(f"byte_bpe {path} {pattern}", bpe.clear)
+    return bpe
+
+
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = "decoded", keep_text: bool = True) -> DataFrame:
     """``docs`` with ``ids`` (binary, little-endian uint32) and, unless None, ``decoded`` (binary, from those ids).
 
     Null and empty texts give no ids. Existing columns of those names are replaced; all others stay as they are.
@@ -247,23 +256,27 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     added = {ids: "binary"} | ({decoded: "binary"} if decoded else {})
 
     def make(texts: list[str | None]):
-        bpe = _loaded(path, pattern)
+        bpe = _ready(path, pattern)
         out = list(bpe.encode_all(texts))
         return [out, [bpe.decode(x) for x in out]] if decoded else [out]
 
-    return with_text_columns(docs, text, added, make)
+    return with_text_columns(docs, text, added, make, keep_text, owner="byte_bpe")
 
 
 def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256): digests of what ``encode`` gives, made in the same pass."""
+    """(key, n_tokens, ids_sha256, decoded_sha256): digests of what ``encode`` gives, made in the same pass.
+
+    One row for each of ``docs``, repeated and null keys too; null and empty texts have the digests of nothing. An empty
+    table gives none.
+    """
 
     def make(texts: list[str | None]):
-        bpe = _loaded(path, pattern)
+        bpe = _ready(path, pattern)
         made = [(len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(bpe.decode(x)).hexdigest()) for x in bpe.encode_all(texts)]
         return list(zip(*made, strict=True))
 
     added = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
-    return with_text_columns(docs.select(key, text), text, added, make, keep_text=False)
+    return with_text_columns(docs.select(key, text), text, added, make, keep_text=False, owner="byte_bpe")
 
 
 def token_counts(docs: DataFrame, ids: str = "ids") -> DataFrame:

@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +16,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Characters that one vectorised step takes together, unless a single text is longer.
 STEP_CHARS = 1_000_000
+#: Bytes of text that a worker turns to other columns together, unless a single text is longer.
+BATCH_BYTES = 8_000_000
 
 
 def scratch(spark: SparkSession) -> str:
@@ -52,21 +55,41 @@ def unpacked(rows: DataFrame, columns: list[str], **changed) -> DataFrame:
     return rows.select(*(changed.get(c, F.col("doc")[c]).alias(c) for c in columns))
 
 
-def with_text_columns(docs: DataFrame, text: str, added: dict[str, str], make, keep_text: bool = True) -> DataFrame:
+def by_bytes(batch: pa.RecordBatch, at: int, limit: int):
+    """Slices of a batch with about ``limit`` bytes of the text column ``at`` each; texts are never cut."""
+    size = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    edges = np.flatnonzero(np.diff((np.cumsum(size) - size) // limit, prepend=-1, append=-2)).tolist()
+    for first, end in zip(edges, edges[1:], strict=False):
+        yield batch.slice(first, end - first)
+
+
+#: What clears each operator's caches in this worker process.
+_CACHES: dict[str, object] = {}
+
+
+def caches(owner: str, clear=None) -> None:
+    """Tell how to clear an operator's caches, and clear those of all others: a worker that is used again holds one operator's."""
+    for name in [x for x in _CACHES if not owner or not x.startswith(owner)]:
+        _CACHES.pop(name)()
+    if clear:
+        _CACHES[owner] = clear
+
+
+def with_text_columns(docs: DataFrame, text: str, added: dict[str, str], make, keep_text: bool = True, owner: str = "") -> DataFrame:
     """``docs`` with the columns ``added`` (name: type), replacing any of those names; other columns pass untouched.
 
-    ``make`` gets the texts of a batch (None for null) and returns the new columns in order, each as long as the batch.
+    ``make`` gets some texts (None for null) and returns the new columns in order, each as long; it is called anew for every BATCH_BYTES of text, which bounds memory. A task first clears the caches that other
+    operators than ``owner`` left in its worker.
     """
     keep = docs.drop(*added)
     kinds = [T.StructField(name, T._parse_datatype_string(kind)) for name, kind in added.items()]
     schema = T.StructType([f for f in keep.schema.fields if keep_text or f.name != text] + kinds)
     arrow = [(f.name, to_arrow_type(f.dataType)) for f in kinds]
+    at = keep.columns.index(text)
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            at = batch.schema.get_field_index(text)
+        caches(owner)
+        for batch in (part for whole in batches if whole.num_rows for part in by_bytes(whole, at, BATCH_BYTES)):
             made = make(batch.column(at).to_pylist())
             columns = [(n, c) for i, (n, c) in enumerate(zip(batch.schema.names, batch.columns, strict=True)) if keep_text or i != at]
             columns += [(n, pa.array(x, kind, from_pandas=True)) for (n, kind), x in zip(arrow, made, strict=True)]
@@ -79,15 +102,15 @@ def heavy_join(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, t
     """Inner join of ``rows`` with ``keyed`` (one row for each key, ``count`` = its rows) that no frequent key can skew.
 
     Keys with more than ``total / share`` rows number fewer than ``share``, so they are broadcast; the others shuffle, and
-    rows that the broadcast has served go along under a hash of their place, so they are spread evenly. ``rows`` is read
-    once.
+    rows that the broadcast has served go along under a hash of all their columns, so they are spread evenly, and alike
+    when a task runs again. ``rows`` is read once.
     """
     limit = max(1, total // share)
     payload = [c for c in keyed.columns if c not in keys]
     heavy = keyed.filter(F.col(count) > limit).select(*keys, F.struct(*payload).alias("_heavy"))
     light = keyed.filter(F.col(count) <= limit).select(*[F.col(k).alias(f"_{k}") for k in keys], F.struct(*payload).alias("_light"))
     served = rows.join(F.broadcast(heavy), keys, "left")
-    spread = F.when(F.col("_heavy").isNull(), F.col(keys[0])).otherwise(F.xxhash64(F.monotonically_increasing_id()))
+    spread = F.when(F.col("_heavy").isNull(), F.col(keys[0])).otherwise(F.xxhash64(*rows.columns))
     match = [F.col("_at") == F.col(f"_{keys[0]}"), *(F.col(k) == F.col(f"_{k}") for k in keys[1:]), F.col("_heavy").isNull()]
     joined = served.withColumn("_at", spread).join(light, match, "left").withColumn("_found", F.coalesce("_heavy", "_light"))
     return joined.filter("_found is not null").select(*rows.columns, "_found.*")
