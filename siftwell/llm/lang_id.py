@@ -176,9 +176,12 @@ class LanguageModels:
             if len(odd):
                 each, which = np.unique(key[odd], return_inverse=True)
                 value[odd] = np.stack([m.log_prob(each) for m in self.models], 1)[which]
-            total = np.concatenate([np.zeros((1, len(self.langs))), np.cumsum(value, 0, dtype=np.float64)])
-            sums.append(total[bounds[1:]] - total[bounds[:-1]])
-            sizes.append(np.diff(bounds))
+            size = np.diff(bounds)
+            total = np.zeros((len(size), len(self.langs)))
+            if size.any():
+                total[size > 0] = np.add.reduceat(value, bounds[:-1][size > 0], 0, dtype=np.float64)
+            sums.append(total)
+            sizes.append(size)
         n = np.concatenate(sizes)
         return -np.concatenate(sums) / np.maximum(n, 1)[:, None], n
 
@@ -197,28 +200,29 @@ class LanguageModels:
         return pd.DataFrame({"lang_pred": lang, "score": score, "cross_entropy": least, "rejected": rejected})
 
 
-def _sampled(docs: DataFrame, per_lang: int, key: str, lang: str) -> DataFrame | None:
+def _sampled(docs: DataFrame, per_lang: int, key: str, lang: str, salt: str) -> DataFrame | None:
     """About ``per_lang`` rows of each language (all, if there are fewer), chosen by a hash of the key."""
     counts = {r[lang]: r["n"] for r in docs.groupBy(lang).agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, per_lang / n) * 1_000_000))])
-    return docs.filter(F.pmod(F.xxhash64(key, F.lit("lang-id")), F.lit(1_000_000)) < share[F.col(lang)])
+    return docs.filter(F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(1_000_000)) < share[F.col(lang)])
 
 
-def fit(docs: DataFrame, per_lang: int = 4000, alpha: float = 0.0001, text: str = "text", lang: str = "lang", key: str = "doc_id") -> LanguageModels | None:
+def fit(docs: DataFrame, per_lang: int = 4000, calibration: int = 10_000, alpha: float = 0.0005, text: str = "text", lang: str = "lang", key: str = "doc_id") -> LanguageModels | None:
     """Models from labelled documents; None if there are none with a letter.
 
-    A bounded sample is used: about ``per_lang`` documents of each language, whole texts. Four fifths of it give the
-    n-gram counts; the rest set each language's limit, above which at most a share ``alpha`` of its own texts lie
-    (a conformal quantile of ``excess``; half as much again as the largest if they are too few for it).
+    Bounded samples are used, whole texts each. Four fifths of the rows, at most about ``per_lang`` of each language, give
+    the n-gram counts; of the other fifth at most about ``calibration`` set each language's limit, above which at most a
+    share ``alpha`` of its own texts lie (a conformal quantile of ``excess``). Fewer than 1 / alpha of them are too few for
+    the quantile: the limit is then half as much again as the largest seen.
     Rows with a null text, lang or key are left out.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).dropna()
-    rows = _sampled(rows, per_lang, "key", "lang")
-    if rows is None:
-        return None
     fold = F.pmod(F.xxhash64("key", F.lit("calibrate")), F.lit(5))
+    counted = _sampled(rows.filter(fold > 0), per_lang, "key", "lang", "lang-id")
+    if counted is None:
+        return None
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -229,7 +233,7 @@ def fit(docs: DataFrame, per_lang: int = 4000, alpha: float = 0.0001, text: str
                     yield pd.DataFrame({"lang": name, "gram": k.view(np.int64), "n": n})
 
     found = (
-        rows.filter(fold > 0).select("lang", "text").mapInPandas(count, "lang string, gram long, n long")
+        counted.select("lang", "text").mapInPandas(count, "lang string, gram long, n long")
         .groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     )
     if found.empty:
@@ -247,7 +251,10 @@ def fit(docs: DataFrame, per_lang: int = 4000, alpha: float = 0.0001, text: str
                 own = h[np.arange(len(batch)), batch["lang"].map(at).to_numpy()]
                 yield pd.DataFrame({"lang": batch["lang"].to_numpy(), "h": own, "n": n})[n > 0]
 
-    held = rows.filter(fold == 0).select("lang", "text").mapInPandas(measure, "lang string, h double, n long").toArrow().to_pandas()
+    held = _sampled(rows.filter(fold == 0), calibration, "key", "lang", "limits")
+    if held is None:
+        return models
+    held = held.select("lang", "text").mapInPandas(measure, "lang string, h double, n long").toArrow().to_pandas()
     for i, x in enumerate(models.langs):
         own = held[held["lang"] == x]
         need = int(np.ceil((len(own) + 1) * (1 - alpha)))
