@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.components import components
-from siftwell.llm.shared import heavy_join, packed, staged, unpacked
+from siftwell.llm.shared import heavy_join, packed, staged, temporary, unpacked
 
 #: Characters of a shingle; shingles that one row of the signing stage holds.
 SHINGLE, STEP = 8, 8
@@ -252,34 +252,37 @@ def _block_links(labelled: DataFrame, split: DataFrame, total: int, texts: DataF
 
 def duplicate_classes(lines: DataFrame, similarity: float = 0.8) -> DataFrame:
     """(id, root, n): classes of equal lines that have two rows or more, or a near duplicate; root is the least id of the component."""
-    signed = staged(signatures(lines.select("id", "norm")))
-    two, inside = _buckets(signed)
-    # each member meets the bucket's least line, which joins most families; then all pairs that this leaves open
-    one = F.lit(1)
-    star = inside.filter("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b"), _hub(F.col("size")).alias("parts_a"))
-    star = star.unionByName(two.withColumn("parts_a", one))
-    pairs = staged(star.groupBy("a", "b").agg(F.max("parts_a").alias("parts_a")).withColumn("parts_b", one))
-    texts = texts_of(lines, pairs.select(F.explode(F.array("a", "b")).alias("id")))
-    compared = staged(_compared(pairs, texts))
-    links = _linked(compared, similarity)
-    placed = _placed(inside, compared, signed)
-    labelled, split = _open(placed, _labels(links))
-    links = links.unionByName(staged(_linked(_compared(staged(_small_pairs(labelled, split, similarity)), texts), similarity)))
-    for turn in range(TURNS + 1):
-        large = split.filter(F.col("size") >= LARGE)
-        cross, total = large.agg(F.sum("cross"), F.sum("size")).first()
-        if not cross:
-            break
-        last = turn == TURNS or cross <= OPEN * total
-        if last:
-            links = links.unionByName(staged(_block_links(labelled, large, total, texts, similarity)))
-            break
-        met = _pivot_pairs(labelled, large, total, turn, similarity)
-        met = staged(met.groupBy("a", "b").agg(F.max("parts_a").alias("parts_a"), F.max("parts_b").alias("parts_b")))
-        links = links.unionByName(staged(_linked(_compared(met, texts), similarity)))
-        labelled, split = _open(placed.join(large.select("band"), "band"), components(links).withColumnsRenamed({"node": "id", "root": "label"}))
-    roots = components(links).withColumnRenamed("node", "id")
-    return staged(signed.select("id", "n").join(roots, "id", "left").filter("n > 1 or root is not null").select("id", F.coalesce("root", "id").alias("root"), "n"))
+    with temporary(lines.sparkSession) as keep:
+        signed = staged(signatures(lines.select("id", "norm")))
+        two, inside = _buckets(signed)
+        # each member meets the bucket's least line, which joins most families; then all pairs that this leaves open
+        one = F.lit(1)
+        star = inside.filter("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b"), _hub(F.col("size")).alias("parts_a"))
+        star = star.unionByName(two.withColumn("parts_a", one))
+        pairs = staged(star.groupBy("a", "b").agg(F.max("parts_a").alias("parts_a")).withColumn("parts_b", one))
+        texts = texts_of(lines, pairs.select(F.explode(F.array("a", "b")).alias("id")))
+        compared = staged(_compared(pairs, texts))
+        links = _linked(compared, similarity)
+        placed = _placed(inside, compared, signed)
+        labelled, split = _open(placed, _labels(links))
+        links = links.unionByName(staged(_linked(_compared(staged(_small_pairs(labelled, split, similarity)), texts), similarity)))
+        for turn in range(TURNS + 1):
+            large = split.filter(F.col("size") >= LARGE)
+            cross, total = large.agg(F.sum("cross"), F.sum("size")).first()
+            if not cross:
+                break
+            last = turn == TURNS or cross <= OPEN * total
+            if last:
+                links = links.unionByName(staged(_block_links(labelled, large, total, texts, similarity)))
+                break
+            met = _pivot_pairs(labelled, large, total, turn, similarity)
+            met = staged(met.groupBy("a", "b").agg(F.max("parts_a").alias("parts_a"), F.max("parts_b").alias("parts_b")))
+            links = links.unionByName(staged(_linked(_compared(met, texts), similarity)))
+            labelled, split = _open(placed.join(large.select("band"), "band"), components(links).withColumnsRenamed({"node": "id", "root": "label"}))
+        roots = components(links).withColumnRenamed("node", "id")
+        found = staged(signed.select("id", "n").join(roots, "id", "left").filter("n > 1 or root is not null").select("id", F.coalesce("root", "id").alias("root"), "n"))
+        keep(found)
+    return found
 
 
 def removed_lines(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.components import components
-from siftwell.llm.shared import GOLDEN, mix, packed, staged, steps, unpacked, with_text_columns, word_hashes
+from siftwell.llm.shared import GOLDEN, heavy_join, mix, packed, staged, steps, temporary, unpacked, with_text_columns, word_hashes
 
 #: Bucket size for brute force, levels of splitting, chance of a second sampled token, min-wise tokens of a run.
 LIMIT, LEVELS, SECOND = 100, 4, 0.25
@@ -118,7 +118,7 @@ def _leaves(classes: DataFrame, runs: int) -> DataFrame:
     for level in range(LEVELS):
         at = staged(at.select("cid", "run", F.explode(_child_paths(F.col("path"), F.col("run"), level, F.col("sig"))).alias("path")))
         sizes = at.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1")
-        at = at.join(sizes, "path")
+        at = heavy_join(at, staged(sizes), ["path"], "size", at.count())
         small = at if level == LEVELS - 1 else at.filter(F.col("size") <= LIMIT)
         small = staged(small.select(F.col("path").alias("leaf"), "cid", "size"))
         done = small if done is None else done.unionByName(small)
@@ -279,27 +279,32 @@ def _classified(docs: DataFrame, n: int, similarity: float, recall: float, key:
         cids = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None for s in sets]
         return [cids, sketch(sets, tokens)]
 
-    rows = staged(with_text_columns(slim, "text", {"cid": "long", "sig": "array<int>"}, describe, keep_text=False))
-    worded = rows.filter("cid is not null")
-    first = F.struct(F.col("key").isNull().alias("none"), "key", "th")
-    least = staged(worded.groupBy("cid").agg(F.min(first).alias("first"), F.count("*").alias("copies")))
-    one = worded.join(least, "cid").filter(F.col("key").eqNullSafe(F.col("first.key")) & (F.col("th") == F.col("first.th")))
-    classes = staged(one.select("cid", "copies", "sig").dropDuplicates(["cid"]))
-
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        """(cid, set) of the wanted classes, from the text of each one's first row."""
-        chosen = least.join(wanted, "cid").select("cid", F.col("first.key").alias("chosen"), F.col("first.th").alias("th"))
-        texts = slim.join(chosen, "th").filter(F.col("key").eqNullSafe(F.col("chosen"))).select("cid", "text")
-        return with_text_columns(texts, "text", {"set": "array<long>"}, lambda t: [[np.sort(s.view(np.int64)) for s in shingles(t, n)]], keep_text=False)
-
-    links = join_classes(classes, sets_of, similarity, recall)
-    roots = components(links.select(F.col("cid").alias("u"), F.col("low").alias("v"))).withColumnRenamed("node", "cid")
-    counts = links.groupBy("cid").agg(F.sum("links").alias("texts"), F.sum("rows").alias("links"))
-    linked = least.join(counts, "cid").join(roots, "cid")
-    leads = linked.groupBy("root").agg(F.min("first").alias("lead"))
-    linked = linked.join(leads, "root").select("cid", "texts", "links", "lead")
-    told = least.join(linked, "cid", "left").withColumn("lead", F.coalesce("lead", "first"))
-    found = rows.select("key", "th", "cid").join(told, "cid", "left")
+    with temporary(docs.sparkSession) as keep:
+        rows = staged(with_text_columns(slim, "text", {"cid": "long", "sig": "array<int>"}, describe, keep_text=False))
+        worded = rows.filter("cid is not null")
+        first = F.struct(F.col("key").isNull().alias("none"), "key", "th")
+        least = staged(worded.groupBy("cid").agg(F.min(first).alias("first"), F.count("*").alias("copies")))
+        one = worded.join(least, "cid").filter(F.col("key").eqNullSafe(F.col("first.key")) & (F.col("th") == F.col("first.th")))
+        classes = staged(one.select("cid", "copies", "sig").dropDuplicates(["cid"]))
+
+        def sets_of(wanted: DataFrame) -> DataFrame:
+            """(cid, set) of the wanted classes, from the text of each one's first row."""
+            chosen = least.join(wanted, "cid").select("cid", F.col("first.key").alias("chosen"), F.col("first.th").alias("th"))
+            texts = slim.join(chosen, "th").filter(F.col("key").eqNullSafe(F.col("chosen"))).select("cid", "text").dropDuplicates(["cid"])
+            return with_text_columns(texts, "text", {"set": "array<long>"}, lambda t: [[np.sort(s.view(np.int64)) for s in shingles(t, n)]], keep_text=False)
+
+        links = join_classes(classes, sets_of, similarity, recall)
+        roots = components(links.select(F.col("cid").alias("u"), F.col("low").alias("v"))).withColumnRenamed("node", "cid")
+        counts = links.groupBy("cid").agg(F.sum("links").alias("texts"), F.sum("rows").alias("links"))
+        linked = least.join(counts, "cid").join(roots, "cid")
+        leads = linked.groupBy("root").agg(F.min("first").alias("lead"))
+        linked = linked.join(leads, "root").select("cid", "texts", "links", "lead")
+        told = staged(least.join(linked, "cid", "left").withColumn("lead", F.coalesce("lead", "first")))
+        keep(rows, told)
+    # a class that many rows have is told by broadcast; rows without a word are in none
+    worded_rows = rows.select("key", "th", "cid").filter("cid is not null")
+    found = heavy_join(worded_rows, told, ["cid"], "copies", rows.count())
+    found = found.unionByName(rows.select("key", "th", "cid").filter("cid is null"), allowMissingColumns=True)
     alone = F.col("cid").isNull()
     return found.select(
         "key", "th",

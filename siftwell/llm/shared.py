@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -38,7 +39,34 @@ def staged(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     path = scratch(df.sparkSession)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.staged_at = path
+    if _TEMPORARY:
+        _TEMPORARY[-1].append(path)
+    return found
+
+
+_TEMPORARY: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession):
+    """Deletes at its end what was staged within it, but for the tables given to the function that it yields.
+
+    Those must be staged tables; they belong to the surrounding block, if there is one.
+    """
+    paths: list[str] = []
+    kept: set[str] = set()
+    _TEMPORARY.append(paths)
+    try:
+        yield lambda *tables: kept.update(t.staged_at for t in tables)
+    finally:
+        _TEMPORARY.pop()
+        if _TEMPORARY:
+            _TEMPORARY[-1].extend(kept)
+        for path in [p for p in paths if p not in kept]:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
