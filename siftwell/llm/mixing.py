@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.shared import packed, staged, unpacked
+from siftwell.llm.shared import heavy_join, packed, staged, unpacked
 
 #: Topics that texts are dealt to where no topic column is given.
 TOPICS = 8
@@ -36,26 +36,43 @@ def cells_of(docs: DataFrame, text: str = "text", source: str = "source", lang:
     return rows.select(*["doc"] * whole, "key", "source", "lang", topic.alias("topic"), tokens.alias("tokens"))
 
 
-def rake(cells: DataFrame, fraction: float = 0.5, temper: float = 0.7, rounds: int = 12) -> DataFrame:
+def rake(cells: DataFrame, fraction: float = 0.5, temper: float = 0.7, rounds: int = 12, targets: dict[str, dict] | None = None) -> DataFrame:
     """``cells`` (source, lang, topic, tokens) with ``prob``, the probability of the documents of each cell.
 
-    The target share of each value of a margin is its token share to the power ``temper``, made to sum to 1: below 1
-    lifts rare values. The targets of each margin sum to ``fraction`` of all tokens. Each round scales the weights to
-    the three margins in turn; the cells' weights never exceed their tokens. A margin whose values have too few tokens
-    for their target falls short of it by what they lack.
+    ``targets`` gives shares of values, as in {"lang": {"en": 0.6}}; the values of a margin that it leaves out divide what
+    is left of 1 by their token shares to the power ``temper``: below 1 lifts rare values. The targets of each margin sum to
+    ``fraction`` of all tokens. Each round scales the weights to the three margins in turn; the cells' weights never exceed
+    their tokens. A margin whose values have too few tokens for their target, or that lacks a value, falls short by that.
+
+    Up to BROADCAST_CELLS cells are scaled by windows; more of them by a table of each margin's sums, step by step, so that
+    a value with many cells is spread over tasks.
     """
+    for margin, given in (targets or {}).items():
+        if margin not in MARGINS or min(given.values(), default=0) < 0 or sum(given.values()) > 1 + 1e-9:
+            raise ValueError(f"targets of {margin} must be shares of 1 of one of {MARGINS}")
     now = cells.withColumn("w", F.col("tokens") * F.lit(fraction))
     grand = cells.agg(F.sum("tokens").alias("grand"))
+    few = cells.count() <= BROADCAST_CELLS
     for margin in MARGINS:
-        share = cells.groupBy(margin).agg(F.pow(F.sum("tokens"), F.lit(temper)).alias("s"))
-        target = share.crossJoin(F.broadcast(share.agg(F.sum("s").alias("all")))).crossJoin(F.broadcast(grand))
-        target = target.select(margin, (F.col("s") / F.col("all") * F.col("grand") * fraction).alias(f"t_{margin}"))
-        now = now.join(target, margin)
+        given = (targets or {}).get(margin, {})
+        told = F.create_map(*[F.lit(x) for pair in given.items() for x in pair])[F.col(margin)] if given else F.lit(None).cast("double")
+        share = cells.groupBy(margin).agg(F.pow(F.sum("tokens"), F.lit(temper)).alias("s"), F.count("*").alias("cells")).withColumn("told", told)
+        rest = share.agg(F.coalesce(F.sum(F.when(F.col("told").isNull(), F.col("s"))), F.lit(1.0)).alias("all"))
+        part = F.coalesce("told", F.col("s") / F.col("all") * (1 - sum(given.values())))
+        target = share.crossJoin(F.broadcast(rest)).crossJoin(F.broadcast(grand)).select(margin, (part * F.col("grand") * fraction).alias(f"t_{margin}"), "cells")
+        now = now.join(target.drop("cells"), margin) if few else heavy_join(now, target, [margin], "cells", BROADCAST_CELLS).drop("cells")
     for turn in range(rounds):
         for margin in MARGINS:
-            own = F.sum("w").over(Window.partitionBy(margin))
-            now = now.withColumn("w", F.least(F.col("tokens").cast("double"), F.col("w") * F.col(f"t_{margin}") / own))
-        if turn % 4 == 3:
+            if few:
+                now = now.withColumn("own", F.sum("w").over(Window.partitionBy(margin)))
+            else:
+                sums = now.groupBy(margin).agg(F.sum("w").alias("own"), F.count("*").alias("cells"))
+                now = heavy_join(now, sums, [margin], "cells", BROADCAST_CELLS).drop("cells")
+            scaled = F.coalesce(F.col("w") * F.col(f"t_{margin}") / F.nullif("own", F.lit(0.0)), F.lit(0.0))
+            now = now.withColumn("w", F.least(F.col("tokens").cast("double"), scaled)).drop("own")
+            if not few:
+                now = staged(now)
+        if few and turn % 4 == 3:
             now = staged(now)
     return now.select(*MARGINS, "tokens", (F.col("w") / F.col("tokens")).alias("prob"))
 
@@ -69,15 +86,23 @@ def uniform(key: Column, seed: int = 17) -> Column:
 def with_probabilities(rows: DataFrame, **options) -> DataFrame:
     """``rows`` (of ``cells_of``) with ``prob`` of their cell.
 
-    The table of cells is broadcast while it has at most BROADCAST_CELLS rows; a larger one is joined by shuffle.
+    The table of cells is broadcast while it has at most BROADCAST_CELLS rows; of a larger one only cells with many rows.
     """
-    counted = staged(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")))
-    raked = rake(counted, **options).select(*MARGINS, "prob")
-    return rows.join(F.broadcast(raked) if counted.count() <= BROADCAST_CELLS else raked, list(MARGINS))
+    counted = staged(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows")))
+    raked = rake(counted.drop("rows"), **options).select(*MARGINS, "prob")
+    if counted.count() <= BROADCAST_CELLS:
+        return rows.join(F.broadcast(raked), list(MARGINS))
+    sized = staged(raked.join(counted.select(*MARGINS, "rows"), list(MARGINS)))
+    total = counted.agg(F.sum("rows")).first()[0]
+    return heavy_join(rows, sized, list(MARGINS), "rows", total).drop("rows")
 
 
 def decisions(docs: DataFrame, key: str = "doc_id", seed: int = 17, **options) -> DataFrame:
-    """(key, source, lang, topic, tokens, prob, sampled) for every row of ``docs``."""
+    """(key, source, lang, topic, tokens, prob, sampled) for every row of ``docs``.
+
+    Rows with equal keys are all sampled or all not, if of one cell; null keys are one key. Ties can't occur. An empty table
+    gives an empty one.
+    """
     found = with_probabilities(staged(cells_of(docs, key=key)), **options)
     return found.select(F.col("key").alias(key), *MARGINS, "tokens", "prob", (uniform(F.col("key"), seed) < F.col("prob")).alias("sampled"))
 

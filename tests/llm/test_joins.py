@@ -375,6 +375,24 @@ def test_raking_meets_the_margins(spark, docs):
     assert all(0 < r["prob"] <= 1 for r in raked)
 
 
+@pytest.mark.parametrize("few", [200_000, 3])
+def test_raking_to_given_targets_converges(spark, monkeypatch, few):
+    """Feasible targets are met within a thousandth of all tokens, by windows and by tables of sums alike."""
+    monkeypatch.setattr(mixing, "BROADCAST_CELLS", few)
+    rng = random.Random(2)
+    rows = [(s, l, t, float(rng.randrange(5000, 9000))) for s in "abc" for l in ("en", "de") for t in (0, 1)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic int, tokens double")
+    targets = {"lang": {"en": 0.7, "de": 0.3}, "source": {"a": 0.5}, "topic": {0: 0.4, 1: 0.6}}
+    found = [r.asDict() | {"w": r["prob"] * r["tokens"]} for r in mixing.rake(cells, 0.3, 0.7, 12 if few > 3 else 6, targets).collect()]
+    every = sum(r[3] for r in rows)
+    for margin, shares in targets.items():
+        for value, share in shares.items():
+            assert sum(r["w"] for r in found if r[margin] == value) == pytest.approx(0.3 * share * every, abs=0.003 * every)
+    assert len(found) == 12 and all(0 <= r["prob"] <= 1 for r in found)
+    with pytest.raises(ValueError):
+        mixing.rake(cells, targets={"lang": {"en": 1.7}})
+
+
 def test_mixing_samples_what_it_decides(spark, docs):
     told = mixing.decisions(docs)
     assert told.count() == docs.count() and told.filter("prob is null or prob <= 0 or prob > 1").count() == 0
