@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import io
-import re
 import zipfile
 from html import unescape
-from xml.sax.saxutils import unescape as xml_unescape
+from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +28,6 @@ OUT_OF_DOMAIN = (
     ("这份劳动合同值不值得签，你觉得呢？", "需专业判断"),
     ("你觉得法官会怎么判我这个案子？", "需专业判断"),
 )
-OLE2 = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"
 
 
 def statutes(spark: SparkSession, path: str) -> DataFrame:
@@ -40,18 +38,38 @@ def statutes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _docx(data: bytes) -> list[str]:
-    """Non-empty paragraphs of a .docx file; none for anything else."""
-    if data[:8] == OLE2:
+    """Non-empty paragraphs of a .docx file, tabs and line breaks included; none for anything else.
+
+    Bytes that are no UTF-8 become replacement characters; what follows a place that is no XML is lost.
+    """
+    if not zipfile.is_zipfile(io.BytesIO(data)):
         return []
+    with zipfile.ZipFile(io.BytesIO(data)) as parts:
+        if "word/document.xml" not in parts.namelist():
+            return []
+        xml = parts.read("word/document.xml").decode("utf-8", "replace")
+    found: list[str] = []
+    now: list[str] = []
+    opened: list[str] = []
+
+    def start(name, _):
+        opened.append(name)
+        if name in ("w:tab", "w:br"):
+            now.append("\t" if name == "w:tab" else "\n")
+
+    def end(name):
+        opened.pop()
+        if name == "w:p":
+            found.extend(x for x in ["".join(now).strip()] if x)
+            now.clear()
+
+    parser = expat.ParserCreate("utf-8")
+    parser.StartElementHandler, parser.EndElementHandler = start, end
+    parser.CharacterDataHandler = lambda x: now.append(x) if opened[-1] == "w:t" else None
     try:
-        xml = zipfile.ZipFile(io.BytesIO(data)).read("word/document.xml").decode("utf-8")
-    except (zipfile.BadZipFile, KeyError, UnicodeDecodeError):
-        return []
-    found = []
-    for body in re.findall(r"<w:p[ >].*?</w:p>", xml, re.S):
-        line = xml_unescape("".join(re.findall(r"<w:t(?:\s[^>]*)?>(.*?)</w:t>", body, re.S))).strip()
-        if line:
-            found.append(line)
+        parser.Parse(xml.encode(), True)
+    except expat.ExpatError:
+        pass
     return found
 
 

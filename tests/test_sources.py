@@ -15,7 +15,7 @@ def docx(*paragraphs):
     body = "".join(f'<w:p a="1"><w:r><w:t xml:space="preserve">{p}</w:t></w:r></w:p>' for p in paragraphs)
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
-        z.writestr("word/document.xml", f"<w:document>{body}</w:document>")
+        z.writestr("word/document.xml", f"<w:document>{body}</w:document>".encode("utf-8", "surrogateescape"))
     return out.getvalue()
 
 
@@ -32,10 +32,11 @@ def test_statutes_skip_broken_files(spark, tmp_path):
 
 def test_documents_by_format(spark, tmp_path):
     (tmp_path / "a.docx").write_bytes(docx("第一条 甲", " ", "A &amp; B"))
-    (tmp_path / "b.docx").write_bytes(readers.OLE2 + b"x")
+    (tmp_path / "b.docx").write_bytes(b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1x")
+    (tmp_path / "d.docx").write_bytes(docx("one</w:t><w:tab/><w:t>two", "bad \udcff byte"))
     (tmp_path / "c.txt").write_bytes(b"x\ny")
     found = {r["path"].rsplit("/", 1)[-1]: r["lines"] for r in readers.documents(spark, str(tmp_path), {"txt": lambda b: b.decode().split()}).collect()}
-    assert found == {"a.docx": ["第一条 甲", "A & B"], "b.docx": [], "c.txt": ["x", "y"]}
+    assert found == {"a.docx": ["第一条 甲", "A & B"], "b.docx": [], "c.txt": ["x", "y"], "d.docx": ["one\ttwo", "bad \ufffd byte"]}
 
 
 def test_eval_items_are_validated(spark, tmp_path):
