@@ -197,3 +197,49 @@ def test_bpe_table(spark):
     rows = {r["doc_id"]: r for r in byte_bpe.token_counts(byte_bpe.encode(edge_rows(spark), path, public_tokenizers.PATTERN)).collect()}
     assert rows[0]["n_tokens"] == 0 and bytes(rows[6]["decoded"]).decode() == EDGE[6] and rows[6]["score"] == "x"
     assert byte_bpe.digests(edge_rows(spark).filter("false"), path, public_tokenizers.PATTERN).count() == 0
+
+
+def plain_kneser_ney(grams):
+    """Probability of a 4-gram (a tuple) by interpolated Kneser-Ney, from the tables of counts alone."""
+    counts = {4: collections.Counter(grams)}
+    for n in (3, 2, 1):  # a lower count is the number of different characters before
+        counts[n] = collections.Counter(g[1:] for g in counts[n + 1])
+    cut, total, kinds = {}, {n: collections.Counter() for n in counts}, {n: collections.Counter() for n in counts}
+    for n, table in counts.items():
+        once, twice = (sum(c == k for c in table.values()) for k in (1, 2))
+        cut[n] = min(0.95, max(0.05, once / (once + 2 * twice))) if once + twice else 0.5
+        for g, c in table.items():
+            total[n][g[:-1]] += c
+            kinds[n][g[:-1]] += 1
+
+    def prob(g, n=4):
+        if n == 0:
+            return 1 / 65536
+        own, below = g[-n:], prob(g, n - 1)
+        if not total[n][own[:-1]]:
+            return below
+        return (max(counts[n][own] - cut[n], 0) + cut[n] * kinds[n][own[:-1]] * below) / total[n][own[:-1]]
+
+    return prob
+
+
+def test_cross_entropies_equal_plain_kneser_ney():
+    rng = random.Random(12)
+    words = {"a": ["the", "cat", "sat", "on", "mats"], "b": ["der", "kater", "saß", "auf", "matten"]}
+    texts = {k: [" ".join(rng.choices(w, k=30)) for _ in range(6)] for k, w in words.items()}
+
+    def tuples(text):
+        keys = lang_id.grams([text])[0].tolist()
+        return [tuple(k >> 16 * i & 0xFFFF for i in (3, 2, 1, 0)) for k in keys[lang_id.grams([text])[1][0] :]]
+
+    counted = {k: np.unique(lang_id.grams(ts)[0], return_counts=True) for k, ts in texts.items()}
+    models = lang_id.LanguageModels(counted)
+    asked = ["The cat saß on der mat", "xyz qq", "kater matten!", "on", ""]
+    h, n = models.entropies(asked)
+    for j, name in enumerate(models.langs):
+        keys, c = counted[name]
+        prob = plain_kneser_ney([tuple(k >> 16 * i & 0xFFFF for i in (3, 2, 1, 0)) for k, m in zip(keys.tolist(), c.tolist(), strict=True) for _ in range(m)])
+        for i, text in enumerate(asked):
+            own = tuples(text)
+            assert len(own) == n[i]
+            assert h[i, j] == pytest.approx(-sum(np.log(prob(g)) for g in own) / max(len(own), 1), abs=2e-5)
