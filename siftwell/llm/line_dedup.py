@@ -241,7 +241,8 @@ def _block_links(labelled: DataFrame, split: DataFrame, total: int, texts: DataF
     def side(own: str, name: str, *more: str) -> DataFrame:
         # texts travel, and shingles are made where they are compared
         dealt = _as(each.filter(F.col("block") == F.col(own)), name, "band", "i", "j", "norm", *more).repartition(meetings, "band", "i", "j")
-        return dealt.withColumn(f"{name}_set", _shingles("norm")).drop("norm")
+        # never null, so that the join brings no test for null, which would make the shingles once more
+        return dealt.withColumn(f"{name}_set", F.coalesce(_shingles("norm"), F.array().cast("array<long>"))).drop("norm")
 
     once = (F.col("i") != F.col("j")) | (F.col("x_id") < F.col("y_id"))
     met = side("i", "x", "number").join(side("j", "y"), ["band", "i", "j"]).filter(once & _first_met(similarity))
