@@ -8,21 +8,19 @@ from pyspark.sql import functions as F
 # Price in CNY for a million tokens, (input, output); what unknown models cost.
 PRICES = {"deepseek-v4-pro": (10.0, 40.0), "deepseek-chat": (2.0, 8.0)}
 OTHER_PRICE = (2.0, 8.0)
+# The parameters of BM25.
+K1, B = 1.5, 0.75
 
 
 def idf(n: Column, df: Column) -> Column:
     return F.log((n - df + 0.5) / (df + 0.5) + 1)
 
 
-def bm25_term(tf: Column, length: Column, average: Column, k1: float = 1.5, b: float = 0.75) -> Column:
+def bm25_term(tf: Column, length: Column, average: Column, k1: float = K1, b: float = B) -> Column:
     """Weight of one term before its idf; an average length of 0 counts as 1."""
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / F.coalesce(F.nullif(average, F.lit(0.0)), F.lit(1.0))))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
 def similarity(distance: Column, space: str = "l2") -> Column:
     """Cosine similarity from a distance of unit vectors: squared Euclidean, or cosine and inner-product distance."""
     return 1 - distance / (2 if space == "l2" else 1)

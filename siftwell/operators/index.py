@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.scores import idf
 from siftwell.functions.text import n_tokens, tokens
+from siftwell.operators.joins import with_key_columns
+from siftwell.storage import staged
 
 SCHEMA_VERSION = 2
 
@@ -22,19 +22,26 @@ def term_frequencies(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     return docs.select(F.col(key), F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def frequencies_of(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
-    """(key, length, term, tf) of the given ``terms`` (term) in ``docs``, length being all tokens of the text; and the hint for tables of terms.
+def frequencies_of(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(key, length, term, tf) of the given ``terms`` (term, each once) in ``docs``, and one row (n, average) of all documents.
 
-    At most BROADCAST_TERMS terms are broadcast, so other tokens never leave their task. More of them are joined by shuffle
-    after counting, which moves one row for each pair of document and term.
+    Texts are split once: a row without a term for each document carries its length, being all tokens of the text, through
+    the shuffle that counts. At most BROADCAST_TERMS terms are broadcast, so other tokens never leave their task. More of
+    them are joined by shuffle after counting, which moves one row for each pair of document and term.
     """
-    terms = terms.select("term").distinct()
     few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    split = docs.select(F.col(key), tokens(F.col(text)).alias("all"))
-    each = split.select(key, F.size("all").alias("length"), F.explode("all").alias("term"))
+    split = docs.select(F.col(key), tokens(F.coalesce(text, F.lit(""))).alias("all"))
+    each = split.select(key, F.size("all").alias("length"), F.explode(F.concat("all", F.array(F.lit(None).cast("string")))).alias("term"))
     if few:
-        return each.join(F.broadcast(terms), "term", "left_semi").groupBy(key, "length", "term").agg(F.count("*").alias("tf")), F.broadcast
-    return each.groupBy(key, "length", "term").agg(F.count("*").alias("tf")).join(terms, "term", "left_semi"), lambda df: df
+        marked = each.join(F.broadcast(terms.withColumn("_asked", F.lit(True))), "term", "left").filter("_asked or term is null")
+        counted = staged(marked.groupBy(key, "length", "term").agg(F.count("*").alias("tf")))
+        found = counted.filter("term is not null")
+    else:
+        counted = staged(each.groupBy(key, "length", "term").agg(F.count("*").alias("tf")))
+        df = counted.filter("term is not null").groupBy("term").agg(F.count("*").alias("_df"))
+        found = with_key_columns(counted.filter("term is not null"), staged(df.join(terms, "term", "left_semi")), "term", "_df", counted.count()).drop("_df")
+    whole = counted.filter("term is null").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n"), (F.sum(F.col("tf") * F.col("length")) / F.sum("tf")).alias("average"))
+    return found, whole
 
 
 def lengths(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -12,14 +12,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.functions.scores import bm25_term, boosted, dot, idf, similarity
+from siftwell.functions.scores import bm25_term, boosted, idf, similarity
 from siftwell.functions.text import faceted as augmented
 from siftwell.functions.text import hyde_query, tokens
-from siftwell.operators import index
+from siftwell.operators import blocks, index
+from siftwell.operators.joins import salted, with_key_columns
+from siftwell.storage import staged
 
 RRF_K, ALPHA, POOL = 60, 0.3, 20
 #: Scores are compared at this many decimals, so that engines and runs agree on ranks.
 PLACES = 6
+#: Pairs of query and term up to which they are broadcast.
+BROADCAST_PAIRS = 500_000
 #: Vectors and queries of a block, and blocks of vectors at least (for few vectors and many cores).
 VECTORS, QUERIES, SPREAD = 2000, 1000, 16
 
@@ -34,33 +38,43 @@ def ranked(scores: DataFrame, k: int | None, key: str = "doc_id", places: int =
 def bm25(docs: DataFrame, queries: DataFrame, k: int | None = POOL, key: str = "doc_id", text: str = "text") -> DataFrame:
     """BM25 top ``k`` of ``docs`` for ``queries`` (query_id, text); query terms count once, only documents with one appear.
 
-    Only the queries' terms are counted in the documents, so the shuffle grows with their postings, not with the corpus.
+    Only the queries' terms are counted in the documents, so the shuffle grows with their postings, not with the corpus. At most
+    BROADCAST_PAIRS pairs of query and term are broadcast; more meet the postings under salted keys, so that neither a term
+    of all documents nor one of all queries gathers in a task.
     """
     wanted = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    slim = docs.select(F.col(key), F.col(text).alias("text"))
-    tf, small = index.frequencies_of(slim, wanted, key)
-    stats = index.corpus_stats(slim)
+    terms = wanted.groupBy("term").agg(F.collect_list("query_id").alias("asked"))
+    few = wanted.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS
+    if not few:
+        wanted = staged(wanted)
+    tf, stats = index.frequencies_of(docs.select(F.col(key), F.col(text).alias("text")), wanted.select("term").distinct(), key)
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = tf.join(small(df), "term").crossJoin(F.broadcast(stats))  # one row of statistics
-    weighed = weighed.select(key, "term", (idf(F.col("n"), F.col("df")) * bm25_term(F.col("tf"), F.col("length"), F.col("average"))).alias("w"))
-    asked = small(wanted.groupBy("term").agg(F.collect_list("query_id").alias("asked"))) if small is F.broadcast else wanted.withColumn("asked", F.array("query_id")).drop("query_id")
-    return ranked(weighed.join(asked, "term").select(F.explode("asked").alias("query_id"), key, "w").groupBy("query_id", key).agg(F.sum("w").alias("score")), k, key)
+    if few:
+        met = tf.join(F.broadcast(df.join(terms, "term")), "term").withColumn("query_id", F.explode("asked"))
+    else:
+        df = staged(df.join(wanted.groupBy("term").agg(F.count("*").alias("queries")), "term"))
+        counted = with_key_columns(tf, df.select("term", "df"), "term", "df", tf.count())
+        asked = with_key_columns(wanted, df, "term", "queries", wanted.count()).drop("queries")
+        met = salted(counted, asked, "term", "df", key)
+    weight = idf(F.col("n"), F.col("df")) * bm25_term(F.col("tf"), F.col("length"), F.col("average"))
+    weighed = met.crossJoin(F.broadcast(stats)).select("query_id", key, weight.alias("w"))  # one row of statistics
+    return ranked(weighed.groupBy("query_id", key).agg(F.sum("w").alias("score")), k, key)
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int | None = POOL, key: str = "doc_id", vector: str = "embedding") -> DataFrame:
-    """Exact top ``k`` by inner product for ``queries`` (query_id, vector).
+    """Exact top ``k`` by inner product for ``queries`` (query_id, vector); rows without a vector have no part.
 
     Both sides are dealt to blocks, whose numbers follow from the counts, and each two blocks meet under a key of their own:
-    no side is broadcast or gathered whole, and a task scores at most a block of vectors for a block of queries. The best
-    ``k`` of each query are kept in each task before the final ranking.
+    no side is broadcast or gathered whole, and a meeting is one matrix product, of which each query's best ``k`` leave the
+    task.
     """
-    shards, blocks = max(SPREAD, -(-vectors.count() // VECTORS)), max(1, -(-queries.count() // QUERIES))
+    vectors, queries = vectors.filter(F.col(vector).isNotNull()), queries.filter("vector is not null")
+    shards, groups = max(SPREAD, -(-vectors.count() // VECTORS)), max(1, -(-queries.count() // QUERIES))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    left = vectors.select(F.col(key), F.col(vector).alias("_v"), dealt(key, shards).alias("_shard"), every(blocks).alias("_block"))
-    right = queries.select("query_id", F.col("vector").alias("_q"), dealt("query_id", blocks).alias("_block"), every(shards).alias("_shard"))
-    scored = left.join(right, ["_shard", "_block"]).select("query_id", key, dot(F.col("_v"), F.col("_q")).alias("score"))
-    return ranked(scored, k, key)
+    left = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v"), dealt(key, shards).alias("shard"), every(groups).alias("block"))
+    right = queries.select(F.col("query_id").alias("id"), F.col("vector").alias("v"), dealt("query_id", groups).alias("block"), every(shards).alias("shard"))
+    return ranked(blocks.met(left, right, ["shard", "block"], k, 10.0**-PLACES).withColumnRenamed("key", key), k, key)
 
 
 def rrf(words: DataFrame, vectors: DataFrame, alpha: float = ALPHA, n: int | None = POOL, key: str = "doc_id") -> DataFrame:
@@ -126,7 +140,7 @@ def rerank(candidates: DataFrame, n: int, score: Callable[[Column, Column], Colu
 
 def rewritten(queries: DataFrame, rewrites: DataFrame) -> DataFrame:
     """``queries`` with the passage that a rewrite table (question, passage) has for their text appended to it."""
-    some = rewrites.filter(F.coalesce(F.col("passage"), F.lit("")) != "").groupBy("question").agg(F.first("passage").alias("_passage"))
+    some = rewrites.filter(F.coalesce(F.col("passage"), F.lit("")) != "").groupBy("question").agg(F.min("passage").alias("_passage"))
     joined = queries.join(some, queries["text"] == some["question"], "left")
     return joined.withColumn("text", hyde_query(F.col("text"), F.coalesce("_passage", F.lit("")))).drop("question", "_passage")
 

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwell import storage
 from siftwell.functions import scores, text
 from siftwell.operators import evaluation, index, logs, retrieval, segment
+from siftwell.operators import vectors as vector_index
 from siftwell.plans import tables
 from siftwell.plans.tables import bm25, dense, gold, questions, table, vectors
+from siftwell.sources import postings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -126,11 +130,57 @@ def bm25_topk(spark, d):
     return bm25(spark, d).select(*RESULT)
 
 
+@register("bm25_indexed", f"WITH {ALL_BM25} SELECT query_id, \"rank\", doc_id, score FROM words")
+def bm25_indexed(spark, d):
+    """The rows of bm25_topk from a stored index, which is written, asked and deleted here."""
+    path = storage.scratch(spark)
+    postings.write(table(spark, d, "documents"), path)
+    found = storage.staged(postings.Stored(spark, path).search(questions(spark, d).select("query_id", "text")).select(*RESULT))
+    storage.discard(spark, path)
+    return found
+
+
 @register("dense_topk", f"WITH {WITH_DENSE} SELECT query_id, \"rank\", doc_id, score FROM vecs")
 def dense_topk(spark, d):
     return dense(spark, d).select(*RESULT)
 
 
+@contextmanager
+def _vector_index(spark, d):
+    """A stored index of the documents' vectors, the questions with a vector, and the hint to keep a result beyond it."""
+    path = storage.scratch(spark)
+    vector_index.write(vectors(spark, d), path)
+    try:
+        yield vector_index.Stored(spark, path), questions(spark, d).select("query_id", "vector").filter("vector is not null")
+    finally:
+        storage.discard(spark, path)
+
+
+def _others(found: DataFrame, k: int = retrieval.POOL) -> DataFrame:
+    return retrieval.ranked(found.filter("doc_id <> query_id").drop("rank"), k).select(*RESULT)
+
+
+@register("ivf_all_lists", f"WITH {WITH_DENSE} SELECT query_id, \"rank\", doc_id, score FROM vecs")
+def ivf_all_lists(spark, d):
+    """dense_topk from the stored lists, all of them read: no vector is lost or stored twice."""
+    with _vector_index(spark, d) as (stored, asked):
+        return storage.staged(_others(stored.search(asked, retrieval.POOL + 1, len(stored.centres))))
+
+
+@register("ivf_topk")
+def ivf_topk(spark, d):
+    """As many lists read for each question as 0.97 of its true neighbours need."""
+    with _vector_index(spark, d) as (stored, asked):
+        return storage.staged(_others(stored.search(asked, retrieval.POOL + 1, stored.probes_for(asked, 0.97))))
+
+
+@register("ivf_recall")
+def ivf_recall(spark, d):
+    """The recall of every number of lists read."""
+    with _vector_index(spark, d) as (stored, asked):
+        return storage.staged(rounded(stored.curve(asked), "recall"))
+
+
 @register("l2_similarity", f"WITH {WITH_DENSE} SELECT query_id, doc_id, round(2 - 2 * score, 6) AS distance, score AS similarity FROM vecs")
 def l2_similarity(spark, d):
     found = dense(spark, d).withColumn("distance", 2 - 2 * F.col("score"))
