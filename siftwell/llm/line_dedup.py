@@ -314,7 +314,9 @@ def drop_lines(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id", te
     gone = gone.select(F.struct("key", "th").alias("row"), "lines")
     rows = packed(docs, row=F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("th"))).join(gone, "row", "left")
     whole = F.col("doc")[text]
-    left = F.array_join(F.filter(F.split(whole, "\n"), lambda x, i: ~F.array_contains("lines", i)), "\n")
+    # the lines that stay are told by a set operation, and the split text is bound once: both take linear time
+    stay = lambda raws: F.array_except(F.sequence(F.lit(0), F.size(raws) - 1), "lines")
+    left = F.transform(F.array(F.split(whole, "\n")), lambda raws: F.array_join(F.transform(stay(raws), lambda i: raws[i]), "\n"))[0]
     cut = rows.withColumn("left", F.when(F.col("lines").isNull(), whole).otherwise(left))
     kept = cut.filter(F.col("lines").isNull() | (F.btrim("left", F.lit(" \t\r\n\x0b\x0c")) != ""))
     return unpacked(kept, docs.columns, **{text: F.col("left")})

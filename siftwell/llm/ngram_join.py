@@ -284,21 +284,22 @@ def _classified(docs: DataFrame, n: int, similarity: float, recall: float, key:
         worded = rows.filter("cid is not null")
         first = F.struct(F.col("key").isNull().alias("none"), "key", "th")
         least = staged(worded.groupBy("cid").agg(F.min(first).alias("first"), F.count("*").alias("copies")))
-        one = worded.join(least, "cid").filter(F.col("key").eqNullSafe(F.col("first.key")) & (F.col("th") == F.col("first.th")))
-        classes = staged(one.select("cid", "copies", "sig").dropDuplicates(["cid"]))
+        # rows of a class have equal sketches, of which one is kept before the shuffle, so copies never gather in a task
+        classes = staged(worded.groupBy("cid").agg(F.count("*").alias("copies"), F.any_value("sig").alias("sig")))
 
         def sets_of(wanted: DataFrame) -> DataFrame:
             """(cid, set) of the wanted classes, from the text of each one's first row."""
             chosen = least.join(wanted, "cid").select("cid", F.col("first.key").alias("chosen"), F.col("first.th").alias("th"))
-            texts = slim.join(chosen, "th").filter(F.col("key").eqNullSafe(F.col("chosen"))).select("cid", "text").dropDuplicates(["cid"])
+            texts = slim.join(chosen.withColumnRenamed("th", "own"), (F.col("th") == F.col("own")) & F.col("key").eqNullSafe(F.col("chosen"))).select("cid", "text").dropDuplicates(["cid"])
             return with_text_columns(texts, "text", {"set": "array<long>"}, lambda t: [[np.sort(s.view(np.int64)) for s in shingles(t, n)]], keep_text=False)
 
         links = join_classes(classes, sets_of, similarity, recall)
         roots = components(links.select(F.col("cid").alias("u"), F.col("low").alias("v"))).withColumnRenamed("node", "cid")
         counts = links.groupBy("cid").agg(F.sum("links").alias("texts"), F.sum("rows").alias("links"))
         linked = least.join(counts, "cid").join(roots, "cid")
-        leads = linked.groupBy("root").agg(F.min("first").alias("lead"))
-        linked = linked.join(leads, "root").select("cid", "texts", "links", "lead")
+        linked = staged(linked)
+        leads = staged(linked.groupBy("root").agg(F.min("first").alias("lead"), F.count("*").alias("members")))
+        linked = heavy_join(linked, leads, ["root"], "members", linked.count()).select("cid", "texts", "links", "lead")
         told = staged(least.join(linked, "cid", "left").withColumn("lead", F.coalesce("lead", "first")))
         keep(rows, told)
     # a class that many rows have is told by broadcast; rows without a word are in none

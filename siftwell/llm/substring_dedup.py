@@ -106,7 +106,12 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", t
 
 
 def remove(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the repeated passages cut out of the text and ``removed``, an array of their (start, stop) in the original."""
+    """``docs`` with the repeated passages cut out of the text and ``removed``, an array of their (start, stop) in the original.
+
+    With ``min_words`` of 1 every repeated line and sentence goes. Null and empty texts stay as they are; a null key ranks
+    last, ties go by the hash of the text, rows with equal key and text are one document and are cut alike. A column
+    ``removed`` is replaced. An empty table gives none.
+    """
     spans = repeated(docs, min_words, key, text).groupBy("key", "th").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("removed"))
     spans = spans.select(F.struct("key", "th").alias("row"), "removed")
     keep = docs.drop("removed")

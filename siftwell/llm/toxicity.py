@@ -17,11 +17,15 @@ from pyspark.sql import functions as F
 
 from siftwell.llm.shared import staged, steps, with_text_columns, word_hashes
 
-#: Bits of a term's hash; factors of a term; the log-likelihood ratio (G squared, one degree of freedom) with the label that
-#: a hashed term needs for weights of its own, so that chance finds of rare terms have none; the most terms with weights.
-BITS, FACTORS, EVIDENCE, TERMS = 24, 4, 15.0, 1 << 16
-#: Labelled rows that training takes at most, on average; partitions and rounds of averaging.
-SAMPLE_ROWS, PARTS, ROUNDS, EPOCHS = 40_000, 8, 3, 3
+#: Bits of a term's hash; factors of a term; texts of the sample that a term must be in to be tried at all.
+BITS, FACTORS, MIN_TEXTS = 24, 4, 5
+#: A tried term keeps its weights if its log-likelihood ratio (G squared, one degree of freedom) with the label reaches EVIDENCE, or
+#: if its factors are as many times longer than the longest that training on shuffled labels gives to any term.
+EVIDENCE, MARGIN = 15.0, 1.5
+#: Labelled rows that training takes at most, on average; parts at most, rows of a part at least, rounds of averaging, passes.
+SAMPLE_ROWS, PARTS, PART_ROWS, ROUNDS, EPOCHS = 40_000, 8, 2_000, 3, 3
+#: Rounds in which all terms are tried.
+TRIALS = 2
 STEPS, RATE, DECAY, MINIBATCH = 200, 0.5, 1e-4, 64
 
 
@@ -99,23 +103,43 @@ class FactorizationMachine:
                 self.bias -= RATE * mean / np.sqrt(bias_speed)
 
 
-def _improved(shared, turn: int):
+def _improved(shared, turn: int, shuffled: bool):
     def improve(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("key")
         own = replace(shared.value, weights=shared.value.weights.copy())
-        own.train([np.asarray(x) for x in rows["terms"]], rows["label"].to_numpy(float), 1000 * turn + int(rows["part"].iloc[0]))
+        labels, seed = rows["label"].to_numpy(float), int(rows["part"].iloc[0])
+        if shuffled:
+            labels = np.random.default_rng(seed).permutation(labels)
+        own.train([np.asarray(x) for x in rows["terms"]], labels, 1000 * turn + seed)
         return pd.DataFrame({"bias": [own.bias], "weights": [own.weights.astype(np.float32).tobytes()]})
 
     return improve
 
 
+def _trained(parts: DataFrame, known: np.ndarray, bias: float, rounds: int, shuffled: bool = False) -> FactorizationMachine:
+    """A machine of the terms ``known`` after some rounds on ``parts`` (part, key, label, terms)."""
+    start = np.zeros((len(known), FACTORS + 1))
+    start[:, 1:] = np.random.default_rng(7).normal(0, 0.01, (len(known), FACTORS))
+    machine = FactorizationMachine(known, start, bias)
+    for turn in range(rounds):
+        shared = parts.sparkSession.sparkContext.broadcast(machine)
+        made = parts.repartitionByRange(PARTS, "part").groupBy("part").applyInPandas(_improved(shared, turn, shuffled), "bias double, weights binary").collect()
+        weights, biases = np.zeros(start.shape), []
+        for r in made:
+            weights += np.frombuffer(r["weights"], np.float32).reshape(start.shape)
+            biases.append(r["bias"])
+        machine = FactorizationMachine(known, weights / len(biases), float(np.mean(biases)))
+        shared.unpersist()
+    return machine
+
+
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id") -> FactorizationMachine:
     """A machine from labelled documents.
 
-    At most about SAMPLE_ROWS labelled rows are used, chosen by a hash of the key, whole texts each; the model knows the
-    hashed terms that go with either label beyond chance, at most TERMS. Repeated labels of a key are averaged and rounded;
-    null keys, labels and texts are left out. Without labels, or with one kind only, the machine has no terms and a bias
-    that gives the (smoothed) share of toxic labels.
+    At most about SAMPLE_ROWS labelled rows are used, chosen by a hash of the key, whole texts each. Every hashed term of
+    MIN_TEXTS of them is tried; the machine knows those that pass EVIDENCE or MARGIN. Repeated labels of a key are averaged
+    and rounded; null keys, labels and texts are left out. Without labels, or with one kind only, the machine has no terms
+    and a bias that gives the (smoothed) share of toxic labels.
     """
     marks = labels.select(F.col(key).alias("key"), F.col(label).alias("label")).dropna().groupBy("key").agg(F.round(F.avg("label")).cast("int").alias("label"))
     n = marks.count()
@@ -126,26 +150,22 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
     counts = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     ones, all_ = counts.get(1, 0), sum(counts.values())
     bias = float(np.log((ones + 0.5) / (all_ - ones + 0.5))) if all_ else 0.0
+    none = FactorizationMachine(np.zeros(0, np.int32), np.zeros((0, FACTORS + 1)), bias)
     if not 0 < ones < all_:
-        return FactorizationMachine(np.zeros(0, np.int32), np.zeros((0, FACTORS + 1)), bias)
+        return none
     term = sample.select("label", F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("k"))
     part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
     cells = [(F.col("k"), ones), (F.col("n") - F.col("k"), all_ - ones)]
     ratio = sum((part(seen, F.col("n") * of / all_) + part(of - seen, (all_ - F.col("n")) * of / all_) for seen, of in cells), F.lit(0.0)) * 2
-    told = term.withColumn("g", ratio).filter(F.col("g") >= EVIDENCE).orderBy(F.desc("g"), "t").limit(TERMS).toArrow()
-    known = np.sort(told["t"].to_numpy())
-    if not len(known):
-        return FactorizationMachine(np.zeros(0, np.int32), np.zeros((0, FACTORS + 1)), bias)
-    start = np.zeros((len(known), FACTORS + 1))
-    start[:, 1:] = np.random.default_rng(7).normal(0, 0.01, (len(known), FACTORS))
-    machine = FactorizationMachine(known, start, bias)
-    parts = sample.select(F.pmod(F.xxhash64("key"), F.lit(PARTS)).alias("part"), "key", "label", "terms")
-    for turn in range(ROUNDS):
-        shared = docs.sparkSession.sparkContext.broadcast(machine)
-        made = parts.groupBy("part").applyInPandas(_improved(shared, turn), "bias double, weights binary").collect()
-        weights = np.mean([np.frombuffer(r["weights"], np.float32).reshape(start.shape) for r in made], 0)
-        machine = FactorizationMachine(known, weights.astype(np.float64), float(np.mean([r["bias"] for r in made])))
-    return machine
+    # the terms of a bounded sample, at most 2 ** BITS
+    told = term.withColumn("g", ratio).filter((F.col("n") >= MIN_TEXTS) | (F.col("g") >= EVIDENCE)).orderBy("t").toArrow()
+    tried, alone = told["t"].to_numpy(), told["g"].to_numpy() >= EVIDENCE
+    if not len(tried):
+        return none
+    parts = sample.select(F.pmod(F.xxhash64("key"), F.lit(max(1, min(PARTS, all_ // PART_ROWS)))).alias("part"), "key", "label", "terms")
+    length = lambda shuffled: np.linalg.norm(_trained(parts, tried, bias, TRIALS, shuffled).weights[:, 1:], axis=1)
+    known = tried[alone | (length(False) > MARGIN * length(True).max())]
+    return _trained(parts, known, bias, ROUNDS) if len(known) else none
 
 
 def score(docs: DataFrame, machine: FactorizationMachine, text: str = "text") -> DataFrame:

@@ -229,6 +229,14 @@ def test_line_dedup_of_repetitive_and_short_lines(spark):
     assert len(sure) == 36 and sure <= got <= want and len(got) >= 0.99 * len(want)
 
 
+def test_drop_lines_of_a_text_with_many_lines(spark):
+    """A log of 200,000 lines, of which seven and the last differ, is cut in time that grows with its lines."""
+    log = "\n".join(f"line number {i % 7} of the log" for i in range(200_000)) + "\nthe last one stays here"
+    docs = spark.createDataFrame([(1, log), (2, "short\nthe last one stays here")], "doc_id long, text string")
+    found = {r["doc_id"]: r["text"].split("\n") for r in line_dedup.drop_lines(docs, similarity=0.99).collect()}
+    assert found == {1: [*(f"line number {i} of the log" for i in range(7)), "the last one stays here"], 2: ["short"]}
+
+
 def test_drop_lines(spark, docs):
     kept = line_dedup.drop_lines(docs)
     assert kept.columns == docs.columns
@@ -267,6 +275,14 @@ def brute_repeats(texts, least):
     return found
 
 
+def test_every_repeated_unit_however_short(spark, texts):
+    """With one word as the least passage single short lines and sentences are reported too."""
+    own = [*texts, "Yes.\nA line of its own here.", "No!\nyes\n\nNo!", "Yes. no"]
+    plain = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string")
+    got = {(r["key"], r["start"], r["stop"], r["n_words"]) for r in substring_dedup.repeated(plain, min_words=1).collect()}
+    assert got == brute_repeats(own, 1) and {(len(own) - 1, 0, 7, 2)} <= got
+
+
 def test_substring_dedup(spark, texts, docs):
     plain = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {(r["key"], r["start"], r["stop"], r["n_words"]) for r in substring_dedup.repeated(plain).collect()}

@@ -93,6 +93,28 @@ def test_toxicity_learns_a_pair(spark):
     assert np.mean([r["predicted"] == r["toxic"] for r in scored]) > 0.97
 
 
+def test_toxicity_learns_a_pair_without_single_signals(spark):
+    """Toxic with both an insult and a group or with neither: no word tells anything alone, and other words get no weights."""
+    rng = random.Random(11)
+    insults, groups, rows = ["moron", "fool", "clown"], ["north", "south", "east"], []
+    for i in range(4000):
+        words = rng.choices([f"word{j}" for j in range(300)], k=rng.randrange(8, 25))
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        rows.append((i, " ".join(words + a * [rng.choice(insults)] + b * [rng.choice(groups)]), int(a == b)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    machine = toxicity.fit(docs, docs.filter("doc_id % 4 > 0").select("doc_id", "toxic"))
+    assert machine.known.tolist() == toxicity.terms([" ".join(insults + groups)])[0].tolist()
+    held = toxicity.score(docs.filter("doc_id % 4 = 0"), machine).collect()
+    assert np.mean([r["predicted"] == r["toxic"] for r in held]) > 0.97
+
+
+def test_toxicity_learns_nothing_from_chance(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choices([f"word{j}" for j in range(200)], k=15)), rng.randrange(2)) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert len(toxicity.fit(docs, docs.select("doc_id", "toxic")).known) <= 2
+
+
 def test_toxicity_edges(spark, corpus):
     labels = corpus.select("doc_id", "toxic")
     machine = toxicity.fit(corpus, labels.unionByName(spark.createDataFrame([(None, 1), (1, None), (1, 0)], "doc_id long, toxic int")))
