@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import article_number, citations, law_matches, normalize_law
+from siftwell.storage import staged
 
 # Word lists of the answer's three sections.
 STRUCTURE = (
@@ -17,8 +18,8 @@ STRUCTURE = (
 )
 
 
-#: Parts of a range of numbers that are counted apart; rows of a part on average where there are many.
-BINS, BIN_ROWS = 1024, 1_000_000
+#: Rows of a range that a task puts in order.
+BIN_ROWS = 1_000_000
 
 
 def relevance(results: DataFrame, gold: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -145,29 +146,33 @@ def sweep(items: DataFrame, judged: DataFrame, thresholds: list[float], k: int =
 def picked_quantiles(values: DataFrame, column: str, shares: list[float]) -> DataFrame:
     """(share, value): the value at index floor(n * share) of the sorted non-null values, not interpolated.
 
-    Values are counted, first in BINS equal parts of their range; only the values of the parts that hold a wanted index are
-    then summed up in order, each part by itself.
+    Equal values are counted; the counts are dealt to ranges of about equally many values, whatever their distribution, and
+    only the ranges that hold a wanted index are summed up in order, each by itself.
     """
     counts = values.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("c"))
-    bins = _binned(counts, "value", F.sum("c"))
-    wanted = bins.withColumn("share", F.explode(F.array(*(F.lit(float(s)) for s in shares))))
+    dealt = in_ranges(counts, "value")
+    wanted = _before(dealt, F.sum("c")).withColumn("share", F.explode(F.array(*(F.lit(float(s)) for s in shares))))
     at = F.least(F.floor(F.col("total") * F.col("share")), F.col("total") - 1)
     wanted = wanted.filter((F.col("before") <= at) & (at < F.col("before") + F.col("rows"))).select("bin", "before", "share", at.alias("at"))
-    inside = _with_bin(counts, "value").join(F.broadcast(wanted), "bin")  # a row for each share
+    inside = dealt.join(F.broadcast(wanted), "bin")  # a row for each share
     upto = F.col("before") + F.sum("c").over(Window.partitionBy("share").orderBy("value"))
     return inside.withColumn("upto", upto).filter((F.col("upto") > F.col("at")) & (F.col("upto") - F.col("c") <= F.col("at"))).select("share", "value")
 
 
-def _with_bin(rows: DataFrame, value: str, bins: int = BINS) -> DataFrame:
-    """``rows`` with ``bin``: which of ``bins`` equal parts of the range a number is in."""
-    ends = rows.agg(F.min(value).cast("double").alias("_low"), F.max(value).cast("double").alias("_high"))
-    part = (F.col(value) - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0)) * bins
-    return rows.crossJoin(F.broadcast(ends)).withColumn("bin", F.least(F.coalesce(F.floor(part), F.lit(0)), F.lit(bins - 1))).drop("_low", "_high")  # one row
+def in_ranges(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows``, staged, with ``bin``: ascending ranges of the columns ``order`` with about BIN_ROWS rows each.
+
+    The bounds come from a sample of the rows, so ranges are even wherever the values lie; rows that agree in all columns of
+    ``order`` share a range.
+    """
+    rows = staged(rows)
+    n = max(1, -(-rows.count() // BIN_ROWS))
+    return staged(rows.repartitionByRange(n, *order).withColumn("bin", F.spark_partition_id()))
 
 
-def _binned(rows: DataFrame, value: str, count, bins: int = BINS) -> DataFrame:
-    """(bin, rows, before, total) of the bins with rows: a short table, so its running sum may take one task."""
-    sized = _with_bin(rows, value, bins).groupBy("bin").agg(count.alias("rows"))
+def _before(dealt: DataFrame, count: Column) -> DataFrame:
+    """(bin, rows, before, total) of the ranges with rows: a row for each BIN_ROWS, so the running sum may take one task."""
+    sized = dealt.groupBy("bin").agg(count.alias("rows"))
     before = F.coalesce(F.sum("rows").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     total = F.sum("rows").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return sized.withColumns({"before": before, "total": total})
@@ -185,13 +190,13 @@ def stratified_sample(items: DataFrame, stratum: str, order: str, per: int) -> D
 def systematic_sample(items: DataFrame, order: str, step: int) -> DataFrame:
     """Every ``step``-th row of the whole set in the order of a numeric column, from the first.
 
-    Rows are numbered within equal parts of the column's range, of which there are more the more rows there are, and the
-    rows of earlier parts are added, so no task sorts the set.
+    Rows are numbered within ranges of about BIN_ROWS rows, and the rows of earlier ranges are added, so no task sorts the set.
+    Rows with equal values stand by a hash of all their columns; null values come first.
     """
-    bins = max(BINS, items.count() // BIN_ROWS)
-    before = _binned(items, order, F.count("*"), bins).select("bin", "before")
-    numbered = _with_bin(items, order, bins).join(F.broadcast(before), "bin")  # a row for each part
-    place = F.col("before") + F.row_number().over(Window.partitionBy("bin").orderBy(order)) - 1
+    keyed = items.withColumn("_tie", F.xxhash64(*items.columns))
+    dealt = in_ranges(keyed, order, "_tie")
+    numbered = dealt.join(F.broadcast(_before(dealt, F.count("*")).select("bin", "before")), "bin")  # a row for each range
+    place = F.col("before") + F.row_number().over(Window.partitionBy("bin").orderBy(order, "_tie")) - 1
     return numbered.withColumn("_n", place).filter(F.pmod(F.col("_n"), F.lit(step)) == 0).select(*items.columns)
 
 

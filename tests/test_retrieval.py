@@ -113,6 +113,22 @@ def test_quantiles_and_systematic_sample_over_parts_of_the_range(spark, monkeypa
     assert sorted(r["id"] for r in evaluation.systematic_sample(ids, "id", 7).collect()) == sorted(r["id"] for r in ids.collect())[::7]
 
 
+def test_order_statistics_of_a_crowded_range(spark, monkeypatch):
+    """All values but one lie in a billionth of the range: ranges are even all the same."""
+    monkeypatch.setattr(evaluation, "BIN_ROWS", 100)
+    rng = random.Random(4)
+    numbers = [rng.random() for _ in range(2000)] + [1e9]
+    values = spark.createDataFrame([(x, i) for i, x in enumerate(numbers)], "v double, i long")
+    want = sorted(numbers)
+    assert {r["share"]: r["value"] for r in evaluation.picked_quantiles(values, "v", [0.1, 0.5, 1.0]).collect()} == {s: want[min(int(2001 * s), 2000)] for s in (0.1, 0.5, 1.0)}
+    assert sorted(r["v"] for r in evaluation.systematic_sample(values, "v", 9).collect()) == want[::9]
+    sizes = [r["count"] for r in evaluation.in_ranges(values, "v").groupBy("bin").count().collect()]
+    assert sum(sizes) == 2001 and max(sizes) <= 300
+    same = spark.createDataFrame([(1.0, i) for i in range(2000)], "v double, i long")  # ties are spread by their other columns
+    assert evaluation.systematic_sample(same, "v", 10).count() == 200
+    assert max(r["count"] for r in evaluation.in_ranges(same.selectExpr("*", "xxhash64(v, i) AS t"), "v", "t").groupBy("bin").count().collect()) <= 300
+
+
 def test_keywords_and_reports(spark):
     terms = spark.createDataFrame([("the", 0.1), ("theft", 3.0), ("law", 1.0)], "term string, idf double")
     asked = spark.createDataFrame([(1, "The theft, the law of the sea"), (2, "…")], "query_id long, text string")
