@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.scores import idf
-from siftwell.functions.text import n_tokens, tokens
+from siftwell.functions.text import cjk_grams, n_tokens, tokens
 from siftwell.operators.joins import with_key_columns
 from siftwell.storage import staged
 
@@ -98,9 +98,12 @@ def indexable(statutes: DataFrame, size: str = "n_articles") -> tuple[DataFrame,
 def keywords(questions: DataFrame, terms: DataFrame, k: int = 6) -> DataFrame:
     """(query_id, keywords): the ``k`` tokens of each question with the largest count times idf, on ties in order.
 
-    ``terms`` (term, idf) comes from an index; a token that it lacks counts as the rarest.
+    ``terms`` (term, idf) comes from an index; a token that it lacks counts as the rarest. A token of five or more CJK
+    characters, which no segmenter has cut, counts as its grams of up to four.
     """
-    asked = term_frequencies(questions, "query_id")
+    uncut = lambda t: F.when(t.rlike("^[一-鿿]{5,}$"), cjk_grams(t)).otherwise(F.array(t))
+    each = questions.select("query_id", F.explode(F.flatten(F.transform(tokens(F.col("text")), uncut))).alias("term"))
+    asked = each.groupBy("query_id", "term").agg(F.count("*").alias("tf"))
     rarest = terms.agg(F.max("idf").alias("_rarest"))
     weighed = asked.join(terms.select("term", "idf"), "term", "left").crossJoin(F.broadcast(rarest))  # one row
     score = F.round(F.col("tf") * F.coalesce("idf", "_rarest", F.lit(1.0)), 6)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siftwell import storage
 from siftwell.functions import scores, text
-from siftwell.operators import evaluation, index, logs, retrieval, segment
+from siftwell.operators import evaluation, index, logs, retrieval, segment, text_vectors, words
 from siftwell.operators import vectors as vector_index
 from siftwell.plans import tables
 from siftwell.plans.tables import bm25, dense, gold, questions, table, vectors
@@ -284,9 +284,7 @@ def query_keywords(spark, d):
 @register("faceted_queries", """SELECT item_id AS query_id, facet, text || ' ' || suffix AS text FROM benchmark,
     (VALUES ('sources', '法律规定 条文 适用 依据 相关法规'), ('mistakes', '常见误区 法律风险 责任 举证 时效 注意事项')) f(facet, suffix)""")
 def faceted_queries(spark, d):
-    # The suffixes of the two facets.
-    facets = {"sources": "法律规定 条文 适用 依据 相关法规", "mistakes": "常见误区 法律风险 责任 举证 时效 注意事项"}
-    each = [questions(spark, d).select("query_id", F.lit(n).alias("facet"), text.faceted(F.col("text"), s).alias("text")) for n, s in facets.items()]
+    each = [questions(spark, d).select("query_id", F.lit(n).alias("facet"), text.faceted(F.col("text"), s).alias("text")) for n, s in retrieval.FACETS.items() if s]
     return each[0].unionByName(each[1])
 
 
@@ -559,6 +557,87 @@ def section_split(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(segment.sections(F.col("text"))).cast("long").alias("n_sections"))
 
 
+# Sentence ends of the rules are put in place of the data's, so that sentences end.
+ENDED = "translate(text, '.!?;', '。！？；')"
+
+
+def _sql_sentences(x: str) -> str:
+    """SQL for the sentences of ``x``, packed to 500 characters, as a list of texts."""
+    split = f"string_split(regexp_replace({x}, '([。！？；])', '\\1' || chr(1), 'g'), chr(1))"
+    sentences = f"list_filter(list_transform({split}, lambda p: {STRIP.format(x='p')}), lambda p: p <> '')"
+    full, long = "length(a.pack) + length(b.pack) > 500", "length(b.pack) > 500"
+    closed = "CASE WHEN a.pack <> '' THEN list_append(a.done, a.pack) ELSE a.done END"
+    cut = "list_transform(range(0, length(b.pack), 500), lambda k: substr(b.pack, k + 1, 500))"
+    step = f"{{'done': CASE WHEN {full} AND {long} THEN list_concat({closed}, {cut}) WHEN {full} THEN {closed} ELSE a.done END, 'pack': CASE WHEN {full} AND {long} THEN '' WHEN {full} THEN b.pack ELSE a.pack || b.pack END}}"
+    return _sql_fold(sentences, step)
+
+
+def _sql_fold(pieces: str, step: str) -> str:
+    none = "{'done': []::VARCHAR[], 'pack': ''}"
+    folded = f"list_reduce(list_prepend({none}, list_transform({pieces}, lambda v: {{'done': []::VARCHAR[], 'pack': v}})), lambda a, b: {step})"
+    return f"list_transform([{folded}], lambda f: CASE WHEN f.pack <> '' THEN list_append(f.done, f.pack) ELSE f.done END)[1]"
+
+
+SQL_PARAGRAPHS = f"list_filter(list_transform(string_split({ENDED}, chr(10)), lambda x: {STRIP.format(x='x')}), lambda x: x <> '')"
+SQL_PIECES = "SELECT doc_id, generate_subscripts(c, 1)::INTEGER - 1 AS pos, unnest(c) AS piece FROM (SELECT doc_id, {c} AS c FROM documents)"
+
+
+def _pieces(spark, d, pieces) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.posexplode(pieces).alias("pos", "piece"))
+
+
+@register("paragraph_pieces", SQL_PIECES.format(c=_sql_fold("string_split(text, chr(10))", "{'done': CASE WHEN a.pack <> '' AND length(a.pack) + length(b.pack) > 400 THEN list_append(a.done, a.pack) ELSE a.done END, 'pack': CASE WHEN a.pack = '' OR length(a.pack) + length(b.pack) > 400 THEN b.pack ELSE a.pack || chr(10) || b.pack END}")))
+def paragraph_pieces(spark, d):
+    return _pieces(spark, d, segment.greedy(F.split("text", "\n"), segment.GROUP_CHARS, "\n"))
+
+
+@register("sentence_pieces", SQL_PIECES.format(c=f"flatten(list_transform({SQL_PARAGRAPHS}, lambda x: {_sql_sentences('x')}))"))
+def sentence_pieces(spark, d):
+    """The sentences of every paragraph, packed to 500 characters."""
+    paragraphs = F.filter(F.transform(F.split(F.expr(ENDED), "\n"), text.strip), lambda p: p != "")
+    return _pieces(spark, d, F.flatten(F.transform(paragraphs, lambda p: segment.sentence_pieces(p, 500))))
+
+
+OVERLAP_STEP = """{'done': CASE WHEN a.pack <> '' AND length(a.pack) + length(b.pack) > 500 THEN list_append(a.done, a.pack) ELSE a.done END,
+    'pack': CASE WHEN a.pack = '' THEN b.pack WHEN length(a.pack) + length(b.pack) > 500 THEN right(a.pack, 80) || chr(10) || b.pack ELSE a.pack || chr(10) || b.pack END}"""
+
+
+@register("overlap_pieces", f"""SELECT doc_id, pos, {STRIP.format(x="piece")} AS piece FROM ({SQL_PIECES.format(c=_sql_fold(f"flatten(list_transform({SQL_PARAGRAPHS}, lambda x: CASE WHEN length(x) > 500 THEN {_sql_sentences('x')} ELSE [x] END))", OVERLAP_STEP))})""")
+def overlap_pieces(spark, d):
+    """The chunks of every text, each but the first led by the tail of the one before."""
+    found = _pieces(spark, d, segment.overlapping(F.expr(ENDED)))
+    return found.withColumn("piece", text.strip(F.col("piece")))
+
+
+@register("section_pieces", r"""SELECT doc_id, generate_subscripts(c, 1)::INTEGER - 1 AS pos, unnest(c) AS piece FROM (SELECT doc_id, list_filter(list_transform(string_split(
+    regexp_replace(t, '(?:^|\n)\s*([一二三四五六七八九十]+[、．.]|[0-9]+[\.、]|第[一二三四五六七八九十0-9]+[章节]|[（(][一二三四五六七八九十0-9]+[)）])', chr(1) || '\1', 'g'), chr(1)),
+    lambda x: """ + STRIP.format(x="x") + r"""), lambda x: x <> '') AS c FROM (SELECT doc_id, '前言' || chr(10) || list_reduce(list_transform(string_split(text, chr(10)), lambda x, i: i || '、' || x), lambda a, b: a || chr(10) || b) AS t FROM documents))""")
+def section_pieces(spark, d):
+    """Every line of a document under a numbered heading, after a preamble."""
+    numbered = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat((i + 1).cast("string"), F.lit("、"), x)), "\n")
+    return _pieces(spark, d, segment.sections(F.concat(F.lit("前言\n"), numbered)))
+
+
+@register("word_segmentation")
+def word_segmentation(spark, d):
+    """Words of the passages, written without blanks, recovered by the shares of the documents' words; by passage."""
+    known = words.costs(table(spark, d, "documents").select(F.explode(text.tokens(F.col("text"))).alias("word")))
+    runs = questions(spark, d).select("query_id", F.posexplode(F.split(F.lower("text"), r"[^\p{L}\p{N} ]+")).alias("pos", "run"))
+    runs = runs.select("query_id", F.struct("query_id", "pos").alias("id"), F.filter(F.split("run", " +"), lambda w: w != "").alias("given")).filter("size(given) > 0")
+    found = words.segmented(runs.select("id", F.array_join("given", "").alias("run")), known).join(runs, "id")
+    right = words.agreement(F.col("words"), F.col("given"))
+    told = found.groupBy("query_id").agg(F.sum(F.size("given")).alias("n_true"), F.sum(F.size("words")).alias("n_found"), F.sum(right).alias("n_right"))
+    return told.withColumn("f1", F.round(2 * F.col("n_right") / (F.col("n_true") + F.col("n_found")), 6))
+
+
+@register("text_vector_topk")
+def text_vector_topk(spark, d):
+    """Documents by vectors of their own texts: the nearest to each question's."""
+    space = text_vectors.TextVectors(table(spark, d, "documents"))
+    docs = space.of_docs().withColumnsRenamed({"id": "doc_id", "vector": "embedding"})
+    return retrieval.dense(docs, space.of(questions(spark, d)).withColumnRenamed("id", "query_id")).select(*RESULT)
+
+
 @register("clean_title", r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(
     regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM pages""")
 def clean_title(spark, d):
