@@ -52,6 +52,16 @@ def new_only(incoming: DataFrame, done: DataFrame, key: str = "bbbs") -> DataFra
     return incoming.join(done.filter(F.size("articles") > 0).select(key), key, "left_anti")
 
 
+def resumed(records: DataFrame, done: DataFrame, time: str, late: str = "1 day", key: str = "bbbs") -> DataFrame:
+    """The records of a stream that still have to be fetched, each key once while ``late`` lasts.
+
+    Read from files with a checkpoint a run goes on where the last one ended; a key that comes again, in this run or a later
+    one, is dropped while the watermark remembers it, and after that by ``done``, the static table of what was fetched.
+    """
+    once = records.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
+    return new_only(once, done, key)
+
+
 def heartbeat(beats: DataFrame, now: float, stale: float = 120.0) -> DataFrame:
     """``beats`` with ``alive``: running and heard from within ``stale`` seconds."""
     return beats.withColumn("alive", (F.col("state") == "running") & (F.lit(now) - F.col("updated_at") <= stale))
