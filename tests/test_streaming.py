@@ -4,6 +4,7 @@ import json
 
 from siftwell.streaming import jobs
 
+
 def put(folder, name, rows):
     folder.mkdir(exist_ok=True)
     (folder / name).write_text("\n".join(map(json.dumps, rows)))
