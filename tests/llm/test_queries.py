@@ -3,10 +3,11 @@
 import os
 import zlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from siftwell.llm.queries import QUERIES
+from siftwell.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = {
@@ -17,6 +18,7 @@ COLUMNS = {
     "op8_token_store": ["doc_id", "start", "n_tokens", "ids_crc32"],
     "op9_byte_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
     "op10_toxicity": ["doc_id", "held_out", "score", "predicted"],
+    "op13_simhash_dedup": ["doc_id", "fingerprint", "component_id", "n_copies"],
 }
 
 
@@ -59,3 +61,14 @@ def test_removals_and_searches(spark, sf_dir):
     best = QUERIES["op2_topk_search"](spark, sf_dir)
     assert best.columns == ["query_id", "rank", "vec_id", "score"] and best.filter("query_id = vec_id").count() == 0
     assert best.groupBy("query_id").count().filter("count = 20").count() == spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("vec_id % 20 = 0").count()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", ["op11_hard_negatives", "op12_conversation_repair"])
+def test_rows_are_those_of_the_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("embeddings", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    found = QUERIES[name](spark, SF)
+    want = con.execute(f"SELECT {', '.join(f'"{c}"' for c in found.columns)} FROM ({ORACLES[name]})").fetchall()
+    assert sorted(map(tuple, found.collect())) == sorted(want) and want
