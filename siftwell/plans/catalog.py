@@ -14,7 +14,7 @@ from siftwell.operators import evaluation, index, logs, retrieval, segment, text
 from siftwell.operators import vectors as vector_index
 from siftwell.plans import tables
 from siftwell.plans.tables import bm25, dense, gold, questions, table, vectors
-from siftwell.sources import postings
+from siftwell.sources import postings, versions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -124,6 +124,22 @@ def upsert_by_source(spark, d):
     return index.replace_by_source(table(spark, d, "documents").select("doc_id", "source", "lang", "n_chars"), incoming)
 
 
+@register("upsert_versions", """WITH first AS (SELECT source, doc_id FROM documents),
+    incoming AS (SELECT source, doc_id + 1000000 AS doc_id FROM documents WHERE lang = 'en' UNION ALL SELECT 'conv', conv_id FROM conversations),
+    second AS (SELECT * FROM incoming UNION ALL SELECT * FROM first f WHERE NOT EXISTS (SELECT 1 FROM incoming i WHERE i.source IS NOT DISTINCT FROM f.source))
+    SELECT 1 AS version, source, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM first GROUP BY ALL
+    UNION ALL SELECT 2, source, count(*), sum(doc_id)::BIGINT FROM second GROUP BY ALL""")
+def upsert_versions(spark, d):
+    """The documents, then the sources of the English ones anew and a new source: both snapshots, read after the second commit."""
+    docs = table(spark, d, "documents")
+    path = storage.scratch(spark)
+    talks = table(spark, d, "conversations").select(F.lit("conv").alias("source"), F.col("conv_id").alias("doc_id"))
+    incoming = docs.filter("lang = 'en'").select("source", (F.col("doc_id") + 1_000_000).alias("doc_id")).unionByName(talks)
+    made = [versions.replace(rows, path) for rows in (docs.select("source", "doc_id"), incoming)]
+    kept = [versions.read(spark, path, v).groupBy("source").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids")).withColumn("version", F.lit(v)) for v in made]
+    return kept[0].unionByName(kept[1]).select("version", "source", "n", "ids")
+
+
 # ---- retrieval ----
 @register("bm25_topk", f"WITH {ALL_BM25} SELECT query_id, \"rank\", doc_id, score FROM words")
 def bm25_topk(spark, d):

@@ -50,14 +50,16 @@ def attach_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
 def build_index(statutes: DataFrame, chunk_path: str, index_path: str, max_chars: int = 800) -> DataFrame:
     """Statute records to chunks and an index over all chunks there; one row: what ``indexable`` found, and ``chunks``.
 
-    Statutes that come again replace their old chunks (by source), so a build may be repeated and done in parts.
+    Statutes that come again replace their old chunks (by source), so a build may be repeated and done in parts. Chunks are a
+    table in versions: a build that fails leaves the last one, and the index is of the version that this one made.
     """
     from siftwell.operators import segment
+    from siftwell.sources import versions
 
     spark = statutes.sparkSession
     kept, report = index.indexable(statutes)
-    replace_sources(segment.chunks(kept, max_chars), chunk_path)
-    every = spark.read.schema(schemas.CHUNK).parquet(chunk_path)
+    made = versions.replace(segment.chunks(kept, max_chars), chunk_path)
+    every = versions.read(spark, chunk_path, made)
     save_index(every, index_path, "id")
     return report.crossJoin(F.broadcast(every.agg(F.count("*").alias("chunks"))))  # one row each
 

@@ -11,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from siftwell import schemas
 from siftwell.functions.scores import cost
-from siftwell.sources.writers import replace_sources
+from siftwell.sources import versions
 
 
 def json_stream(spark: SparkSession, path: str, schema: str, per_trigger: int = 1000) -> DataFrame:
@@ -28,8 +28,15 @@ def usage_by_window(calls: DataFrame, window: str = "5 minutes", late: str = "10
 
 
 def upsert_stream(chunks: DataFrame, path: str, checkpoint: str, source: str = "source"):
-    """A started query that replaces each source's partition by the newest batch that has it; a batch may run twice."""
-    return chunks.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, _: replace_sources(df, path, source)).start()
+    """A started query that replaces each source's rows, in a table in versions, by those of the newest batch that has it.
+
+    A batch that runs again after a failure is told by its number and the ``checkpoint``, and changes nothing.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        versions.replace(batch, path, source, batch=(checkpoint, number))
+
+    return chunks.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(apply).start()
 
 
 def histories(turns: DataFrame, n: int = 20) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftwell import schemas
 from siftwell.operators import index
-from siftwell.sources import readers, writers
+from siftwell.sources import readers, versions, writers
 from siftwell.streaming import jobs
 
 
@@ -104,7 +104,7 @@ def test_streams(spark, tmp_path):
     rows = spark.createDataFrame([(5, "a")], "x long, source string")
     rows.write.json(str(tmp_path / "chunks"))
     jobs.upsert_stream(jobs.json_stream(spark, str(tmp_path / "chunks"), "x long, source string"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+    assert versions.read(spark, str(tmp_path / "out")).count() == 1
     beats = spark.createDataFrame([("running", 100.0), ("running", 10.0)], "state string, updated_at double")
     assert [r["alive"] for r in jobs.heartbeat(beats, 200.0).collect()] == [True, False]
 
