@@ -164,3 +164,14 @@ def faceted(question: Column, suffix: str) -> Column:
 
 def context_block(rank: Column, label: Column, text: Column) -> Column:
     return F.concat(F.lit("[来源"), rank.cast("string"), F.lit("]（"), label, F.lit("）"), text)
+
+
+def sanitised(meta: Column) -> Column:
+    """Open metadata, a JSON object, as map<string, variant> of scalars: null becomes the empty text, lists and objects their JSON text.
+
+    Texts, numbers and flags stay as they are. Null for a null or broken object; of a repeated key the last value counts.
+    """
+    kind = lambda v: F.schema_of_variant(v)
+    text = lambda v: v.cast("variant")
+    keep = lambda v: F.when(kind(v) == "VOID", text(F.lit(""))).when(kind(v).rlike("^(OBJECT|ARRAY)"), text(F.to_json(v))).otherwise(v)
+    return F.transform_values(F.from_json(meta, "map<string,variant>"), lambda _, v: F.coalesce(keep(v), text(F.lit(""))))

@@ -140,6 +140,18 @@ def upsert_versions(spark, d):
     return kept[0].unionByName(kept[1]).select("version", "source", "n", "ids")
 
 
+@register("metadata_sanitise", """WITH m AS (SELECT doc_id, json_object('lang', lang, 'chars', n_chars, 'tags', [source, lang], 'held', {'doc': doc_id}, 'gone', NULL, 'long', n_chars > 1000) AS meta FROM documents),
+    k AS (SELECT doc_id, meta, unnest(json_keys(meta)) AS key FROM m)
+    SELECT doc_id, key, CASE WHEN json_type(meta, '$.' || key) = 'BOOLEAN' THEN 'flag' WHEN json_type(meta, '$.' || key) IN ('UBIGINT', 'BIGINT') THEN 'number' ELSE 'text' END AS kind,
+        coalesce(meta ->> ('$.' || key), '') AS "value" FROM k""")
+def metadata_sanitise(spark, d):
+    docs = table(spark, d, "documents")
+    open_ = F.struct("lang", F.col("n_chars").alias("chars"), F.array("source", "lang").alias("tags"), F.struct(F.col("doc_id").alias("doc")).alias("held"), F.lit(None).cast("string").alias("gone"), (F.col("n_chars") > 1000).alias("long"))
+    clean = docs.select("doc_id", F.explode(text.sanitised(F.to_json(open_, {"ignoreNullFields": "false"}))).alias("key", "v"))
+    kind = F.schema_of_variant("v")
+    return clean.select("doc_id", "key", F.when(kind == "BOOLEAN", "flag").when(kind == "BIGINT", "number").otherwise("text").alias("kind"), F.variant_get("v", "$", "string").alias("value"))
+
+
 # ---- retrieval ----
 @register("bm25_topk", f"WITH {ALL_BM25} SELECT query_id, \"rank\", doc_id, score FROM words")
 def bm25_topk(spark, d):

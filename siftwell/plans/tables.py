@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.operators import retrieval
 
 ANCHOR = 8
+#: Characters of the anchor of a passage of one or two words.
+GRAM = 8
 #: Questions up to which their anchors and passages (about a kilobyte each) are broadcast.
 BROADCAST_ITEMS = 20_000
 
@@ -53,13 +55,32 @@ def dense(spark: SparkSession, sf_dir: str, k: int = retrieval.POOL) -> DataFram
     return retrieval.ranked(found.filter("doc_id <> query_id").drop("rank"), k)
 
 
+def _wide(text: str) -> Column:
+    """A text with two bytes a character (four for the rare ones beyond UTF-16's first plane): a slice takes constant time."""
+    return F.encode(text, "UTF-16BE")
+
+
+def _grams(text: str, sizes: list[int]) -> Column:
+    """The distinct hashes of a text's runs of as many characters as each of ``sizes``."""
+    none = F.array().cast("array<long>")
+
+    def of(wide: Column, n: int) -> Column:
+        last = (F.octet_length(wide) / 2).cast("int") - n
+        each = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(F.substring(wide, i * 2 + 1, F.lit(2 * n))))
+        return F.when(last >= 0, F.array_distinct(each)).otherwise(none)
+
+    # the outer transform binds the encoded text once
+    return F.transform(F.array(_wide(text)), lambda wide: F.concat(*(of(wide, n) for n in sizes)))[0]
+
+
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, doc_id): documents that hold a passage word for word.
 
     A passage's anchor is the run of up to ANCHOR words from its second on, without its last, which a text that holds the
     passage has as whole words. Anchors are a table of the questions: at most BROADCAST_ITEMS of them are broadcast, and texts
     are compared where they are read; more are joined by shuffle, with the texts fetched for the pairs that meet. Passages of
-    one or two words have no anchor and are looked for in every text.
+    one or two words need not stand as whole words: their anchor is what they start with, up to GRAM characters, and meets
+    the runs of as many characters of a text. An empty passage is in every text; a null text or passage has no pairs.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
@@ -73,14 +94,23 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     from_each = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("hs") - (n - 1), F.lit(1))), lambda i: run(F.col("hs"), i, F.lit(n)))
     starts = [from_each(n) for n in sizes if n > 0]
     held = F.col("text").contains(F.col("passage"))
+    few = items.count() <= BROADCAST_ITEMS
+
+    def met(runs: DataFrame, anchors: DataFrame) -> DataFrame:
+        if few:
+            return runs.join(F.broadcast(anchors), "anchor").filter(held)
+        return runs.drop("text").join(anchors, "anchor").join(docs, "doc_id").filter(held)
+
     found = []
     if starts:
-        runs = split.select("doc_id", "text", F.explode(F.array_distinct(F.concat(*starts))).alias("anchor"))
-        if items.count() <= BROADCAST_ITEMS:
-            found.append(runs.join(F.broadcast(anchors), "anchor").filter(held))
-        else:
-            found.append(runs.drop("text").join(anchors, "anchor").join(docs, "doc_id").filter(held))
+        found.append(met(split.select("doc_id", "text", F.explode(F.array_distinct(F.concat(*starts))).alias("anchor")), anchors))
     if sizes and sizes[0] <= 0:
-        found.append(docs.join(sized.filter("n <= 0"), held))
+        short = sized.filter("n <= 0 and passage <> ''").select("query_id", "passage", _wide("passage").alias("wide"))
+        short = short.select("query_id", "passage", F.least(F.lit(GRAM), F.octet_length("wide") / 2).cast("int").alias("g"), "wide")
+        grams = [r["g"] for r in short.select("g").distinct().collect()]  # at most GRAM
+        if grams:
+            short = short.select("query_id", "passage", F.xxhash64(F.substring("wide", F.lit(1), F.col("g") * 2)).alias("anchor"))
+            found.append(met(docs.select("doc_id", "text", F.explode(_grams("text", sorted(grams))).alias("anchor")), short))
+        found.append(docs.filter("text is not null").crossJoin(sized.filter("passage = ''")))  # every pair is a result
     each = [f.select("query_id", "doc_id") for f in found] or [items.join(docs, F.lit(False)).select("query_id", "doc_id")]
     return reduce(DataFrame.unionByName, each).distinct()

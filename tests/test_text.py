@@ -69,3 +69,13 @@ def test_scores(spark):
     assert one(spark, scores.cost(F.lit("?"), F.lit(1_000_000), F.lit(0))) == 2
     assert one(spark, scores.boosted(F.lit(0.9), F.lit(True))) == 1.0 and one(spark, scores.boosted(F.lit(0.5), F.lit(False))) == 0.5
     assert one(spark, text.hyde_query(F.lit("q"), F.lit(" "))) == "q" and one(spark, text.hyde_query(F.lit("q"), F.lit("p"))) == "q\np"
+
+
+def test_open_metadata_against_python(spark):
+    metas = ['{"a": null, "b": "x", "c": 1, "d": 1.5, "e": true, "f": [1, "y", null], "g": {"h": {}}, "": ""}', "{}", None, "{broken", '{"a": 1, "a": 2}']
+    rows = spark.createDataFrame([(i, m) for i, m in enumerate(metas)], "i int, m string")
+    clean = rows.select("i", F.explode_outer(text.sanitised(F.col("m"))).alias("k", "v")).select("i", "k", F.schema_of_variant("v"), F.variant_get("v", "$", "string"))
+    got = {(r[0], r[1]): (r[2], r[3]) for r in clean.collect()}
+    want = {"a": ("STRING", ""), "b": ("STRING", "x"), "c": ("BIGINT", "1"), "d": ("DECIMAL(2,1)", "1.5"), "e": ("BOOLEAN", "true"), "f": ("STRING", '[1,"y",null]'), "g": ("STRING", '{"h":{}}'), "": ("STRING", "")}
+    assert {k: v for (i, k), v in got.items() if i == 0} == want
+    assert {(i, k): v for (i, k), v in got.items() if i} == {(1, None): (None, None), (2, None): (None, None), (3, None): (None, None), (4, "a"): ("BIGINT", "2")}
