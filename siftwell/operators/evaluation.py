@@ -83,6 +83,19 @@ def means(measured: DataFrame, *by: str) -> DataFrame:
     return measured.groupBy(*by, "k").agg(*(F.avg(c).alias(c) for c in ("hit", "rr", "recall", "precision", "ndcg", "ndcg_full")), F.count("*").alias("items"))
 
 
+def breakdown(measured: DataFrame, facets: list[str]) -> DataFrame:
+    """(facet, value, k, means, items): the means by each of some columns, and over all (facet and value null), in one pass.
+
+    Facets are columns of ``measured``, read as text; a null one is a value of its own, as an empty text.
+    """
+    rows = measured.withColumns({f: F.coalesce(F.col(f).cast("string"), F.lit("")) for f in facets})
+    values = [F.avg(c).alias(c) for c in ("hit", "rr", "recall", "precision", "ndcg", "ndcg_full")]
+    # a grouping column that a set leaves out has the bit 1
+    out = rows.groupingSets([["k"], *([f, "k"] for f in facets)], *facets, "k").agg(*values, F.count("*").alias("items"), *(F.grouping(f).alias(f"_{f}") for f in facets))
+    pick = lambda made: F.coalesce(*(F.when(F.col(f"_{f}") == 0, made(f)) for f in facets))
+    return out.select(pick(F.lit).alias("facet"), pick(F.col).alias("value"), "k", "hit", "rr", "recall", "precision", "ndcg", "ndcg_full", "items")
+
+
 def coverage(items: DataFrame, gold: DataFrame, corpus: DataFrame, keys: list[str]) -> DataFrame:
     """(query_id, n_gold, n_covered, in_corpus): gold keys of every item, those that the corpus has, whether it has some gold and all of it."""
     distinct = gold.select("query_id", *keys).distinct()
@@ -216,12 +229,13 @@ def agent_score(answer: Column, called: Column, tools: Column, words: Column) ->
     }
 
 
-def agent_report(scored: DataFrame, parts: tuple[str, ...] = ("tool_selection", "structure", "source_citation", "keyword_coverage"), total: str = "total") -> DataFrame:
-    """One row: n, the mean of each part and of the total, the share of each part's 25 points, and the rows of each tier."""
+def agent_report(scored: DataFrame, parts: tuple[str, ...] = ("tool_selection", "structure", "source_citation", "keyword_coverage"), total: str = "total", mark: float = 70.0) -> DataFrame:
+    """One row: n, the mean of each part and of the total, the share of each part's 25 points, the rows of each tier, and
+    ``passed``: whether the mean total reaches ``mark`` (false without rows)."""
     means_ = [F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in (*parts, total)]
     tiers = [F.count_if(tier(F.col(total)) == t).alias(t) for t in ("excellent", "good", "fair", "poor")]
-    told = scored.agg(F.count("*").alias("n"), *means_, *tiers)
-    return told.select("n", *parts, total, *((F.col(c) / 25.0).alias(f"{c}_share") for c in parts), "excellent", "good", "fair", "poor")
+    told = scored.agg(F.count("*").alias("n"), *means_, *tiers).withColumn("passed", F.col(total) >= mark)
+    return told.select("n", *parts, total, *((F.col(c) / 25.0).alias(f"{c}_share") for c in parts), "excellent", "good", "fair", "poor", "passed")
 
 
 def worst(scored: DataFrame, order: list[str], n: int = 3, below: float = 60.0, total: str = "total") -> DataFrame:

@@ -326,8 +326,8 @@ def _items(spark, d) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
 
 
-def _measured(spark, d) -> DataFrame:
-    answers = gold(spark, d)
+def _measured(spark, d, answers: DataFrame | None = None) -> DataFrame:
+    answers = storage.staged(gold(spark, d)) if answers is None else answers  # used twice
     return evaluation.per_query(_items(spark, d), evaluation.relevance(bm25(spark, d), answers), answers, KS)
 
 
@@ -342,8 +342,26 @@ def retrieval_metrics(spark, d):
 @register("metrics_by_category", f"""WITH {ALL_BM25}, {WITH_GOLD}, {WITH_JUDGED}, {PER_QUERY}
     SELECT query_id IN (SELECT query_id FROM gold) AS in_corpus, k, {MEANS}, count(*) AS items FROM per GROUP BY ALL""")
 def metrics_by_category(spark, d):
-    flags = evaluation.coverage(_items(spark, d), gold(spark, d), table(spark, d, "documents"), ["doc_id"]).select("query_id", "in_corpus")
-    return rounded(evaluation.means(_measured(spark, d).join(flags, "query_id"), "in_corpus"), *MEASURES)
+    answers = storage.staged(gold(spark, d))
+    flags = evaluation.coverage(_items(spark, d), answers, table(spark, d, "documents"), ["doc_id"]).select("query_id", "in_corpus")
+    return rounded(evaluation.means(_measured(spark, d, answers).join(flags, "query_id"), "in_corpus"), *MEASURES)
+
+
+@register("metrics_breakdown", f"""WITH {ALL_BM25}, {WITH_GOLD}, {WITH_JUDGED}, {PER_QUERY},
+    cat AS (SELECT query_id, arg_min(lang, doc_id) AS category FROM gold JOIN documents USING (doc_id) GROUP BY 1),
+    f AS (SELECT per.*, coalesce(category, '') AS category, CASE WHEN len({TOKENS}) < 20 THEN 'short' ELSE 'long' END AS type,
+        CASE WHEN per.query_id IN (SELECT query_id FROM gold) THEN 'true' ELSE 'false' END AS in_corpus FROM per JOIN benchmark ON item_id = per.query_id LEFT JOIN cat ON cat.query_id = per.query_id)
+    SELECT CASE WHEN grouping(category) = 0 THEN 'category' WHEN grouping(type) = 0 THEN 'type' WHEN grouping(in_corpus) = 0 THEN 'in_corpus' END AS facet,
+        CASE WHEN grouping(category) = 0 THEN category WHEN grouping(type) = 0 THEN type WHEN grouping(in_corpus) = 0 THEN in_corpus END AS value, k, {MEANS}, count(*) AS items
+    FROM f GROUP BY GROUPING SETS ((k), (category, k), (type, k), (in_corpus, k))""")
+def metrics_breakdown(spark, d):
+    """By category (the language of a question's first gold document), by type and by whether the corpus has the gold, in one pass."""
+    answers = storage.staged(gold(spark, d))
+    languages = answers.join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id").groupBy("query_id").agg(F.min_by("lang", "doc_id").alias("category"))
+    kinds = questions(spark, d).select("query_id", F.when(text.n_tokens(F.col("text")) < 20, "short").otherwise("long").alias("type"))
+    flags = evaluation.coverage(_items(spark, d), answers, table(spark, d, "documents"), ["doc_id"]).select("query_id", "in_corpus")
+    marked = _measured(spark, d, answers).join(kinds, "query_id").join(flags, "query_id").join(languages, "query_id", "left")
+    return rounded(evaluation.breakdown(marked, ["category", "type", "in_corpus"]), *MEASURES)
 
 
 def _law_items(spark, d) -> DataFrame:
@@ -404,9 +422,9 @@ def answerable_filter(spark, d):
     return evaluation.answerable(_items(spark, d), gold(spark, d), table(spark, d, "labels"), ["doc_id"])
 
 
-def _expecting(spark, d) -> DataFrame:
+def _expecting(spark, d, answers: DataFrame | None = None) -> DataFrame:
     """Items without gold expect a refusal."""
-    some = gold(spark, d).select("query_id").distinct().withColumn("expect_refusal", F.lit(False))
+    some = (gold(spark, d) if answers is None else answers).select("query_id").distinct().withColumn("expect_refusal", F.lit(False))
     return _items(spark, d).join(some, "query_id", "left").withColumn("expect_refusal", F.coalesce("expect_refusal", F.lit(True)))
 
 
@@ -442,8 +460,9 @@ THRESHOLDS = [i / 10 for i in range(11)]
     SELECT threshold, round(coalesce(sum(hit) FILTER (NOT e) / nullif(count_if(NOT e), 0), 0), 6)::DOUBLE AS hit, round(coalesce(count_if(e AND kept = 0) / nullif(count_if(e), 0), 0), 6)::DOUBLE AS refusal_rate,
         round(coalesce(count_if(NOT e AND kept = 0) / nullif(count_if(NOT e), 0), 0), 6)::DOUBLE AS false_refusal_rate, round(avg(kept), 6) AS avg_kept FROM x GROUP BY threshold""")
 def threshold_sweep(spark, d):
-    judged = evaluation.relevance(_reranked(spark, d, 0.0, 20), gold(spark, d))
-    return rounded(evaluation.sweep(_expecting(spark, d), judged, THRESHOLDS), "hit", "refusal_rate", "false_refusal_rate", "avg_kept")
+    answers = storage.staged(gold(spark, d))
+    judged = evaluation.relevance(_reranked(spark, d, 0.0, 20), answers)
+    return rounded(evaluation.sweep(_expecting(spark, d, answers), judged, THRESHOLDS), "hit", "refusal_rate", "false_refusal_rate", "avg_kept")
 
 
 @register("score_quantiles", f"""WITH {ALL_BM25}, b AS (SELECT list(score ORDER BY score) AS s FROM words WHERE "rank" = 1), q AS (SELECT unnest([0.25, 0.5, 0.75, 0.9])::DOUBLE AS share)
@@ -744,7 +763,7 @@ SCORED = ORACLES["agent_score_tiers"]
 
 
 @register("agent_report", f"""WITH x AS ({SCORED}) SELECT count(*) AS n, {", ".join(f"round(avg({c}), 4) AS {c}" for c in AGENT_PARTS)}, round(avg(total), 4) AS total,
-    {", ".join(f"round(avg({c}) / 25, 4) AS {c}_share" for c in AGENT_PARTS)}, {", ".join(f"count_if(tier = '{t}')::BIGINT AS {t}" for t in ("excellent", "good", "fair", "poor"))} FROM x""")
+    {", ".join(f"round(avg({c}) / 25, 4) AS {c}_share" for c in AGENT_PARTS)}, {", ".join(f"count_if(tier = '{t}')::BIGINT AS {t}" for t in ("excellent", "good", "fair", "poor"))}, avg(total) >= 70 AS passed FROM x""")
 def agent_report(spark, d):
     found = evaluation.agent_report(agent_score_tiers(spark, d))
     return rounded(found, *AGENT_PARTS, "total", *(f"{c}_share" for c in AGENT_PARTS), places=4)

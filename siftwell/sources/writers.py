@@ -92,3 +92,22 @@ def save_statutes(statutes: DataFrame, path: str) -> None:
 def save_report(measured: DataFrame, path: str, drop: tuple[str, ...] = ("retrieved",)) -> None:
     """A report without its bulky columns, as one JSON lines file for each partition."""
     measured.drop(*drop).write.mode("overwrite").json(path)
+
+
+def save_curve(curve: DataFrame, path: str, sample: int, pool: int) -> None:
+    """The rows of a threshold sweep, by threshold, as one JSON object {curve, sample, pool}: a row a threshold, so it is small."""
+    row = F.struct("threshold", *(c for c in curve.columns if c != "threshold"))
+    whole = curve.agg(F.sort_array(F.collect_list(row)).alias("curve"))
+    whole.select("curve", F.lit(sample).alias("sample"), F.lit(pool).alias("pool")).write.mode("overwrite").json(path)
+
+
+def save_feedback_stats(entries: DataFrame, path: str) -> None:
+    """Totals of a feedback log and of each mode as one JSON object {total, up, down, satisfaction, by_mode}; modes are few."""
+    from siftwell.operators import logs
+
+    known = entries.filter("rating in ('up', 'down')").withColumn("mode", F.coalesce("mode", F.lit("")))
+    told = logs.feedback(known)
+    counts = ("total", "up", "down", "satisfaction")
+    modes = F.sort_array(F.collect_list(F.when(F.col("mode").isNotNull(), F.struct("mode", *counts)))).alias("by_mode")
+    sums = [F.coalesce(F.max(F.when(F.col("mode").isNull(), F.col(c))), F.lit(0)).alias(c) for c in counts]
+    told.agg(*sums, modes).write.mode("overwrite").json(path)

@@ -136,6 +136,7 @@ def test_keywords_and_reports(spark):
     scored = spark.createDataFrame([(i, 25.0, 25.0, float(i), 10.0, 60.0 + i) for i in range(-5, 21)], "id long, tool_selection double, structure double, source_citation double, keyword_coverage double, total double")
     row = evaluation.agent_report(scored).first()
     assert (row["n"], row["poor"], row["fair"], row["excellent"], row["tool_selection_share"]) == (26, 0, 5, 1, 1.0)
+    assert not row["passed"] and evaluation.agent_report(scored.filter("total >= 65")).first()["passed"] and not evaluation.agent_report(scored.limit(0)).first()["passed"]
     assert [r["id"] for r in evaluation.worst(scored, ["id"]).collect()] == [-5, -4, -3]
     rate = spark.createDataFrame([(10, 2.0)], "n long, per_minute double")
     progress = spark.createDataFrame([(30, 40), (10, 10)], "laws long, expected long")

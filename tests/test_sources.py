@@ -130,3 +130,27 @@ def test_build_from_files_to_index(spark, tmp_path):
     (tmp_path / "laws/a/2.json").unlink()
     told = writers.build_index(readers.statutes(spark, str(tmp_path / "laws")).filter("bbbs = 'b1'"), chunks, where).first()
     assert told["chunks"] == 2 and writers.load_index(spark, where)["postings"].filter("term = 'beta'").count() == 0
+
+
+def test_curve_and_feedback_files(spark, tmp_path):
+    read = lambda name: [json.loads(line) for f in (tmp_path / name).glob("*.json") for line in f.read_text().splitlines()]
+    curve = spark.createDataFrame([(0.5, 0.1), (0.0, 0.9), (0.25, None)], "threshold double, hit double").repartition(3)
+    writers.save_curve(curve, str(tmp_path / "curve"), sample=50, pool=20)
+    assert read("curve") == [{"curve": [{"threshold": 0.0, "hit": 0.9}, {"threshold": 0.25}, {"threshold": 0.5, "hit": 0.1}], "sample": 50, "pool": 20}]
+    entries = spark.createDataFrame([("up", "rag"), ("down", "rag"), ("up", None), ("meh", "rag"), (None, "agent")], "rating string, mode string")
+    writers.save_feedback_stats(entries, str(tmp_path / "stats"))
+    mode = lambda m, up, down: {"mode": m, "total": up + down, "up": up, "down": down, "satisfaction": up / (up + down)}
+    assert read("stats") == [{"total": 3, "up": 2, "down": 1, "satisfaction": 2 / 3, "by_mode": [mode("", 1, 0), mode("rag", 1, 1)]}]
+    writers.save_feedback_stats(entries.limit(0), str(tmp_path / "none"))
+    assert read("none") == [{"total": 0, "up": 0, "down": 0, "satisfaction": 0.0, "by_mode": []}]
+
+
+def test_statute_files_reports_and_rewrites(spark, tmp_path):
+    law = spark.createDataFrame([("b1", "法律", [("第一条", 1, 0, "", "x", "article")]), ("b2", None, None)], f"bbbs string, category string, articles array<{schemas.ARTICLE}>")
+    writers.save_statutes(law, str(tmp_path / "laws"))
+    back = {r["bbbs"]: r for r in spark.read.json(str(tmp_path / "laws")).collect()}
+    assert back["b1"]["category"] == "法律" and back["b1"]["articles"][0]["text"] == "x" and back["b2"]["category"] is None
+    writers.save_report(spark.createDataFrame([(1, 0.5, ["long"])], "query_id long, hit double, retrieved array<string>"), str(tmp_path / "report"))
+    assert [r.asDict() for r in spark.read.json(str(tmp_path / "report")).collect()] == [{"query_id": 1, "hit": 0.5}]
+    (tmp_path / "rewrites.json").write_text('{"question": "q", "passage": "p"}\n{"question": "r", "passage": ""}\n{"question": "s"}\n{"quest', encoding="utf-8")
+    assert [tuple(r) for r in readers.rewrites(spark, str(tmp_path / "rewrites.json")).collect()] == [("q", "p")]

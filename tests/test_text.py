@@ -79,3 +79,12 @@ def test_open_metadata_against_python(spark):
     want = {"a": ("STRING", ""), "b": ("STRING", "x"), "c": ("BIGINT", "1"), "d": ("DECIMAL(2,1)", "1.5"), "e": ("BOOLEAN", "true"), "f": ("STRING", '[1,"y",null]'), "g": ("STRING", '{"h":{}}'), "": ("STRING", "")}
     assert {k: v for (i, k), v in got.items() if i == 0} == want
     assert {(i, k): v for (i, k), v in got.items() if i} == {(1, None): (None, None), (2, None): (None, None), (3, None): (None, None), (4, "a"): ("BIGINT", "2")}
+
+
+def test_authority_in_any_of_the_parts(spark):
+    bare = ("x", "s", "t", None)
+    rows = [(*bare[:i], f"a{word}b", *bare[i + 1 :], True) for word in text.AUTHORITY_WORDS for i in range(4)] + [(*bare, False), (None, None, None, None, False)]
+    found = spark.createDataFrame(rows, "text string, source string, title string, category string, want boolean")
+    assert found.filter(text.is_authoritative(*(F.col(c) for c in found.columns[:4])) != F.col("want")).count() == 0
+    boosted = found.select(scores.boosted(F.lit(0.9), text.is_authoritative(F.col("text"))).alias("x"), text.is_authoritative(F.col("text")).alias("a")).distinct().collect()
+    assert {(r["a"], round(r["x"], 6)) for r in boosted} == {(True, 1.0), (False, 0.9)}
