@@ -144,14 +144,6 @@ def heavy_join(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, t
     return joined.filter("_found is not null").select(*rows.columns, "_found.*")
 
 
-def bucketed(df: DataFrame, key: str) -> tuple[DataFrame, str]:
-    """``df`` as a table bucketed by ``key`` in the warehouse, which all executors share, and the table's name to drop it by."""
-    spark = df.sparkSession
-    name = f"siftwell_{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(name)
-    return spark.table(name), name
-
-
 @lru_cache(1)
 def char_tables() -> tuple[np.ndarray, np.ndarray]:
     """For every code point: whether it is a letter or digit, and its lower-case code point (itself if that is longer)."""
