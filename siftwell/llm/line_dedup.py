@@ -31,9 +31,10 @@ BROADCAST_IDS, HUB = 1_000_000, 200
 LARGE, BLOCK, BLOCK_SHINGLES = 64, 800, 2_000_000
 #: Partitions over which the meetings of blocks are spread at most.
 MEETINGS = 10_000
-#: Times that all members of a bucket meet two more of its lines before its remaining pairs are compared, if those are more
-#: than OPEN for each member.
-TURNS, OPEN = 1, 32
+#: Words of 64 bits of a line's bitmap, and shingles that one task puts into bitmaps.
+WORDS, TASK_SHINGLES = 32, 500_000
+#: Times that all members of a large bucket meet two more of its lines before its remaining pairs are compared.
+TURNS = 1
 
 
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -201,16 +202,21 @@ VALUES = range(len(WINDOWS) * HASHES * 2)
 
 
 def _as(rows: DataFrame, name: str, *keys: str) -> DataFrame:
-    """``rows`` (keys, MEMBER, sig) with the columns of a member renamed name_*, each signature value one of its own: plain columns are read fastest."""
-    return rows.select(*keys, *(F.col(c).alias(f"{name}_{c}") for c in MEMBER), *(F.col("sig")[i].alias(f"{name}_{i}") for i in VALUES))
+    """``rows`` (keys, MEMBER, sig) with the columns of a member renamed name_*, each signature value one of its own: plain columns are read fastest.
+
+    Values are never null, which halves the code that compares them.
+    """
+    return rows.select(*keys, *(F.col(c).alias(f"{name}_{c}") for c in MEMBER), *(F.coalesce(F.col("sig")[i], F.lit(0)).alias(f"{name}_{i}") for i in VALUES))
 
 
 def _first_met(similarity: float) -> Column:
     """Whether the members x and y of a bucket are to be compared in it: able, alike enough, and in no earlier band together."""
-    same = [F.col(f"x_{i}") == F.col(f"y_{i}") for i in VALUES]
-    alike = sum((x.cast("int") for x in same), F.lit(0)) >= AGREE
-    first = F.coalesce(*(F.when(same[i] & same[j] & same[k] & same[m], b) for b, (i, j, k, m) in enumerate(BANDS)))
-    return _able(lambda c: F.col(f"x_{c}"), lambda c: F.col(f"y_{c}"), similarity) & alike & (first == F.col("number"))
+    same = sum((F.when(F.col(f"x_{i}") == F.col(f"y_{i}"), 1 << i).otherwise(0) for i in VALUES), F.lit(0))
+    masks = [sum(1 << i for i in band) for band in BANDS]
+    # a bit for each equal value, bound once: the code of the join stays short enough to be compiled
+    earlier = lambda bits: F.coalesce(*(F.when(bits.bitwiseAND(F.lit(m)) == m, b) for b, m in enumerate(masks)))
+    first = F.transform(F.array(same), lambda bits: F.when(F.bit_count(bits) >= AGREE, earlier(bits)))[0]
+    return _able(lambda c: F.col(f"x_{c}"), lambda c: F.col(f"y_{c}"), similarity) & (first == F.col("number"))
 
 
 def _numbered(labelled: DataFrame) -> DataFrame:
@@ -218,34 +224,65 @@ def _numbered(labelled: DataFrame) -> DataFrame:
     return labelled.withColumn("number", F.coalesce(*(F.when(F.col("band") == _band(b, F.col("sig")), b) for b in range(len(BANDS)))))
 
 
-def _small_pairs(labelled: DataFrame, split: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, parts_a, parts_b): the pairs left in buckets of fewer than LARGE lines."""
+def _bitmaps(labelled: DataFrame, split: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, word_0, ...): for each member of a split bucket the bits at its shingles' hashes modulo the bitmap's length."""
+    ids = staged(labelled.join(split.select("band"), "band", "left_semi").select("id", "own").distinct())
+    parts = min(MEETINGS, 1 + (ids.agg(F.sum("own")).first()[0] or 0) // TASK_SHINGLES)
+    wide = texts.join(ids.select("id"), "id", "left_semi").repartition(parts, "id").select("id", F.encode("norm", "UTF-16BE").alias("wide"))
+    each = wide.select("id", "wide", F.explode(F.sequence(F.lit(1), _count(F.col("wide")) * 2 - 1, F.lit(2))).alias("at"))
+    word = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(WORDS - 1)).cast("int")
+    set_bits = each.select("id", _hash(F.col("wide"), F.col("at")).alias("h")).groupBy("id", word.alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("bits"))
+    words = (F.coalesce(F.bit_or(F.when(F.col("word") == i, F.col("bits"))), F.lit(0).cast("long")).alias(f"word_{i}") for i in range(WORDS))
+    return staged(set_bits.groupBy("id").agg(*words))
+
+
+def _maybe(x: str, y: str, own: Column, similarity: float) -> Column:
+    """Whether the bitmaps x_word_*, y_word_* allow the similarity to lines of ``own`` shingles together.
+
+    A bit that only one line has comes from a shingle that only this line has, so the lines differ in as many shingles at
+    least as their bitmaps in bits. No pair at the similarity is left out.
+    """
+    bits = sum((F.bit_count(F.col(f"{x}_word_{i}").bitwiseXOR(F.col(f"{y}_word_{i}"))) for i in range(WORDS)), F.lit(0))
+    return bits <= (1 - similarity) / (1 + similarity) * own + 1e-6
+
+
+def _named(bitmaps: DataFrame, name: str, key: str) -> DataFrame:
+    return bitmaps.select(F.col("id").alias(key), *(F.col(f"word_{i}").alias(f"{name}_word_{i}") for i in range(WORDS)))
+
+
+def _small_pairs(labelled: DataFrame, split: DataFrame, bitmaps: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, parts_a, parts_b): the pairs left in buckets of fewer than LARGE lines whose bitmaps allow the similarity."""
     some = staged(_numbered(labelled.join(split.filter(F.col("size") < LARGE).select("band"), "band")))
     met = _as(some, "x", "band", "number").join(_as(some, "y", "band"), "band").filter((F.col("x_id") < F.col("y_id")) & _first_met(similarity))
-    return met.select(F.col("x_id").alias("a"), F.col("y_id").alias("b"), F.lit(1).alias("parts_a"), F.lit(1).alias("parts_b"))
+    pairs = met.select(F.col("x_id").alias("a"), F.col("y_id").alias("b"), (F.col("x_own") + F.col("y_own")).alias("own"))
+    both = pairs.join(_named(bitmaps, "x", "a"), "a").join(_named(bitmaps, "y", "b"), "b").filter(_maybe("x", "y", F.col("own"), similarity))
+    return both.select("a", "b", F.lit(1).alias("parts_a"), F.lit(1).alias("parts_b"))
 
 
-def _block_links(labelled: DataFrame, split: DataFrame, total: int, texts: DataFrame, similarity: float) -> DataFrame:
+def _block_links(labelled: DataFrame, split: DataFrame, total: int, texts: DataFrame, bitmaps: DataFrame, similarity: float) -> DataFrame:
     """(u, v): the pairs left in buckets of LARGE lines or more that reach the similarity.
 
-    Buckets are cut to blocks by lines and shingles, each two of which meet under a key. There a line's shingles are made once.
+    Buckets are cut to blocks by lines and shingles, each two of which meet under a key. There a line's shingles are made
+    once, and only pairs whose bitmaps allow the similarity have theirs compared.
     """
     many = F.greatest(F.col("size") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)
     parts = split.select("band", "size", F.ceil(many).cast("int").alias("parts"))
     cut = heavy_join(labelled, parts, ["band"], "size", total).withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.col("parts")).cast("int"))
     # a task for each two blocks, up to MEETINGS: comparing is much work on few bytes
     meetings = min(MEETINGS, parts.agg(F.sum(F.expr("parts * (parts + 1) / 2")).cast("int")).first()[0] or 1)
-    each = staged(_numbered(cut)).join(texts, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    each = staged(_numbered(cut)).join(texts.join(bitmaps, "id"), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     each = each.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
 
     def side(own: str, name: str, *more: str) -> DataFrame:
         # texts travel, and shingles are made where they are compared
-        dealt = _as(each.filter(F.col("block") == F.col(own)), name, "band", "i", "j", "norm", *more).repartition(meetings, "band", "i", "j")
+        words = each.select("*", *(F.coalesce(f"word_{i}", F.lit(0).cast("long")).alias(f"{name}_word_{i}") for i in range(WORDS)))
+        dealt = _as(words.filter(F.col("block") == F.col(own)), name, "band", "i", "j", "norm", *more, *(f"{name}_word_{i}" for i in range(WORDS))).repartition(meetings, "band", "i", "j")
         # never null, so that the join brings no test for null, which would make the shingles once more
         return dealt.withColumn(f"{name}_set", F.coalesce(_shingles("norm"), F.array().cast("array<long>"))).drop("norm")
 
     once = (F.col("i") != F.col("j")) | (F.col("x_id") < F.col("y_id"))
-    met = side("i", "x", "number").join(side("j", "y"), ["band", "i", "j"]).filter(once & _first_met(similarity))
+    maybe = _maybe("x", "y", F.col("x_own") + F.col("y_own"), similarity)
+    met = side("i", "x", "number").join(side("j", "y"), ["band", "i", "j"]).filter(once & (F.col("x_label") != F.col("y_label")) & maybe & _first_met(similarity))
     # shared / (all - shared) >= similarity, so that the sets are intersected once
     linked = F.size(F.array_intersect("x_set", "y_set")) * (1 + similarity) >= similarity * (F.size("x_set") + F.size("y_set")) - 1e-9
     return met.filter(linked).select(F.col("x_id").alias("u"), F.col("y_id").alias("v"))
@@ -266,15 +303,15 @@ def duplicate_classes(lines: DataFrame, similarity: float = 0.8) -> DataFrame:
         links = _linked(compared, similarity)
         placed = _placed(inside, compared, signed)
         labelled, split = _open(placed, _labels(links))
-        links = links.unionByName(staged(_linked(_compared(staged(_small_pairs(labelled, split, similarity)), texts), similarity)))
+        bitmaps = _bitmaps(labelled, split, texts)
+        links = links.unionByName(staged(_linked(_compared(staged(_small_pairs(labelled, split, bitmaps, similarity)), texts), similarity)))
         for turn in range(TURNS + 1):
             large = split.filter(F.col("size") >= LARGE)
             cross, total = large.agg(F.sum("cross"), F.sum("size")).first()
             if not cross:
                 break
-            last = turn == TURNS or cross <= OPEN * total
-            if last:
-                links = links.unionByName(staged(_block_links(labelled, large, total, texts, similarity)))
+            if turn == TURNS:
+                links = links.unionByName(staged(_block_links(labelled, large, total, texts, bitmaps, similarity)))
                 break
             met = _pivot_pairs(labelled, large, total, turn, similarity)
             met = staged(met.groupBy("a", "b").agg(F.max("parts_a").alias("parts_a"), F.max("parts_b").alias("parts_b")))

@@ -418,3 +418,24 @@ def test_mixing_samples_what_it_decides(spark, docs):
     words = {r["doc_id"]: r["tokens"] for r in told.collect()}
     for r in docs.collect():
         assert words[r["doc_id"]] == max(1, len(re.findall(r"[^ \t\n\r\x0b\x0c]+", r["text"] or "")))
+
+
+def test_line_dedup_compares_only_pairs_that_bitmaps_allow(spark, monkeypatch):
+    """Lines that share two thirds of their text meet in many buckets, but only those that can be similar have their shingles compared."""
+    rng, pairs, small = random.Random(8), set(), line_dedup._small_pairs
+    draw = lambda n: "".join(rng.choices("abcdefghiklmnoprst ", k=n - 1)) + "x"
+    shared_part, rows = draw(200), []
+    for _ in range(40):
+        line = shared_part + draw(100)
+        rows += [line, line[:-1] + "y"]
+
+    def noted(*a):
+        found = shared.staged(small(*a))
+        pairs.update((r["a"], r["b"]) for r in found.collect())
+        return found
+
+    monkeypatch.setattr(line_dedup, "_small_pairs", noted)
+    plain = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {(r["key"], r["line"], r["keep_key"], r["keep_line"]) for r in line_dedup.removed_lines(plain).collect()}
+    want = brute_lines(rows)
+    assert len(want) == 40 and got == want and len(pairs) <= 40
