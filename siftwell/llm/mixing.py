@@ -61,6 +61,8 @@ def rake(cells: DataFrame, fraction: float = 0.5, temper: float = 0.7, rounds: i
         part = F.coalesce("told", F.col("s") / F.col("all") * (1 - sum(given.values())))
         target = share.crossJoin(F.broadcast(rest)).crossJoin(F.broadcast(grand)).select(margin, (part * F.col("grand") * fraction).alias(f"t_{margin}"), "cells")
         now = now.join(target.drop("cells"), margin) if few else heavy_join(now, target, [margin], "cells", BROADCAST_CELLS).drop("cells")
+    if few:
+        now = staged(now)  # short plans: the driver plans, and tells of, each step of one anew whenever a shuffle ends
     for turn in range(rounds):
         for margin in MARGINS:
             if few:
@@ -72,7 +74,7 @@ def rake(cells: DataFrame, fraction: float = 0.5, temper: float = 0.7, rounds: i
             now = now.withColumn("w", F.least(F.col("tokens").cast("double"), scaled)).drop("own")
             if not few:
                 now = staged(now)
-        if few and turn % 4 == 3:
+        if few and turn % 2 == 1:
             now = staged(now)
     return now.select(*MARGINS, "tokens", (F.col("w") / F.col("tokens")).alias("prob"))
 

@@ -439,3 +439,15 @@ def test_line_dedup_compares_only_pairs_that_bitmaps_allow(spark, monkeypatch):
     got = {(r["key"], r["line"], r["keep_key"], r["keep_line"]) for r in line_dedup.removed_lines(plain).collect()}
     want = brute_lines(rows)
     assert len(want) == 40 and got == want and len(pairs) <= 40
+
+
+def test_rake_keeps_plans_short(spark, monkeypatch):
+    """Each staged step of raking has the windows of two rounds at most, apart from the targets' joins."""
+    plans, stage = [], shared.staged
+    monkeypatch.setattr(mixing, "staged", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or stage(df))
+    cells = spark.createDataFrame([(f"s{i % 3}", f"l{i % 2}", i % 8, 100 + i) for i in range(48)], "source string, lang string, topic int, tokens long")
+    cells = cells.groupBy(*mixing.MARGINS).agg({"tokens": "sum"}).withColumnRenamed("sum(tokens)", "tokens")
+    rows = mixing.rake(cells).collect()
+    count = lambda p, what: len(re.findall(rf"\b{what}\b \[", p)) + len(re.findall(rf"\b{what} ", p))
+    windows, joins = [count(p, "Window") for p in plans], [count(p, "Join") for p in plans]
+    assert rows and max(windows) <= 12 and all(not (w and j) for w, j in zip(windows, joins, strict=True)) and sum(w > 0 for w in windows) == 6
