@@ -137,8 +137,8 @@ def sentence_pieces(paragraph: Column, size: int) -> Column:
     return F.aggregate(sentences, zero, step, lambda s: F.when(s.pack != "", F.array_append(s.done, s.pack)).otherwise(s.done))
 
 
-def overlapping(text: Column, size: int = 500, overlap: int = 80) -> Column:
-    """Chunks of a section: paragraphs packed to ``size`` characters, each new chunk led by the tail of the one before."""
+def overlapping_packs(text: Column, size: int = 500, overlap: int = 80) -> Column:
+    """The chunks of ``overlapping`` as packed: the last may still begin or end with white space of the tail that leads it."""
     paragraphs = F.filter(F.transform(F.split(text, "\n"), strip), lambda p: p != "")
     pieces = F.flatten(F.transform(paragraphs, lambda p: F.when(F.length(p) > size, sentence_pieces(p, size)).otherwise(F.array(p))))
     zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("pack"))
@@ -152,4 +152,12 @@ def overlapping(text: Column, size: int = 500, overlap: int = 80) -> Column:
             F.when(full, F.concat(tail, F.lit("\n"), x)).otherwise(grown).alias("pack"),
         )
 
-    return F.aggregate(pieces, zero, step, lambda s: F.when(strip(s.pack) != "", F.array_append(s.done, strip(s.pack))).otherwise(s.done))
+    return F.aggregate(pieces, zero, step, lambda s: F.when(strip(s.pack) != "", F.array_append(s.done, s.pack)).otherwise(s.done))
+
+
+def overlapping(text: Column, size: int = 500, overlap: int = 80) -> Column:
+    """Chunks of a section: paragraphs packed to ``size`` characters, each new chunk led by the tail of the one before.
+
+    The last is stripped, as its tail may begin with a line's end.
+    """
+    return F.transform(F.array(overlapping_packs(text, size, overlap)), lambda c: F.transform(c, lambda x, i: F.when(i == F.size(c) - 1, strip(x)).otherwise(x)))[0]

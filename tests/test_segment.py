@@ -1,7 +1,9 @@
+import duckdb
 from pyspark.sql import functions as F
 
 from siftwell import schemas
 from siftwell.operators import segment
+from siftwell.plans import catalog
 
 
 def units(spark, *lines):
@@ -48,6 +50,18 @@ def test_packs_and_cuts(spark):
     assert row["x"] == ["前言", "一、甲\n内容", "第二章 乙"] and row["y"] == ["无标题"]
 
 
+def test_overlap_chunks_against_sql(spark, tmp_path):
+    """A tail that begins with a line's end, white space at the ends of lines, sentence ends, and white space that no ASCII class has."""
+    texts = ["a" * 369 + "\n" + "b" * 79 + "\n" + "c" * 128, " a\t\n \n\u3000b\x0b", "句。" * 400, "\u2003\nx\u0085", "", None, "d" * 450 + "\n" + "e" * 79 + " \n" + "f" * 900, "g" * 499 + " " * 501 + "g"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in catalog.overlap_chunks(spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert got == sorted(con.execute(catalog.ORACLES["overlap_chunks"]).fetchall())
+    last = spark.range(1).select(segment.overlapping(F.lit(texts[0])).alias("c")).first()["c"]
+    assert last == ["a" * 369 + "\n" + "b" * 79, "b" * 79 + "\n" + "c" * 128]
+
+
 def test_chunks(spark):
     law = ("b1", "某法", "民事", None, None, "2020-01-01", None, 4, None, None, None, [("第一条", 1, 0, "第一章", "第一句。" * 300, "article"), ("第二条", 2, 0, "", "短", "article")])
     rows = segment.chunks(spark.createDataFrame([law], schemas.STATUTE)).orderBy("id").collect()
