@@ -11,15 +11,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm.shared import staged
 
-#: Documents in a shard and queries in a block.
+#: Documents that are searched together, and queries in a block at least.
 SHARD_ROWS, BLOCK_ROWS = 8192, 512
+#: Shards and blocks beyond which they grow instead of becoming more, up to GROWN times as long and GROWN_BYTES of components.
+SPREAD, GROWN, GROWN_BYTES = 8, 16, 1 << 23
 #: Terms probed together between two checks of the bounds.
 PROBE = 8
+#: Queries whose scores in a part of a shard are made together.
+TOGETHER = 64
 LONG = (1 << 63) - 1
 #: Partitions over which the meetings of shards and blocks are spread at most.
 MEETINGS = 10_000
@@ -43,67 +47,106 @@ class Shard:
         self.x = np.ascontiguousarray(vectors.T)
         self.low, self.high = self.x.min(1), self.x.max(1)
 
-    def search(self, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and scores of the k best documents other than the query's own key, by score and then by key."""
-        n = self.x.shape[1]
+    def search(self, own: np.ndarray, q: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, score): the k best documents at least of each of some queries, other than its own key; none need score below ``floor``."""
+        terms, n = self.x.shape
         ends = np.stack([q * self.low, q * self.high])
         base = ends.min(0)
         bound = ends.max(0) - base  # the largest impact of each term
-        terms = np.argsort(-bound, kind="stable")
-        rest = np.append(np.cumsum(bound[terms][::-1])[::-1], 0)  # what terms[i:] can add
-        constant = base.sum()
+        order = np.argsort(-bound, axis=1, kind="stable")
+        strongest = np.take_along_axis(bound, order, 1)
+        rest = np.pad(np.cumsum(strongest[:, ::-1], 1)[:, ::-1], ((0, 0), (0, 1)))  # what the terms from the i-th on can add
         # the first threshold: the k-th of the documents that lead in the terms with the largest impacts
-        lead = np.zeros_like(q)
-        lead[terms[:PROBE]] = q[terms[:PROBE]]
-        seeds = np.argpartition(-(lead @ self.x), 4 * k)[: 4 * k] if n > 4 * k else np.arange(n)
-        exact = (q @ self.x[:, seeds])[self.keys[seeds] != own]
-        theta = np.partition(exact, -k)[-k] if len(exact) >= k else -np.inf
-        # without an impact in terms[:essential] a document stays below the threshold
-        essential = int(np.argmax(constant + rest < theta)) if constant < theta else len(terms)
-        traversed = np.zeros_like(q)
-        traversed[terms[:essential]] = q[terms[:essential]]
-        score = traversed @ self.x + base[terms[essential:]].sum()
-        rows, done = np.arange(n), essential
-        while True:
-            alive = score + rest[done] >= theta
-            rows, score = rows[alive], score[alive]
-            if done == len(terms) or not len(rows):
-                break
-            probe = terms[done : done + PROBE]
-            score = score + q[probe] @ self.x[np.ix_(probe, rows)] - base[probe].sum()
-            done += len(probe)
-        other = self.keys[rows] != own
-        rows, score = rows[other], score[other]
-        if len(rows) > k:
-            keep = score >= np.partition(score, -k)[-k]
-            rows, score = rows[keep], score[keep]
-        best = np.lexsort((self.keys[rows], -score))[:k]
-        return rows[best], score[best].astype(np.int64)
-
-
-def _dealt(rows: DataFrame, parts: int, name: str) -> DataFrame:
-    """One row for each of ``parts`` random groups: its number, its keys and its vectors.
-
-    Rows are dealt by their place in a staged table, so that equal rows spread and a task that runs again deals alike.
+        theta = np.array(floor, np.float64)
+        new = np.flatnonzero(np.isneginf(floor))
+        lead = np.zeros_like(q[new])
+        np.put_along_axis(lead, order[new, :PROBE], np.take_along_axis(q[new], order[new, :PROBE], 1), 1)
+        seeds = np.argpartition(-(lead @ self.x), 4 * k, 1)[:, : 4 * k] if n > 4 * k else np.tile(np.arange(n), (len(new), 1))
+        for i, some in zip(new, seeds, strict=True):
+            exact = (q[i] @ self.x[:, some])[self.keys[some] != own[i]]
+            if len(exact) >= k:
+                theta[i] = np.partition(exact, -k)[-k]
+        # without an impact in the essential terms a document stays below the threshold; of dense vectors few are left
+        # only when all but the weakest are traversed, which one product does
+        essential = np.minimum(terms, np.maximum((base.sum(1)[:, None] + rest >= theta[:, None]).sum(1), terms - PROBE))
+        traversed = np.zeros(q.shape, bool)
+        np.put_along_axis(traversed, order, np.arange(terms) < essential[:, None], 1)
+        given = np.where(traversed, 0, base).sum(1)
+        score = np.where(traversed, q, 0) @ self.x
+        at, rows = np.nonzero(score >= (theta - rest[np.arange(len(q)), essential] - given)[:, None].astype(score.dtype))
+        score, done = score[at, rows] + given[at], essential[at]
+        while len(at) and done.min() < terms:
+            ahead = done[:, None] + np.arange(PROBE)
+            probe = order[at[:, None], np.minimum(ahead, terms - 1)]
+            impact = q[at[:, None], probe] * self.x[probe, rows[:, None]] - base[at[:, None], probe]
+            score, done = score + np.where(ahead < terms, impact, 0).sum(1), np.minimum(done + PROBE, terms)
+            alive = score + rest[at, done] >= theta[at]
+            at, rows, score, done = at[alive], rows[alive], score[alive], done[alive]
+        other = self.keys[rows] != own[at]
+        return at[other], rows[other], score[other].astype(np.int64)
+
+
+def parts(rows: int, least: int, width: int, size: int) -> int:
+    """Into how many shards or blocks ``rows`` are dealt: SPREAD of ``least`` rows at most, then as few as what a task may hold allows."""
+    most = max(least, min(least * GROWN, GROWN_BYTES // max(1, width * size)))
+    return max(1, -(-rows // most), min(SPREAD, -(-rows // least)))
+
+
+def compact(*tables: DataFrame) -> tuple[list[DataFrame], int, int]:
+    """The tables with the components of ``v`` in the shortest integers that hold all of them, the greatest width and the bytes of a component."""
+    told = [t.agg(F.max(F.size("v")).alias("width"), F.max(F.array_max(F.transform("v", lambda x: F.abs(x)))).alias("most")).first() for t in tables]
+    most, width = (max(row[name] or 0 for row in told) for name in ("most", "width"))
+    kind, size = next((kind, size) for kind, size in (("tinyint", 1), ("smallint", 2), ("int", 4), ("long", 8)) if most < 1 << 8 * size - 1)
+    return [t.withColumn("v", F.col("v").cast(f"array<{kind}>")) for t in tables], width, size
+
+
+def meetings(left: DataFrame, right: DataFrame, place: Column, shards: int, blocks: int, run, schema: str) -> DataFrame:
+    """What ``run`` makes of each shard of ``left`` and block of ``right``, two Arrow tables whose rows are dealt by the hash ``place``.
+
+    Both sides are repeated for their meetings and shuffled, so no side is gathered or broadcast, whatever its size is thought to be.
     """
-    numbered = rows.withColumn(name, F.pmod(F.xxhash64("place"), F.lit(parts)).cast("int"))
-    grouped = numbered.groupBy(name).agg(F.collect_list(F.struct("key", "v")).alias("rows"))
-    return grouped.select(name, F.col("rows.key").alias(f"{name}_keys"), F.col("rows.v").alias(f"{name}_v"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda n: F.pmod(place, F.lit(n)).cast("int")
+    # a task for each shard and block: scoring is much work on few bytes
+    tasks = min(MEETINGS, shards * blocks)
+    sides = [
+        left.select("*", dealt(shards).alias("_shard"), every(blocks).alias("_block")).repartition(tasks, "_shard", "_block"),
+        right.select("*", dealt(blocks).alias("_block"), every(shards).alias("_shard")).repartition(tasks, "_shard", "_block"),
+    ]
+    names = [part.split()[0] for part in schema.split(", ")]
+
+    def met(shard: pa.Table, block: pa.Table) -> pa.Table:
+        made = run(*(t.combine_chunks() for t in (shard, block))) if shard.num_rows and block.num_rows else [[]] * len(names)
+        return pa.table([pa.array(c, pa.int64()) for c in made], names)
+
+    each = [df.groupBy("_shard", "_block") for df in sides]
+    return each[0].cogroup(each[1]).applyInArrow(met, schema)
+
 
+def first(k: int, group: np.ndarray, score: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Places of the ``k`` rows with the highest scores of each group, ties by the smaller key."""
+    order = np.lexsort((key, -score, group))
+    starts = np.flatnonzero(np.diff(group[order], prepend=-1))
+    return order[np.arange(len(order)) - np.repeat(starts, np.diff(starts, append=len(order))) < k]
 
-def _matrix(vectors: pa.ListArray, width: int) -> np.ndarray:
-    """A row for each vector, filled up with zeros to ``width``."""
+
+def matrix(table: pa.Table, width: int, first: int = 0, end: int | None = None) -> np.ndarray:
+    """A row of longs for each vector from ``first`` to ``end`` of the column ``v``, filled up with zeros to ``width``."""
+    vectors = table.column("v").chunk(0)[first:end]
     size = vectors.value_lengths().to_numpy()
     out = np.zeros((len(vectors), width), np.int64)
     out[np.arange(width) < size[:, None]] = vectors.flatten().to_numpy()
     return out
 
 
-def _exhaustive(keys: np.ndarray, x: np.ndarray, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _exhaustive(keys: np.ndarray, x: np.ndarray, own: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best by whole numbers of any size, for the rare values whose sums no double holds exactly."""
-    score = [sum(int(a) * int(b) for a, b in zip(q, row, strict=True)) for row in x]
-    best = sorted((i for i in range(len(keys)) if keys[i] != own), key=lambda i: (-score[i], keys[i]))[:k]
-    return np.array(best, np.int64), np.array([max(-LONG, min(LONG, score[i])) for i in best], np.int64)
+    found = []
+    for at, vector in enumerate(q):
+        score = [sum(int(a) * int(b) for a, b in zip(vector, row, strict=True)) for row in x]
+        best = sorted((i for i in range(len(keys)) if keys[i] != own[at]), key=lambda i: (-score[i], keys[i]))[:k]
+        found += [(at, i, max(-LONG, min(LONG, score[i]))) for i in best]
+    return tuple(np.array(c, np.int64) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
 
 
 def search(corpus: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
@@ -111,33 +154,40 @@ def search(corpus: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
 
     Ties go to the smaller key; fewer rows come back where the corpus has fewer, none for an empty corpus. Keys are
     integers; of repeated corpus keys every row counts. Vectors of different lengths are compared as if the shorter ended
-    in zeros. The corpus is dealt to shards and the queries to blocks; each block meets each shard once, as one row, so
-    memory is bounded by a shard and a block. Sums are exact: in single precision while no bound reaches 2 ** 24, in
-    double precision while none reaches 2 ** 53, else in whole numbers; a score beyond a long is given as the nearest long.
+    in zeros. The corpus is dealt to shards and the queries to blocks; each block meets each shard once, and goes through it
+    in parts, with each query's k-th score so far as its threshold, so memory is bounded by a shard and a block and k rows a
+    query leave a meeting. Sums are exact: in single precision while no bound reaches 2 ** 24, in double precision while
+    none reaches 2 ** 53, else in whole numbers; a score beyond a long is given as the nearest long.
     """
     corpus, queries = (staged(df.select("key", F.col("v").cast("array<long>").alias("v")).withColumn("place", F.monotonically_increasing_id())) for df in (corpus, queries))
-    shards, blocks = (max(1, -(-df.count() // size)) for df, size in ((corpus, SHARD_ROWS), (queries, BLOCK_ROWS)))
-    left = _dealt(corpus, shards, "shard")
-    right = _dealt(queries, blocks, "block").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                keys, ids = (batch.column(f"{name}_keys")[i].values.to_numpy() for name in ("shard", "block"))
-                vectors = [batch.column(f"{name}_v")[i].values for name in ("shard", "block")]
-                width = max(int(v.value_lengths().to_numpy().max()) for v in vectors)
-                x, q = (_matrix(v, width) for v in vectors)
-                # bounds are sums of differences, so up to twice the largest score; components are no least long
-                top = 4.0 * float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * width
-                shard = Shard(keys, x.astype(np.float32 if top < 1 << 24 else np.float64)) if width and top < 1 << 53 else None
-                columns = []
-                for own, vector in zip(ids, q, strict=True):
-                    rows, score = shard.search(own, vector.astype(shard.x.dtype), k) if shard else _exhaustive(keys, x, own, vector, k)
-                    columns.append((np.full(len(rows), own), keys[rows], score))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*columns, strict=True)], names=["query_id", "key", "score"])
-
-    # a task for each shard and block: scoring is much work on few bytes
-    met = left.join(right, "shard").repartition(min(MEETINGS, shards * blocks), "shard", "block")
-    parts = met.select("shard_keys", "shard_v", "block_keys", "block_v").mapInArrow(run, "query_id long, key long, score long")
+    (left, right), width, size = compact(corpus, queries)
+    shards, blocks = (parts(df.count(), rows, width, size) for df, rows in ((corpus, SHARD_ROWS), (queries, BLOCK_ROWS)))
+    step = SHARD_ROWS
+
+    def run(shard: pa.Table, block: pa.Table):
+        keys, ids = (t.column("key").to_numpy() for t in (shard, block))
+        q = matrix(block, width)
+        (at, found, scores), floor = (np.zeros(0, np.int64) for _ in range(3)), np.full(len(ids), -np.inf)
+        for start in range(0, len(keys), step):
+            x, own = matrix(shard, width, start, start + step), keys[start : start + step]
+            # bounds are sums of differences, so up to twice the largest score; components are no least long
+            top = 4.0 * float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * width
+            made = [[at], [found], [scores]]
+            part = Shard(own, x.astype(np.float32 if top < 1 << 24 else np.float64)) if width and top < 1 << 53 else None
+            for some in range(0, len(ids), TOGETHER):
+                asked = slice(some, some + TOGETHER)
+                who, rows, score = part.search(ids[asked], q[asked].astype(part.x.dtype), k, floor[asked]) if part else _exhaustive(own, x, ids[asked], q[asked], k)
+                kept = first(k, who, score, own[rows])
+                for column, values in zip(made, (who[kept] + some, own[rows[kept]], score[kept]), strict=True):
+                    column.append(values)
+            at, found, scores = (np.concatenate(c) for c in made)
+            kept = first(k, at, scores, found)
+            at, found, scores = at[kept], found[kept], scores[kept]
+            full = np.bincount(at, minlength=len(ids)) == k
+            last = np.flatnonzero(np.diff(at, append=-1))  # each query's worst
+            floor[at[last]] = np.where(full[at[last]], scores[last], -np.inf)
+        return ids[at], found, scores
+
+    parted = meetings(left, right, F.xxhash64("place"), shards, blocks, run, "query_id long, key long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
-    return parts.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "key", "score")
+    return parted.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "key", "score")

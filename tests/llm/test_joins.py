@@ -314,6 +314,21 @@ def test_topk(spark, monkeypatch, shard_rows):
     assert topk.search(few, few.filter("key = 0"), 20).count() == 2 and topk.search(few.filter("false"), few, 5).count() == 0
 
 
+def test_topk_by_grown_shards_and_no_broadcast(spark, monkeypatch):
+    """Shards of many parts and blocks of many groups; no side of the meetings goes through the driver, however small its files are."""
+    for name, value in (("SHARD_ROWS", 16), ("BLOCK_ROWS", 8), ("SPREAD", 2), ("TOGETHER", 3)):
+        monkeypatch.setattr(topk, name, value)
+    x = np.random.default_rng(1).integers(-3, 4, (300, 12)) / 2
+    vectors = topk.quantised(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    found = topk.search(vectors, vectors.filter("key % 5 = 0"), 4)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    got = collections.defaultdict(list)
+    for r in found.orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["key"], r["score"]))
+    q = np.floor(64 * x).astype(int)
+    assert got == {i: sorted(((j, int(q[i] @ q[j])) for j in range(300) if j != i), key=lambda p: (-p[1], p[0]))[:4] for i in range(0, 300, 5)}
+
+
 def test_topk_of_large_values_and_mixed_lengths(spark):
     """A component of 1e9, values that no double sums exactly and vectors of different lengths: nothing fails, ranks are exact."""
     rows = [(0, [1e9, 1.0]), (1, [1e9, 0.5]), (2, [-1e9, 2.0, 7.0]), (3, []), (4, [1e300, 0.0]), (20, [1e9, -1e9, 3.0]), (5, [0.25])]
