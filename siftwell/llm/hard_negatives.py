@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm.shared import caches, staged
-from siftwell.llm.topk import LONG, MEETINGS, quantised
+from siftwell.llm.topk import LONG, compact, first, matrix, meetings, parts, quantised
 
-#: Rows in a shard and anchors in a block; components of a vector whose products are summed in single precision.
+#: Rows and anchors that are multiplied together; components of a vector whose products are summed in single precision.
 SHARD_ROWS, BLOCK_ROWS, WIDTH = 8192, 256, 1024
 POSITIVES, NEGATIVES = 5, 10
 #: A negative's score lies between these hundredths of its positive's.
@@ -49,6 +49,11 @@ def _norm(x: np.ndarray) -> float:
     return float(np.sqrt((x.astype(np.float64) ** 2).sum(1).max(initial=0)))
 
 
+def _mod(x: np.ndarray, p: int) -> np.ndarray:
+    """``x`` modulo ``p``; a division by one number is several times as fast as its remainder."""
+    return x - x // p * p
+
+
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The exact ``a @ b.T`` of integer matrices, as longs, or as Python integers where a score could leave a long."""
     most = int(_norm(a) * _norm(b) * (1 + 1e-6)) + 1
@@ -61,7 +66,7 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         for first in range(0, a.shape[1], WIDTH):
             residue += (left[:, first : first + WIDTH] @ right[:, first : first + WIDTH].T).astype(np.int64)
         # the next digit in mixed radix: what the value so far lacks modulo p, times the inverse of the radix
-        digit = np.mod((residue - np.mod(value, p).astype(np.int64)) * pow(factor % p, -1, p), p)
+        digit = _mod(_mod(residue - _mod(value, p).astype(np.int64), p) * pow(factor % p, -1, p), p) if factor > 1 else _mod(residue, p)
         value = value + (digit.astype(object) if wide else digit) * factor
         factor *= p
     return np.where(value > factor // 2, value - factor, value)
@@ -81,54 +86,45 @@ def windows(scores: list[int]) -> list[tuple[int, int]]:
     return [(-(-LOW * s // 100), HIGH * s // 100) for s in scores]
 
 
-def _dealt(rows: DataFrame, parts: int, name: str, columns: list[str]) -> DataFrame:
-    """One row for each of ``parts`` groups by a hash of key and content: its number and its rows as an array."""
-    numbered = rows.withColumn(name, F.pmod(F.xxhash64("key", "copy"), F.lit(parts)).cast("int"))
-    return numbered.groupBy(name).agg(F.collect_list(F.struct(*columns)).alias(f"{name}_rows"))
-
-
-def _matrix(rows: pa.StructArray, width: int) -> np.ndarray:
-    vectors = rows.field("v")
-    size = vectors.value_lengths().to_numpy()
-    out = np.zeros((len(rows), width), np.int64)
-    out[np.arange(width) < size[:, None]] = vectors.flatten().to_numpy()
-    return out
+def _meet(corpus: DataFrame, anchors: DataFrame, schema: str, choose, k: int) -> DataFrame:
+    """Every block of anchors with every shard of the corpus: the best ``k`` rows for each place that ``choose`` gives an anchor.
 
+    ``choose`` yields the place, its columns and the rows that it takes of a part of the shard, from the anchor and its exact scores.
+    """
+    (left, right), width, size = compact(corpus.select("key", "copy", "label", "v"), anchors)
+    shards, blocks = parts(corpus.count(), SHARD_ROWS, width, size), parts(anchors.count(), BLOCK_ROWS, width, size)
+    rows, together = SHARD_ROWS, BLOCK_ROWS
 
-def _meet(corpus: DataFrame, anchors: DataFrame, columns: list[str], schema: str, choose) -> DataFrame:
-    """Every block of anchors with every shard of the corpus: what ``choose`` makes of an anchor and its exact scores."""
-    shards, blocks = max(1, -(-corpus.count() // SHARD_ROWS)), max(1, -(-anchors.count() // BLOCK_ROWS))
-    left = _dealt(corpus, shards, "shard", ["key", "label", "v"])
-    right = _dealt(anchors, blocks, "block", columns).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    names = [part.split()[0] for part in schema.split(", ")]
-
-    def run(batches):
+    def run(shard: pa.Table, block: pa.Table):
         caches("hard_negatives")
-        for batch in batches:
-            for i in range(batch.num_rows):
-                rows, own = batch.column("shard_rows")[i].values, batch.column("block_rows")[i].values
-                width = max(int(r.field("v").value_lengths().to_numpy().max()) for r in (rows, own))
-                keys, labels = (rows.field(n).to_numpy() for n in ("key", "label"))
-                score = products(_matrix(own, width), _matrix(rows, width))
-                clipped = np.clip(score, -LONG, LONG).astype(np.int64)
-                made = [x for j, anchor in enumerate(own.to_pylist()) for x in choose(anchor, keys, labels, clipped[j])]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*made, strict=True)] if made else [pa.array([], pa.int64()) for _ in names], names=names)
-
-    met = left.join(right, "shard").repartition(min(MEETINGS, shards * blocks), "shard", "block")
-    return met.select("shard_rows", "block_rows").mapInArrow(run, schema)
+        keys, labels = (shard.column(n).to_numpy() for n in ("key", "label"))
+        own, given = block.drop_columns("v").to_pylist(), matrix(block, width)
+        best_rows = np.zeros((len(schema.split(", ")) + 1, 0), np.int64)  # the group, the columns, the key, the score
+        for start in range(0, len(keys), rows):
+            part, names, kinds = matrix(shard, width, start, start + rows), keys[start : start + rows], labels[start : start + rows]
+            made = [best_rows]
+            for some in range(0, len(own), together):
+                score = np.clip(products(given[some : some + together], part), -LONG, LONG).astype(np.int64)
+                for i, anchor in enumerate(own[some : some + together]):
+                    for place, columns, at in choose(anchor, names, kinds, score[i]):
+                        beside = np.tile(np.array([(some + i) * POSITIVES + place, anchor["key"], anchor["copy"], *columns], np.int64)[:, None], len(at))
+                        made.append(np.concatenate([beside, [names[at], score[i][at]]]))
+            best_rows = np.concatenate(made, 1)
+            best_rows = best_rows[:, first(k, best_rows[0], best_rows[-1], best_rows[-2])]
+        return best_rows[1:]
+
+    return meetings(left, right, F.xxhash64("key", "copy"), shards, blocks, run, schema)
 
 
 def _positives(anchor, keys, labels, scores):
-    for at in best(scores, keys, (labels == anchor["label"]) & (keys != anchor["key"]), POSITIVES):
-        yield anchor["key"], anchor["copy"], keys[at], scores[at]
+    yield 0, (), best(scores, keys, (labels == anchor["label"]) & (keys != anchor["key"]), POSITIVES)
 
 
 def _negatives(anchor, keys, labels, scores):
     other = labels != anchor["label"]
     given = [p["positive_score"] for p in anchor["positives"]]
-    for positive, (low, high) in zip(anchor["positives"], windows(given), strict=True):
-        for at in best(scores, keys, other & (scores >= low) & (scores <= high), NEGATIVES):
-            yield anchor["key"], anchor["copy"], positive["rank"], positive["positive_id"], positive["positive_score"], keys[at], scores[at]
+    for place, (positive, (low, high)) in enumerate(zip(anchor["positives"], windows(given), strict=True)):
+        yield place, (positive["rank"], positive["positive_id"], positive["positive_score"]), best(scores, keys, other & (scores >= low) & (scores <= high), NEGATIVES)
 
 
 def mine(rows: DataFrame, is_anchor, key: str = "vec_id", vector: str = "embedding", label: str = "label", scale: int = 256) -> DataFrame:
@@ -145,13 +141,13 @@ def mine(rows: DataFrame, is_anchor, key: str = "vec_id", vector: str = "embeddi
     slim = quantised(both, "row", "vector", scale).select("key.key", "key.label", "v").dropna()
     slim = staged(slim.dropDuplicates().withColumn("copy", F.xxhash64("label", "v")))
     anchors = slim.filter(is_anchor(F.col("key")))
-    near = _meet(slim, anchors, ["key", "copy", "label", "v"], "key long, copy long, positive_id long, positive_score long", _positives)
-    first = Window.partitionBy("key", "copy").orderBy(F.desc("positive_score"), "positive_id")
-    near = near.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= POSITIVES)
+    near = _meet(slim, anchors, "key long, copy long, positive_id long, positive_score long", _positives, POSITIVES)
+    leading = Window.partitionBy("key", "copy").orderBy(F.desc("positive_score"), "positive_id")
+    near = near.withColumn("rank", F.row_number().over(leading)).filter(F.col("rank") <= POSITIVES)
     told = near.groupBy("key", "copy").agg(F.array_sort(F.collect_list(F.struct("rank", "positive_id", "positive_score"))).alias("positives"))
-    told = staged(anchors.join(told, ["key", "copy"]))
+    told = staged(anchors.join(told.hint("merge"), ["key", "copy"]))
     names = "key long, copy long, place long, positive_id long, positive_score long, negative_id long, negative_score long"
-    far = _meet(slim, told, ["key", "copy", "label", "v", "positives"], names, _negatives)
+    far = _meet(slim, told, names, _negatives, NEGATIVES)
     merged = Window.partitionBy("key", "copy", "place").orderBy(F.desc("negative_score"), "negative_id")
     far = far.withColumn("rank", F.row_number().over(merged)).filter(F.col("rank") <= NEGATIVES)
     return far.select(F.col("key").alias("anchor_id"), "positive_id", "rank", "negative_id", "positive_score", "negative_score")

@@ -61,6 +61,18 @@ def test_mine(spark, monkeypatch, shard, block):
     assert sorted(map(tuple, found.collect())) == brute(exact)
 
 
+def test_mine_sends_no_meeting_through_the_driver(spark, monkeypatch):
+    """However small the files of either side are, no side of the meetings is broadcast; parts of grown shards are merged."""
+    for name, value in (("SHARD_ROWS", 20), ("BLOCK_ROWS", 1)):
+        monkeypatch.setattr(hn, name, value)
+    monkeypatch.setattr("siftwell.llm.topk.SPREAD", 2)
+    rng = random.Random(5)
+    rows = [(i, [rng.randrange(-4, 5) / 4 for _ in range(5)], i % 3) for i in range(0, 1200, 4)]
+    found = hn.mine(spark.createDataFrame([(i, v, lab, "x", 1) for i, v, lab in rows], SCHEMA), lambda k: k % 100 == 0)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == brute(rows)
+
+
 def test_nothing_to_mine(spark):
     assert hn.mine(spark.createDataFrame([], SCHEMA), lambda k: k % 100 == 0).count() == 0
     assert hn.mine(spark.createDataFrame([(100, [1.0], 1, "", 1)], SCHEMA), lambda k: k % 100 == 0).count() == 0
