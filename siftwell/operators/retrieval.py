@@ -9,10 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.functions.scores import bm25_term, boosted, idf, similarity
+from siftwell.functions.scores import K1, B, bm25_term, boosted, idf, similarity
 from siftwell.functions.text import faceted as augmented
 from siftwell.functions.text import hyde_query, tokens
 from siftwell.operators import blocks, index
@@ -24,6 +27,8 @@ RRF_K, ALPHA, POOL = 60, 0.3, 20
 PLACES = 6
 #: Pairs of query and term up to which they are broadcast.
 BROADCAST_PAIRS = 500_000
+#: Scores of documents and queries that a task makes together.
+SCORES = 1 << 21
 #: Vectors and queries of a block, and blocks of vectors at least (for few vectors and many cores).
 VECTORS, QUERIES, SPREAD = 2000, 1000, 16
 
@@ -35,22 +40,87 @@ def ranked(scores: DataFrame, k: int | None, key: str = "doc_id", places: int =
     return found if k is None else found.filter(F.col("rank") <= k)
 
 
+def _counted(docs: DataFrame, terms: pa.Array, key: str) -> DataFrame:
+    """(key, length, terms, tf) of every document of ``docs`` (key, text): its tokens, the places of its tokens in ``terms`` and their counts.
+
+    A document is counted where it is read, so no posting is shuffled.
+    """
+
+    def run(batches):
+        for batch in batches:
+            every = batch.column("all")
+            length = pc.list_value_length(every).to_numpy()
+            found = pc.index_in(every.flatten(), value_set=terms)
+            known = found.is_valid().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(length)), length)[known]
+            pairs, tf = np.unique(row * len(terms) + found.fill_null(0).to_numpy()[known], return_counts=True)
+            ends = np.searchsorted(pairs, np.arange(len(length) + 1) * len(terms)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (pairs % max(1, len(terms)), tf)]
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(length.astype(np.int64)), *lists], names=[key, "length", "terms", "tf"])
+
+    split = docs.select(F.col(key), tokens(F.col("text")).alias("all"))
+    return split.mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, length long, terms array<int>, tf array<int>")
+
+
+def _scored(counted: DataFrame, pairs: pa.Table, kind: str, terms: pa.Array, k: int | None, key: str) -> DataFrame:
+    """(query_id, key, score) of ``counted`` for the pairs of query and term; of a task only what its best ``k`` of a query need.
+
+    A score within rounding of the k-th is kept, so that rounding cannot change which are the best.
+    """
+    told = counted.agg(F.count("*").alias("n"), F.avg("length").alias("average")).first()
+    n, average = told["n"], told["average"] or 1.0
+    df = np.zeros(len(terms))
+    for row in counted.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # at most as many as the pairs
+        df[row["t"]] = row["count"]
+    weight = np.log((n - df + 0.5) / (df + 0.5) + 1)
+    asked = pairs.column("query_id").combine_chunks().dictionary_encode(null_encoding="encode")
+    of_term = pc.index_in(pairs.column("term").combine_chunks(), value_set=terms).to_numpy()
+    order = np.argsort(of_term, kind="stable")
+    query, ids = asked.indices.to_numpy()[order].astype(np.int64), asked.dictionary
+    first = np.searchsorted(of_term[order], np.arange(len(terms) + 1))
+    some = max(1, SCORES // max(1, len(ids)))
+
+    def run(batches):
+        floor = np.full(len(ids), -np.inf)
+        for batch in (whole.slice(at, some) for whole in batches for at in range(0, whole.num_rows, some)):
+            size = pc.list_value_length(batch.column("terms")).to_numpy()
+            row = np.repeat(np.arange(len(size)), size)
+            term, tf = (batch.column(c).flatten().to_numpy() for c in ("terms", "tf"))
+            w = weight[term] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * batch.column("length").to_numpy()[row] / average)))
+            times = first[term + 1] - first[term]
+            each = np.repeat(first[term] - np.cumsum(times) + times, times) + np.arange(times.sum())
+            score = np.bincount(np.repeat(row, times) * len(ids) + query[each], np.repeat(w, times), len(size) * len(ids)).astype(float).reshape(len(size), len(ids))
+            if k and len(size) >= k:
+                floor = np.maximum(floor, np.partition(score, -k, 0)[-k])
+            at, who = np.nonzero((score > 0) & (score >= floor - 10.0**-PLACES))  # every weight is positive
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(who)), batch.column(key).take(pa.array(at)), pa.array(score[at, who])], names=["query_id", key, "score"])
+
+    return counted.mapInArrow(run, f"query_id {kind}, `{key}` {counted.schema[key].dataType.simpleString()}, score double")
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int | None = POOL, key: str = "doc_id", text: str = "text") -> DataFrame:
     """BM25 top ``k`` of ``docs`` for ``queries`` (query_id, text); query terms count once, only documents with one appear.
 
-    Only the queries' terms are counted in the documents, so the shuffle grows with their postings, not with the corpus. At most
-    BROADCAST_PAIRS pairs of query and term are broadcast; more meet the postings under salted keys, so that neither a term
-    of all documents nor one of all queries gathers in a task.
+    Only the queries' terms are counted in the documents. With at most BROADCAST_PAIRS pairs of query and term, documents are
+    counted and scored where they are read, and a task's best ``k`` of each query are all that is shuffled. Where a key has
+    several documents their counts are put together by shuffle. More pairs meet the postings under salted keys, so that
+    neither a term of all documents nor one of all queries gathers in a task.
     """
     wanted = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    terms = wanted.groupBy("term").agg(F.collect_list("query_id").alias("asked"))
     few = wanted.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS
-    if not few:
+    if few:
+        pairs = wanted.toArrow()
+        terms = pairs.column("term").combine_chunks().unique()
+        counted = staged(_counted(docs.select(F.col(key), F.col(text).alias("text")), terms, key))
+        if counted.groupBy(key).count().filter("count > 1").isEmpty():
+            return ranked(_scored(counted, pairs, wanted.schema["query_id"].dataType.simpleString(), terms, k, key), k, key)
+    else:
         wanted = staged(wanted)
     tf, stats = index.frequencies_of(docs.select(F.col(key), F.col(text).alias("text")), wanted.select("term").distinct(), key)
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     if few:
-        met = tf.join(F.broadcast(df.join(terms, "term")), "term").withColumn("query_id", F.explode("asked"))
+        asked = wanted.groupBy("term").agg(F.collect_list("query_id").alias("asked"))
+        met = tf.join(F.broadcast(df.join(asked, "term")), "term").withColumn("query_id", F.explode("asked"))
     else:
         df = staged(df.join(wanted.groupBy("term").agg(F.count("*").alias("queries")), "term"))
         counted = with_key_columns(tf, df.select("term", "df"), "term", "df", tf.count())

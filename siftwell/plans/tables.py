@@ -13,12 +13,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.operators import retrieval
+from siftwell.storage import staged
 
 ANCHOR = 8
 #: Characters of the anchor of a passage of one or two words.
 GRAM = 8
 #: Questions up to which their anchors and passages (about a kilobyte each) are broadcast.
 BROADCAST_ITEMS = 20_000
+#: Results (ids, ranks and scores) up to which they are broadcast to the documents.
+BROADCAST_RESULTS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +58,16 @@ def dense(spark: SparkSession, sf_dir: str, k: int = retrieval.POOL) -> DataFram
     return retrieval.ranked(found.filter("doc_id <> query_id").drop("rank"), k)
 
 
+def with_documents(spark: SparkSession, sf_dir: str, found: DataFrame, *columns: str) -> DataFrame:
+    """``found`` (doc_id, ...) with ``columns`` of its documents.
+
+    At most BROADCAST_RESULTS rows are broadcast, so that texts which no result needs stay where they are read; more are joined by shuffle.
+    """
+    docs, found = table(spark, sf_dir, "documents").select("doc_id", *columns), staged(found)
+    few = found.limit(BROADCAST_RESULTS + 1).count() <= BROADCAST_RESULTS
+    return docs.join(F.broadcast(found) if few else found, "doc_id")
+
+
 def _wide(text: str) -> Column:
     """A text with two bytes a character (four for the rare ones beyond UTF-16's first plane): a slice takes constant time."""
     return F.encode(text, "UTF-16BE")

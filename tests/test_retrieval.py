@@ -1,11 +1,13 @@
 import math
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from siftwell.operators import evaluation, index, logs, retrieval
+from siftwell.plans import catalog
 
 
 @pytest.fixture(scope="module")
@@ -141,3 +143,51 @@ def test_keywords_and_reports(spark):
     rate = spark.createDataFrame([(10, 2.0)], "n long, per_minute double")
     progress = spark.createDataFrame([(30, 40), (10, 10)], "laws long, expected long")
     assert logs.remaining(progress, rate).first()["minutes_left"] == 5.0 and logs.remaining(progress, rate.selectExpr("1L n", "0D per_minute")).first()["minutes_left"] is None
+
+
+def _scanned_where(plan: str, columns: tuple[str, ...]) -> list[str]:
+    """The operators from the scan of ``columns`` up to the first join."""
+    lines = plan.split("\n")
+    at = next(i for i, line in enumerate(lines) if "FileScan" in line and all(f"{c}#" in line.split("]")[0] for c in columns))
+    depth, above = len(re.match(r"[\s:+|-]*", lines[at])[0]), []
+    for line in reversed(lines[:at]):
+        if (d := len(re.match(r"[\s:+|-]*", line)[0])) < depth:
+            depth = d
+            above.append(line)
+            if "Join" in line:
+                break
+    return above
+
+
+@pytest.mark.parametrize("name, columns", [("context_assembly", ("source", "text"))])
+def test_texts_that_no_result_needs_are_not_shuffled(spark, tmp_path, name, columns):
+    spark.createDataFrame([(i, f"word{i % 7} some text", "en", "src") for i in range(30)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "word1 text"), (2, "none of them")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = catalog.QUERIES[name](spark, str(tmp_path))
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert made.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    above = _scanned_where(plan, columns)
+    assert "BroadcastHashJoin" in above[-1] and not any("Exchange" in x for x in above)
+
+
+def test_bm25_is_scored_where_documents_are_read(spark, monkeypatch):
+    """No posting is shuffled; many small groups of scores, ties at the last rank, repeated keys and empty tables."""
+    monkeypatch.setattr(retrieval, "SCORES", 12)
+    rows = [(i, " ".join(f"w{(i * j) % 11}" for j in range(i % 9))) for i in range(200)] + [(None, "w1 w2"), (900, None)]
+    docs, queries = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, "w1 W2 w3"), (2, "w5"), (3, "absent"), (4, None), (None, "w7 w7")], "query_id long, text string")
+    key = lambda r: (str(r["query_id"]), r["rank"])
+    found = retrieval.bm25(docs, queries, 5)
+    assert "doc_id" not in "".join(x for x in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in x)
+    got = sorted(map(tuple, found.select("query_id", "rank", "doc_id", "score").collect()), key=str)
+    monkeypatch.setattr(retrieval, "BROADCAST_PAIRS", 0)
+    assert got == sorted(map(tuple, retrieval.bm25(docs, queries, 5).select("query_id", "rank", "doc_id", "score").collect()), key=str) and len(got) == 15
+    monkeypatch.setattr(retrieval, "BROADCAST_PAIRS", 500_000)
+    twice = retrieval.bm25(docs.unionByName(docs.filter("doc_id = 5")), queries, None).collect()
+    assert len({(r["query_id"], r["doc_id"]) for r in twice}) == len(twice)
+    assert retrieval.bm25(docs.filter("false"), queries, 5).count() == 0 and retrieval.bm25(docs, queries.filter("false"), 5).count() == 0
