@@ -159,7 +159,7 @@ def _scanned_where(plan: str, columns: tuple[str, ...]) -> list[str]:
     return above
 
 
-@pytest.mark.parametrize("name, columns", [("context_assembly", ("source", "text"))])
+@pytest.mark.parametrize("name, columns", [("context_assembly", ("source", "text")), ("rerank_boost_floor", ("source", "text")), ("refusal_rates", ("source", "text"))])
 def test_texts_that_no_result_needs_are_not_shuffled(spark, tmp_path, name, columns):
     spark.createDataFrame([(i, f"word{i % 7} some text", "en", "src") for i in range(30)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "word1 text"), (2, "none of them")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
