@@ -7,8 +7,11 @@ pairing, so both legs of a fused query see only documents that have a vector.
 
 from __future__ import annotations
 
+import re
+from collections import Counter, defaultdict
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,12 +89,38 @@ def _grams(text: str, sizes: list[int]) -> Column:
     return F.transform(F.array(_wide(text)), lambda wide: F.concat(*(of(wide, n) for n in sizes)))[0]
 
 
+def _holding(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """(query_id, doc_id): the ``docs`` that hold one of a bounded number of ``passages`` (query_id, passage), compared where texts are read.
+
+    Every passage has a word that is not at its ends, so a text that holds it has that word; a text is searched for the
+    passages whose rarest such word it has.
+    """
+    asked = passages.toArrow()
+    ids, wanted = asked.column("query_id").combine_chunks(), [p.encode() for p in asked.column("passage").to_pylist()]
+    inner = [set(re.split(rb"[ \t\n\r\x0b\x0c]+", p)[1:-1]) for p in wanted]
+    often = Counter(w for ws in inner for w in ws)
+    of_word = defaultdict(list)
+    for i, ws in enumerate(inner):
+        of_word[min(ws, key=lambda w: (often[w], -len(w), w))].append(i)
+    anchors = frozenset(of_word)
+
+    def run(batches):
+        for batch in batches:
+            texts = enumerate(batch.column("text").to_pylist())
+            met = [(at, i) for at, text in texts if text for word in anchors.intersection(text.split()) for i in of_word[word] if wanted[i] in text]
+            row, item = (pa.array([pair[j] for pair in met], pa.int64()) for j in (0, 1))
+            yield pa.RecordBatch.from_arrays([ids.take(item), batch.column("doc_id").take(row)], names=["query_id", "doc_id"])
+
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((passages, "query_id"), (docs, "doc_id"))]
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"query_id {kinds[0]}, doc_id {kinds[1]}")
+
+
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, doc_id): documents that hold a passage word for word.
 
     A passage's anchor is the run of up to ANCHOR words from its second on, without its last, which a text that holds the
-    passage has as whole words. Anchors are a table of the questions: at most BROADCAST_ITEMS of them are broadcast, and texts
-    are compared where they are read; more are joined by shuffle, with the texts fetched for the pairs that meet. Passages of
+    passage has as whole words. Anchors are a table of the questions: at most BROADCAST_ITEMS of them go to the texts, one word of
+    each being enough there; more are joined by shuffle, with the texts fetched for the pairs that meet. Passages of
     one or two words need not stand as whole words: their anchor is what they start with, up to GRAM characters, and meets
     the runs of as many characters of a text. An empty passage is in every text; a null text or passage has no pairs.
     """
@@ -115,7 +144,9 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
         return runs.drop("text").join(anchors, "anchor").join(docs, "doc_id").filter(held)
 
     found = []
-    if starts:
+    if starts and few:
+        found.append(_holding(docs, anchors.filter("passage is not null").select("query_id", "passage")))
+    elif starts:
         found.append(met(split.select("doc_id", "text", F.explode(F.array_distinct(F.concat(*starts))).alias("anchor")), anchors))
     if sizes and sizes[0] <= 0:
         short = sized.filter("n <= 0 and passage <> ''").select("query_id", "passage", _wide("passage").alias("wide"))
